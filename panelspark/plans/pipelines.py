@@ -9,7 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from pyspark.sql import functions as F
+
 from ..operators.encode import encode_categories
+from ..operators.scale import apply_minmax, fit_minmax
+from ..operators.sequences import episode_rows
+from ..operators.split import assign_split, split_cuts, split_membership
 from ..operators.expand import expand_days
 from ..operators.history import add_history
 from ..spec import DEFAULT, PanelSpec
@@ -27,3 +32,24 @@ def daily_panel(episodes: DataFrame, spec: PanelSpec = DEFAULT, encode: bool = T
 def ordered_daily(panel: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """The daily panel in the sink column order."""
     return panel.select(*[c for c in spec.daily_columns if c in panel.columns])
+
+
+def split_and_scale(daily: DataFrame, episodes: DataFrame, spec: PanelSpec = DEFAULT,
+                    ratios=None, seed: int | None = None):
+    """Entry B, first half: membership from the (small) episode table, row-local split
+    label on the daily panel, min/max fitted on train rows only and applied to all.
+    Returns (scaled panel with ``split`` and ``<day>_raw``, one-row scaler parameters)."""
+    kw = {}
+    if ratios is not None:
+        kw["ratios"] = ratios
+    if seed is not None:
+        kw["seed"] = seed
+    membership = split_membership(episodes, spec, **kw)
+    sp = assign_split(daily, split_cuts(membership, spec), spec, **({"seed": seed} if seed else {}))
+    params = fit_minmax(sp, spec.scale_columns, spec, fit_filter=F.col("split") == "train")
+    return apply_minmax(sp, params, spec.scale_columns, spec, keep_raw=(spec.day,)), params
+
+
+def window_source(scaled: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """Entry B, second half: per-episode sorted rows (ordered by the raw day, T14)."""
+    return episode_rows(scaled, spec.input_features, spec, order_col=f"{spec.day}_raw")
