@@ -145,16 +145,16 @@ def leaderboard(reports: DataFrame, split: str = "test", by: str = "macro_f1") -
     """EVL9: one row per saved experiment, best first; copes with old report layouts
     (``baseline_config`` instead of ``experiment_config``, ``optimizer`` vs
     ``optimizer_name``)."""
-    cols = set(reports.columns)
-    cfg = [F.col(c) for c in ("experiment_config", "baseline_config") if c in cols]
-    conf = F.coalesce(*cfg) if len(cfg) > 1 else cfg[0]
-    fields = {f.name for c in ("experiment_config", "baseline_config") if c in cols
-              for f in reports.schema[c].dataType.fields}
-    opt = [conf[o] for o in ("optimizer_name", "optimizer") if o in fields]
+    cands = []
+    for c in ("experiment_config", "baseline_config"):
+        if c in reports.columns:
+            fields = {f.name for f in reports.schema[c].dataType.fields}
+            cands += [F.col(c)[o] for o in ("optimizer_name", "optimizer") if o in fields]
+    opt = F.coalesce(*cands) if cands else F.lit(None).cast("string")
     sp = F.col(split)
     return reports.select(
         "experiment",
-        (F.coalesce(*opt) if opt else F.lit(None).cast("string")).alias("optimizer"),
+        opt.alias("optimizer"),
         sp["classification_accuracy"].alias("accuracy"), sp["macro_f1"].alias("macro_f1"),
         sp["weighted_f1"].alias("weighted_f1"), sp["regression_mae_days"].alias("mae_days"),
         sp["regression_rmse_days"].alias("rmse_days"),

@@ -64,6 +64,13 @@ def inverse_minmax(df: DataFrame, params: DataFrame, columns=None, spec: PanelSp
     return j.drop(*params.columns)
 
 
+def _total(exprs):
+    out = F.lit(0).cast("long")
+    for e in exprs:
+        out = out + e
+    return out
+
+
 def range_report(df: DataFrame, columns=None, spec: PanelSpec = DEFAULT, tol: float = 1e-9,
                  targets=None) -> DataFrame:
     """DQ12-DQ14 per split: out-of-range scaled cells (train with tolerance, others
@@ -73,11 +80,11 @@ def range_report(df: DataFrame, columns=None, spec: PanelSpec = DEFAULT, tol: fl
     is_train = F.col("split") == "train"
     lo = F.when(is_train, F.lit(-tol)).otherwise(F.lit(0.0))
     hi = F.when(is_train, F.lit(1.0 + tol)).otherwise(F.lit(1.0))
-    oor = sum(((F.col(c) < lo) | (F.col(c) > hi)).cast("long") for c in columns)
-    nul = sum(F.col(c).isNull().cast("long") for c in columns)
-    tnul = sum(F.col(c).isNull().cast("long") for c in targets if c in df.columns)
-    nonbin = sum((~F.coalesce(F.col(c).isin(0, 1), F.lit(False))).cast("long")
-                 for c in spec.indicator_columns if c in df.columns)
+    oor = _total([((F.col(c) < lo) | (F.col(c) > hi)).cast("long") for c in columns])
+    nul = _total([F.col(c).isNull().cast("long") for c in columns])
+    tnul = _total([F.col(c).isNull().cast("long") for c in targets if c in df.columns])
+    nonbin = _total([(~F.coalesce(F.col(c).isin(0, 1), F.lit(False))).cast("long")
+                     for c in spec.indicator_columns if c in df.columns])
     return df.groupBy("split").agg(F.sum(oor).alias("n_out_of_range"),
                                    F.sum(nul).alias("n_null_scaled"),
                                    F.sum(tnul).alias("n_null_target"),
