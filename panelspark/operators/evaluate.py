@@ -31,22 +31,44 @@ def _w(df: DataFrame, weight: str | None):
     return F.col(weight).cast("double") if weight else F.lit(1.0)
 
 
-def confusion_long(df: DataFrame, y: str, yhat: str, groups=(), weight: str | None = None,
-                   labels=LABELS) -> DataFrame:
+def prediction_cube(df: DataFrame, y: str, yhat: str, groups=(), weight: str | None = None,
+                    y_reg: str | None = None, pred_reg: str | None = None, probs: str | None = None,
+                    clip: float = LOG_CLIP) -> DataFrame:
+    """One pass over the predictions: per (groups, true_label, pred_label) the
+    weight sum and, when given, weighted sums of |e|, e^2 and -ln p_true.  Every
+    metric below derives from this table of at most groups x 16 rows."""
+    w = _w(df, weight)
+    aggs = [F.sum(w).alias("n")]
+    if y_reg is not None:
+        e = F.col(pred_reg).cast("double") - F.col(y_reg).cast("double")
+        aggs += [F.sum(w * F.abs(e)).alias("sae"), F.sum(w * e * e).alias("sse")]
+    if probs is not None:
+        p_true = F.element_at(F.col(probs), F.col(y).cast("int") + 1)
+        ce = -F.log(F.greatest(F.least(p_true, F.lit(1.0 - clip)), F.lit(clip)))
+        aggs.append(F.sum(w * ce).alias("sce"))
+    return df.groupBy(*groups, F.col(y).cast("int").alias("true_label"),
+                      F.col(yhat).cast("int").alias("pred_label")).agg(*aggs)
+
+
+def confusion_from_cube(cube: DataFrame, groups=(), labels=LABELS) -> DataFrame:
     """EVL3: (groups, true_label, pred_label, n) for every label pair, empty cells 0."""
     groups = list(groups)
-    spark: SparkSession = df.sparkSession
-    cells = df.groupBy(*groups, F.col(y).cast("int").alias("true_label"),
-                       F.col(yhat).cast("int").alias("pred_label")).agg(F.sum(_w(df, weight)).alias("n"))
+    spark: SparkSession = cube.sparkSession
     lab = spark.createDataFrame([(int(a), int(b)) for a in labels for b in labels],
                                 "true_label int, pred_label int")
     if groups:
-        keys = cells.select(*groups).distinct()
-        lab = keys.crossJoin(lab)  # groups x 16 cells: tiny
-    out = lab.join(cells, [*groups, "true_label", "pred_label"], "left")
+        lab = cube.select(*groups).distinct().crossJoin(lab)  # groups x 16 cells: tiny
+    out = lab.join(cube.select(*groups, "true_label", "pred_label", "n"),
+                   [*groups, "true_label", "pred_label"], "left")
     return out.select(*groups, "true_label", "pred_label", F.coalesce("n", F.lit(0.0)).alias("n"))
 
 
+def confusion_long(df: DataFrame, y: str, yhat: str, groups=(), weight: str | None = None,
+                   labels=LABELS) -> DataFrame:
+    """EVL3 straight from a prediction table."""
+    return confusion_from_cube(prediction_cube(df, y, yhat, groups, weight), groups, labels)
+
+
 def confusion_matrix(conf_long: DataFrame, groups=(), labels=LABELS) -> DataFrame:
     """EVL3 wide: rows = true label, one column per predicted label."""
     return conf_long.groupBy(*groups, "true_label").pivot("pred_label", list(labels)).agg(F.sum("n")) \
@@ -105,17 +127,26 @@ def composite_loss(df: DataFrame, y: str, probs: str, y_reg: str, pred_reg: str,
                     (F.lit(weights[0]) * ce_m + F.lit(weights[1]) * mae).alias("composite_loss"))
 
 
+def errors_from_cube(cube: DataFrame, groups=(), weights=LOSS_WEIGHTS) -> DataFrame:
+    """EVL6 + EVL7 from the cube: MAE, RMSE, cross-entropy and the composite loss."""
+    g = cube.groupBy(*groups).agg(F.sum("n").alias("__sw"), F.sum("sae").alias("__a"),
+                                  F.sum("sse").alias("__s"), F.sum("sce").alias("__c"))
+    mae, ce = F.col("__a") / F.col("__sw"), F.col("__c") / F.col("__sw")
+    return g.select(*groups, mae.alias("mae"), F.sqrt(F.col("__s") / F.col("__sw")).alias("rmse"),
+                    ce.alias("cross_entropy"),
+                    (F.lit(weights[0]) * ce + F.lit(weights[1]) * mae).alias("composite_loss"))
+
+
 def metrics_report(pred: DataFrame, groups=("split",), weight: str | None = None,
                    y="y_phase", yhat="pred_label", probs="probs", y_reg="y_reg",
                    pred_reg="pred_reg", digits: int = 9) -> DataFrame:
-    """EVL8: long (groups, metric, class_name, value) report with every number above."""
+    """EVL8: long (groups, metric, class_name, value) report with every number above,
+    from a single pass over the predictions (the cube)."""
     groups = list(groups)
-    conf = confusion_long(pred, y, yhat, groups, weight)
-    rep = class_report(conf, groups)
+    cube = prediction_cube(pred, y, yhat, groups, weight, y_reg, pred_reg, probs)
+    rep = class_report(confusion_from_cube(cube, groups), groups)
     summ = summary_scores(rep, groups)
-    reg = regression_error(pred, y_reg, pred_reg, groups, weight)
-    loss = composite_loss(pred, y, probs, y_reg, pred_reg, groups, weight)
-    top = summ.join(reg, groups).join(loss.select(*groups, "cross_entropy", "composite_loss"), groups)
+    top = summ.join(errors_from_cube(cube, groups), groups)
     names = ["accuracy", "macro_f1", "weighted_f1", "mae", "rmse", "cross_entropy", "composite_loss"]
     a = top.unpivot(groups, names, "metric", "value").withColumn("class_name", F.lit(None).cast("string"))
     per = rep.unpivot([*groups, "class_name"], ["precision", "recall", "f1", "support"], "metric", "value")

@@ -4,8 +4,8 @@ A plain ``Window.partitionBy(entity).orderBy(date)`` puts every row of an
 entity into one task; one entity holding a third of the data would then run
 on a single core.  Here the work is split in two levels:
 
-1. rows are hash-partitioned on (entity, date); totals per (entity, date) are
-   pre-aggregated there (map-side partial agg, then one small row per date);
+1. totals per (entity, date) are pre-aggregated map-side before their shuffle,
+   so only one small row per (entity, date) and task moves;
 2. a running sum over those per-date totals is a window per entity whose size
    is bounded by the number of calendar dates of that entity, not its rows;
 3. ties on the same date are ranked by a window on (entity, date) and the two
@@ -44,7 +44,8 @@ def exclusive_running(df: DataFrame, key, coarse: str, order: list, values: dict
         tot_aggs.append(F.sum(c).alias(f"__t_{name}_s"))
         if counts:
             tot_aggs.append(F.count(c).alias(f"__t_{name}_n"))
-    totals = rows.groupBy(*part).agg(*tot_aggs)
+    # partial aggregation runs before the shuffle: one small row per (key, date) per task
+    totals = df.groupBy(*part).agg(*tot_aggs)
 
     w_dates = Window.partitionBy(*keys).orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)
     before_cols = []
@@ -90,7 +91,7 @@ def next_on_calendar(df: DataFrame, key, date_col: str, order: list, out: str) -
     rows = df.repartition(*[F.col(c) for c in part])
     w_last = Window.partitionBy(*part).orderBy(*order).rowsBetween(1, 1)
     rows = rows.withColumn("__has_next_same", F.count(F.lit(1)).over(w_last) > 0)
-    dates = rows.select(*part).distinct()
+    dates = df.select(*part).distinct()  # de-duplicated map-side before the shuffle
     w_next = Window.partitionBy(*keys).orderBy(date_col)
     nxt = dates.select(*part, F.lead(date_col).over(w_next).alias("__next_date")) \
         .repartition(*[F.col(c) for c in part])

@@ -36,6 +36,34 @@ def episode_rows(daily: DataFrame, features=None, spec: PanelSpec = DEFAULT,
     return daily.groupBy(*keys, *extra).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
+def episode_rows_direct(ep: DataFrame, params: DataFrame, features, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """Per-episode ``rows`` computed from the (split, scaled) episode row itself:
+    day d = 0 .. length-1, the day feature scaled with the broadcast parameters,
+    the other features episode-constant, label and countdown from the phase rule
+    and the dates.  Row-local: no explode, no shuffle, no collect."""
+    from .expand import phase_label
+
+    j = ep.crossJoin(F.broadcast(params.select(f"{spec.day}__scale", f"{spec.day}__offset")))
+    sd, od = F.col(f"{spec.day}__scale"), F.col(f"{spec.day}__offset")
+
+    def one_day(d):
+        x = F.array(*[((d.cast("double") * sd + od) if c == spec.day else F.col(c)).cast("float")
+                      for c in features])
+        return F.struct(d.alias("o"), x.alias("x"),
+                        phase_label(d, spec.length, spec.prefix, spec.ovulation_offset).alias("y"),
+                        F.datediff(F.col(spec.next_start), F.date_add(F.col(spec.start), d))
+                        .cast("float").alias("r"))
+
+    rows = F.transform(F.sequence(F.lit(0), F.col(spec.length) - 1), one_day)
+    keys = [*spec.episode_keys] + (["split"] if "split" in ep.columns else [])
+    return j.select(*keys, rows.alias("rows"))
+
+
+def episode_sizes(daily: DataFrame, keys) -> DataFrame:
+    """Rows per episode (map-side partial count): enough for GEN3 / AGG16 / DQ17."""
+    return daily.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("__n"))
+
+
 def windows(ep_rows: DataFrame, lengths, keys=None, spec: PanelSpec = DEFAULT) -> DataFrame:
     """GEN2 + GEN4: one row per window: ``seq_length``, ``window_start`` (0-based row
     offset), ``win`` (slice of L row structs)."""
@@ -74,20 +102,58 @@ def window_digest(w: DataFrame) -> DataFrame:
     }).drop("win")
 
 
+def _prefix_sums(arr, value) -> Column:
+    """[0, v0, v0+v1, ...] of ``value(element)`` over an array (one pass per episode)."""
+    zero = F.array(F.lit(0).cast("long"))
+    return F.aggregate(arr, zero, lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) + value(e))))
+
+
+def window_digest_from_rows(ep_rows: DataFrame, lengths, keys=None) -> DataFrame:
+    """Same columns as ``window_digest(windows(ep_rows, L))``, but the per-element
+    work (label strings, prefix sums) runs once per episode; each window then
+    needs only array lookups, a slice and an md5 (all inside whole-stage codegen)."""
+    lengths = [lengths] if isinstance(lengths, int) else list(lengths)
+    keys = [c for c in ep_rows.columns if c != "rows"] if keys is None else list(keys)
+    n = F.size("rows")
+    pre = ep_rows.select(
+        *keys, n.alias("__n"),
+        F.transform("rows", lambda r: r["o"].cast("int")).alias("__days"),
+        F.transform("rows", lambda r: r["y"].cast("string")).alias("__lab"),
+        _prefix_sums("rows", lambda r: r["y"].cast("long")).alias("__cy"),
+        _prefix_sums("rows", lambda r: r["r"].cast("long")).alias("__cr"))
+    per_l = pre.select("*", F.explode(F.array(*[F.lit(int(x)) for x in lengths])).alias("seq_length")) \
+        .filter(F.col("__n") >= F.col("seq_length"))
+    st = per_l.select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - F.col("seq_length")))
+                      .alias("window_start"))
+    s, L = F.col("window_start"), F.col("seq_length")
+    return st.select(
+        *keys, "seq_length", "window_start",
+        F.element_at("__days", s + 1).alias("first_day"),
+        F.element_at("__days", s + L).alias("last_day"),
+        (F.element_at("__cy", s + L + 1) - F.element_at("__cy", s + 1)).alias("sum_label"),
+        (F.element_at("__cr", s + L + 1) - F.element_at("__cr", s + 1)).alias("sum_countdown"),
+        F.md5(F.array_join(F.slice("__lab", s + 1, L), ",")).alias("labels_md5"))
+
+
 def window_counts(ep_rows: DataFrame, lengths, keys=None) -> DataFrame:
     """GEN3 / AGG16 / DQ17: per (keys, L) episodes, skipped episodes, windows built
-    (counted on the exploded windows) and the closed form sum(max(rows-L+1, 0))."""
+    (counted on the exploded window starts) and the closed form sum(max(rows-L+1, 0)).
+    ``ep_rows`` has either the ``rows`` arrays or a ``__n`` row count per episode."""
     lengths = [lengths] if isinstance(lengths, int) else list(lengths)
     keys = list(keys or [])
-    per_l = ep_rows.select(*keys, F.size("rows").alias("__n"),
+    n = F.col("__n") if "__n" in ep_rows.columns else F.size("rows")
+    ep_rows = ep_rows.withColumn("__n", n)
+    per_l = ep_rows.select(*keys, "__n",
                            F.explode(F.array(*[F.lit(int(x)) for x in lengths])).alias("seq_length"))
     expected = per_l.groupBy(*keys, "seq_length").agg(
         F.count(F.lit(1)).alias("n_episodes"),
         F.sum((F.col("__n") < F.col("seq_length")).cast("long")).alias("n_skipped"),
         F.sum(F.greatest(F.col("__n") - F.col("seq_length") + 1, F.lit(0))).cast("long")
         .alias("n_windows_expected"))
-    built = windows(ep_rows, lengths).select(*keys, "seq_length")  # the slices are pruned
-    actual = built.groupBy(*keys, "seq_length").agg(F.count(F.lit(1)).alias("n_windows"))
+    # windows actually generated: the same start sequence as ``windows`` explodes
+    starts = per_l.filter(F.col("__n") >= F.col("seq_length")).select(
+        *keys, "seq_length", F.explode(F.sequence(F.lit(0), F.col("__n") - F.col("seq_length"))).alias("s"))
+    actual = starts.groupBy(*keys, "seq_length").agg(F.count(F.lit(1)).alias("n_windows"))
     return expected.join(actual, keys + ["seq_length"], "left").fillna(0, ["n_windows"])
 
 

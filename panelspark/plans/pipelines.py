@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..operators.encode import encode_categories
 from ..operators.scale import apply_minmax, fit_minmax
-from ..operators.sequences import episode_rows
+from ..operators.sequences import episode_rows_direct
 from ..operators.split import assign_split, split_cuts, split_membership
 from ..operators.expand import expand_days
 from ..operators.history import add_history
+from ..session import materialize
 from ..spec import DEFAULT, PanelSpec
 
 
@@ -34,22 +35,64 @@ def ordered_daily(panel: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     return panel.select(*[c for c in spec.daily_columns if c in panel.columns])
 
 
-def split_and_scale(daily: DataFrame, episodes: DataFrame, spec: PanelSpec = DEFAULT,
-                    ratios=None, seed: int | None = None):
-    """Entry B, first half: membership from the (small) episode table, row-local split
-    label on the daily panel, min/max fitted on train rows only and applied to all.
-    Returns (scaled panel with ``split`` and ``<day>_raw``, one-row scaler parameters)."""
-    kw = {}
-    if ratios is not None:
-        kw["ratios"] = ratios
-    if seed is not None:
-        kw["seed"] = seed
-    membership = split_membership(episodes, spec, **kw)
-    sp = assign_split(daily, split_cuts(membership, spec), spec, **({"seed": seed} if seed else {}))
-    params = fit_minmax(sp, spec.scale_columns, spec, fit_filter=F.col("split") == "train")
-    return apply_minmax(sp, params, spec.scale_columns, spec, keep_raw=(spec.day,)), params
-
-
-def window_source(scaled: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Entry B, second half: per-episode sorted rows (ordered by the raw day, T14)."""
-    return episode_rows(scaled, spec.input_features, spec, order_col=f"{spec.day}_raw")
+def prepared_episodes(episodes: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """Episode table with history features and encodings (everything episode-constant)."""
+    return encode_categories(add_history(episodes, spec), spec)
+
+
+def split_episodes(ep: DataFrame, spec: PanelSpec = DEFAULT, ratios=None, seed=None,
+                   materialize_input: bool = True) -> DataFrame:
+    """SPL1 + JN1 at episode level: membership on the distinct entities, then a
+    row-local split label from the broadcast one-row cut keys.  The episode
+    table feeds both, so it is checkpointed once first (see ``materialize``)."""
+    kw = {k: v for k, v in (("ratios", ratios), ("seed", seed)) if v is not None}
+    if materialize_input:
+        ep = materialize(ep)
+    membership = split_membership(ep, spec, **kw)
+    return assign_split(ep, split_cuts(membership, spec), spec, **({"seed": seed} if seed else {}))
+
+
+def split_daily(episodes: DataFrame, spec: PanelSpec = DEFAULT, ratios=None, seed=None) -> DataFrame:
+    """Unscaled daily panel with its ``split`` label, split decided per episode
+    (one hash per episode, not per day) before the explode."""
+    return expand_days(split_episodes(prepared_episodes(episodes, spec), spec, ratios, seed), spec)
+
+
+def fit_scaler_on_episodes(ep_split: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """SCL1 without exploding: on the daily panel every scaled column except the
+    day is constant within an episode and the day runs 0 .. length-1, so the
+    train min/max over days equal those over two rows per episode."""
+    ends = ep_split.withColumn(spec.day, F.explode(F.array(F.lit(0), F.col(spec.length) - 1)))
+    return fit_minmax(ends, spec.scale_columns, spec, fit_filter=F.col("split") == "train")
+
+
+def split_and_scale(episodes: DataFrame, spec: PanelSpec = DEFAULT, ratios=None, seed=None):
+    """Entry B, first half, as one plan: split and scale episode-constant columns on
+    the episode table, explode, then scale the day (raw day kept as ``<day>_raw``).
+    Returns (scaled daily panel with ``split``, one-row scaler parameters)."""
+    ep = split_episodes(prepared_episodes(episodes, spec), spec, ratios, seed)
+    params = fit_scaler_on_episodes(ep, spec)
+    static = [c for c in spec.scale_columns if c != spec.day]
+    daily = expand_days(apply_minmax(ep, params, static, spec), spec)
+    return apply_minmax(daily, params, [spec.day], spec, keep_raw=(spec.day,)), params
+
+
+def scaled_episodes(episodes: DataFrame, spec: PanelSpec = DEFAULT, ratios=None, seed=None):
+    """Split, scaled episode table (day not yet expanded) and the scaler parameters."""
+    ep = split_episodes(prepared_episodes(episodes, spec), spec, ratios, seed)
+    params = fit_scaler_on_episodes(ep, spec)
+    static = [c for c in spec.scale_columns if c != spec.day]
+    return apply_minmax(ep, params, static, spec), params
+
+
+def window_source(episodes: DataFrame, spec: PanelSpec = DEFAULT, features=None, ratios=None,
+                  seed=None) -> DataFrame:
+    """Entry B, second half: the per-episode sorted day rows of the split, scaled
+    panel, built directly from each episode row (GEN1 fused into GEN2).
+
+    The rows are the same as ``episode_rows(split_and_scale(...)[0])`` (tested),
+    but come without exploding, shuffling and re-collecting the daily panel.
+    """
+    ep, params = scaled_episodes(episodes, spec, ratios, seed)
+    feats = list(spec.input_features if features is None else features)
+    return episode_rows_direct(ep, params, feats, spec)

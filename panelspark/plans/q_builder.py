@@ -10,7 +10,9 @@ from ..sources.tables import (EPISODES_DIRTY_SQL, EPISODES_SQL, episodes,
                               episodes_dirty, episodes_with_duplicates, with_views)
 from ..spec import DEFAULT as S
 from ..spec import MULTILABEL_PATTERN, MULTILABEL_PATTERN_EDA
-from .pipelines import daily_panel, ordered_daily
+from ..operators.expand import expand_days
+from ..session import materialize
+from .pipelines import daily_panel, ordered_daily, prepared_episodes
 
 from .registry import query
 
@@ -356,10 +358,12 @@ _DQ_DAILY_ROWS = [
 
 
 @query("dq_daily_report", with_views(_report_sql(_DQ_DAILY_ROWS), EPISODES_SQL, HISTORY_SQL, DAILY_SQL, """
-pe AS (SELECT user_id, cycle_start_date, COUNT(*) AS rows, COUNT(DISTINCT day_in_cycle) AS days,
-  MIN(day_in_cycle) AS dmin, MAX(day_in_cycle) AS dmax, COUNT(DISTINCT sample_date) AS dates,
-  MIN(sample_date) AS smin, MAX(sample_date) AS smax, MAX(cycle_length) AS len
- FROM daily GROUP BY user_id, cycle_start_date),
+pd AS (SELECT user_id, cycle_start_date, day_in_cycle, COUNT(*) AS c, MAX(cycle_length) AS len,
+  COUNT(*) FILTER (WHERE sample_date IS DISTINCT FROM CAST(cycle_start_date + day_in_cycle AS DATE)) AS date_off
+ FROM daily GROUP BY user_id, cycle_start_date, day_in_cycle),
+pe AS (SELECT user_id, cycle_start_date, SUM(c) AS rows, COUNT(*) AS days, MIN(day_in_cycle) AS dmin,
+  MAX(day_in_cycle) AS dmax, MAX(len) AS len, SUM(date_off) AS date_off
+ FROM pd GROUP BY user_id, cycle_start_date),
 a AS (SELECT
  abs((SELECT COUNT(*) FROM daily) - (SELECT SUM(cycle_length) FROM episodes)) AS daily_rows_equal_length_sum,
  (SELECT COUNT(*) FILTER (WHERE NOT COALESCE(days_until_next_cycle >= 0, false)) FROM daily) AS countdown_negative,
@@ -367,10 +371,10 @@ a AS (SELECT
  (SELECT COUNT(*) FILTER (WHERE NOT COALESCE(phase_name IN ('menstruation', 'follicular', 'ovulation', 'luteal'),
    false)) FROM daily) AS label_name_domain,
  (SELECT COUNT(*) FILTER (WHERE hist_mean_cycle IS NULL OR hist_mean_period IS NULL) FROM daily) AS history_null,
- (SELECT COUNT(*) FILTER (WHERE NOT (rows = len AND days = rows AND dmin = 0 AND dmax = len - 1)) FROM pe)
-  AS episode_day_set,
- (SELECT COUNT(*) FILTER (WHERE NOT (dates = rows AND datediff('day', smin, smax) = rows - 1)) FROM pe)
-  AS sample_date_increasing)"""))
+ (SELECT COUNT(*) FILTER (WHERE NOT COALESCE(rows = len AND days = len AND dmin = 0 AND dmax = len - 1, false))
+  FROM pe) AS episode_day_set,
+ (SELECT COUNT(*) FILTER (WHERE date_off > 0) FROM pe) AS sample_date_increasing)"""))
 def q_dq_daily_report(spark, sf):
-    ep = episodes(spark, sf)
-    return quality.daily_report(daily_panel(ep), ep)
+    # the episode table feeds the daily panel and the expected row total: computed once
+    ep = materialize(prepared_episodes(episodes(spark, sf)))
+    return quality.daily_report(expand_days(ep), ep)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, forecast, sequences, split
+from ..operators import evaluate, forecast, sequences
 from ..sources.tables import episodes
 from ..spec import DEFAULT as S
-from .pipelines import daily_panel, split_and_scale
+from .pipelines import split_and_scale, split_daily, window_source
 from .q_prep import P
 from .registry import query
 
@@ -54,8 +54,7 @@ def E(body: str, *more: str) -> str:
 
 
 def _split_daily(spark, sf):
-    ep = episodes(spark, sf)
-    return split.assign_split(daily_panel(ep), split.split_cuts(split.split_membership(ep)))
+    return split_daily(episodes(spark, sf))
 
 
 def _pred(spark, sf):
@@ -135,8 +134,7 @@ def q_metrics_per_day(spark, sf):
 # --- rows-only: distributed model fits (no SQL twin) --------------------------
 
 def _scaled(spark, sf):
-    ep = episodes(spark, sf)
-    scaled, _ = split_and_scale(daily_panel(ep), ep)
+    scaled, _ = split_and_scale(episodes(spark, sf))
     return scaled
 
 
@@ -161,8 +159,7 @@ def q_countdown_regressor(spark, sf):
 @query("window_model")
 def q_window_model(spark, sf):
     from pyspark.ml.functions import vector_to_array
-    from ..plans.pipelines import window_source
-    w = sequences.windows(window_source(_scaled(spark, sf)), L)
+    w = sequences.windows(window_source(episodes(spark, sf)), L)
     flat = forecast.flatten_window_features(w)
     clf, reg = forecast.fit_window_models(flat)
     out = reg.transform(clf.transform(flat).withColumn("probs", vector_to_array("probability"))

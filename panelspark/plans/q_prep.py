@@ -9,7 +9,7 @@ from ..operators import scale, sequences, split
 from ..sources.tables import EPISODES_SQL, episodes, with_views
 from ..spec import DEFAULT as S
 from ..spec import SPLIT_RATIOS, SPLIT_SEED
-from .pipelines import daily_panel, split_and_scale, window_source
+from .pipelines import split_and_scale, split_daily, window_source
 from .q_builder import DAILY_SQL, HISTORY_SQL
 from .registry import query
 
@@ -50,13 +50,11 @@ def P(body: str, *more: str) -> str:
 
 
 def _prep(spark, sf):
-    ep = episodes(spark, sf)
-    return split_and_scale(daily_panel(ep), ep)
+    return split_and_scale(episodes(spark, sf))
 
 
-def _windows_src(spark, sf):
-    scaled, _ = _prep(spark, sf)
-    return window_source(scaled)
+def _windows_src(spark, sf, features=None):
+    return window_source(episodes(spark, sf), features=features)
 
 
 # --- split ----------------------------------------------------------------
@@ -76,10 +74,7 @@ SELECT pair, CAST(n AS BIGINT) AS n_entities FROM (
    INTERSECT SELECT user_id FROM dsplit WHERE split = 'test'))
  UNION ALL SELECT 'covered', (SELECT COUNT(DISTINCT user_id) FROM dsplit)) t"""))
 def q_split_overlap(spark, sf):
-    ep = episodes(spark, sf)
-    d = daily_panel(ep)
-    sp = split.assign_split(d, split.split_cuts(split.split_membership(ep)))
-    return split.split_overlap(sp)
+    return split.split_overlap(split_daily(episodes(spark, sf)))
 
 
 @query("split_summary", P(f"""
@@ -89,8 +84,7 @@ SELECT split, COUNT(DISTINCT user_id) AS n_entities,
  {R_TRAIN!r}e0 AS train_ratio, {R_VAL!r}e0 AS val_ratio, {R_TEST!r}e0 AS test_ratio, {SPLIT_SEED} AS random_state
 FROM dsplit GROUP BY split"""))
 def q_split_summary(spark, sf):
-    ep = episodes(spark, sf)
-    sp = split.assign_split(daily_panel(ep), split.split_cuts(split.split_membership(ep)))
+    sp = split_daily(episodes(spark, sf))
     # (entity, start) is unique per episode, so distinct episodes = rows at day 0
     return sp.groupBy("split").agg(
         F.countDistinct("user_id").alias("n_entities"),
@@ -106,8 +100,7 @@ SELECT split, phase_label, COUNT(*) AS n_rows,
  COUNT(*) * 100.0e0 / SUM(COUNT(*)) OVER (PARTITION BY split) AS share_pct
 FROM dsplit GROUP BY split, phase_label"""))
 def q_phase_share_by_split(spark, sf):
-    ep = episodes(spark, sf)
-    sp = split.assign_split(daily_panel(ep), split.split_cuts(split.split_membership(ep)))
+    sp = split_daily(episodes(spark, sf))
     c = sp.groupBy("split", "phase_label").agg(F.count(F.lit(1)).alias("n_rows"))
     # at most (#splits x #labels) rows: the per-split total is a tiny window
     return c.withColumn("share_pct", F.col("n_rows") * F.lit(100.0)
@@ -172,7 +165,8 @@ GROUP BY a.split, a.user_id, a.cycle_start_date, a.p""", POS_SQL)
 
 
 def _digest(spark, sf, L):
-    return sequences.window_digest(sequences.windows(_windows_src(spark, sf), L))
+    # the digest needs day, label and countdown only: no feature vectors are built
+    return sequences.window_digest_from_rows(_windows_src(spark, sf, features=[]), L)
 
 
 @query("window_digest_14", _digest_sql(14))
@@ -197,14 +191,14 @@ SELECT split, CAST(seq_length AS INT) AS seq_length, COUNT(*) AS n_episodes,
 FROM ep CROSS JOIN (SELECT * FROM (VALUES (14), (21), (40)) t(seq_length)) l
 GROUP BY split, seq_length""", EP_SQL))
 def q_window_counts(spark, sf):
-    return sequences.window_counts(_windows_src(spark, sf), [14, 21, 40], ["split"])
+    return sequences.window_counts(_windows_src(spark, sf, features=[]), [14, 21, 40], ["split"])
 
 
 @query("skipped_episodes", P("""
 SELECT split, user_id, cycle_start_date, CAST(n AS INT) AS n_rows, CAST(40 AS INT) AS seq_length
 FROM ep WHERE n < 40""", EP_SQL))
 def q_skipped_episodes(spark, sf):
-    src = _windows_src(spark, sf)
+    src = _windows_src(spark, sf, features=[])
     return src.filter(F.size("rows") < 40).select(
         "split", "user_id", "cycle_start_date", F.size("rows").alias("n_rows"),
         F.lit(40).alias("seq_length"))
@@ -221,10 +215,7 @@ GROUP BY a.split, l.L""", POS_SQL))
 def q_window_target_stats(spark, sf):
     """AGG18 over the flattened windows, computed without materialising them: each
     daily row counts as often as the windows that contain it (GEN5 by weight)."""
-    ep = episodes(spark, sf)
-    d = daily_panel(ep)
-    sp = split.assign_split(d, split.split_cuts(split.split_membership(ep)))
-    return window_target_stats(sp, [14, 21])
+    return window_target_stats(split_daily(episodes(spark, sf)), [14, 21])
 
 
 def window_target_stats(sp, lengths, spec=S):

@@ -23,6 +23,12 @@ LOCAL_CONF = {
     "spark.driver.memory": "16g",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # explode-heavy stages (days x 37, windows x 18) read small episode shuffles:
+    # size partitions for the work after the shuffle, not for its input bytes
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # checkpoint files of a finished plan are removed when their frame is collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -50,7 +56,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder.
+
+    Used where one intermediate table feeds several branches of a plan (split
+    membership, scaler fit, transform): it is computed once instead of once per
+    branch, and a lost executor re-reads it instead of replaying the lineage.
+    The checkpointed frame keeps its partitioning, so later groupings on the
+    same keys still need no shuffle.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    return df.checkpoint(eager=True)
