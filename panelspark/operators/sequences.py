@@ -44,6 +44,7 @@ def episode_rows_direct(ep: DataFrame, params: DataFrame, features, spec: PanelS
     from .expand import phase_label
 
     j = ep.crossJoin(F.broadcast(params.select(f"{spec.day}__scale", f"{spec.day}__offset")))
+    j = j.withColumn("__span", F.datediff(F.col(spec.next_start), F.col(spec.start)))
     sd, od = F.col(f"{spec.day}__scale"), F.col(f"{spec.day}__offset")
 
     def one_day(d):
@@ -51,8 +52,8 @@ def episode_rows_direct(ep: DataFrame, params: DataFrame, features, spec: PanelS
                       for c in features])
         return F.struct(d.alias("o"), x.alias("x"),
                         phase_label(d, spec.length, spec.prefix, spec.ovulation_offset).alias("y"),
-                        F.datediff(F.col(spec.next_start), F.date_add(F.col(spec.start), d))
-                        .cast("float").alias("r"))
+                        # next - (start + d) = (next - start) - d
+                        (F.col("__span") - d).cast("float").alias("r"))
 
     rows = F.transform(F.sequence(F.lit(0), F.col(spec.length) - 1), one_day)
     keys = [*spec.episode_keys] + (["split"] if "split" in ep.columns else [])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.prefix import exclusive_running, next_on_calendar
+from ..session import materialize
 
 EPOCH = "2023-03-20"
 
@@ -20,8 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One episode per order, laid end to end per customer from 2023-03-20."""
+def episodes(spark: SparkSession, sf_dir: str, materialized: bool | None = None) -> DataFrame:
+    """One episode per order, laid end to end per customer from 2023-03-20.
+
+    The view is a join plus a running sum; every consumer branch of a plan
+    would re-evaluate it, so by default it is written once to the shared
+    checkpoint folder (a derived table, like the reference's episode CSV)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
                                               "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -37,7 +42,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                           {"off": "cycle_length"}, counts=False)
     off = F.coalesce(F.col("off_sum"), F.lit(0)).cast("int")
     uid = F.col("user_id")
-    return s.select(
+    out = s.select(
         uid,
         (F.lit(18) + uid % 28).cast("int").alias("age"),
         (F.lit(18.0) + (uid % 120) / F.lit(10.0)).alias("bmi"),
@@ -60,6 +65,9 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.substring("o_orderpriority", 1, 1) == "4", "Headache")
         .otherwise("Mood Swings").alias("symptoms"),
     )
+    if materialized is None:
+        materialized = os.environ.get("PANELSPARK_MATERIALIZE_VIEWS", "1") == "1"
+    return materialize(out) if materialized else out
 
 
 def episodes_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
