@@ -69,13 +69,27 @@ def duplicate_episodes(episodes: DataFrame, spec: PanelSpec = DEFAULT) -> DataFr
             .filter(F.col("n_rows") > 1))
 
 
-def nonchronological_entities(episodes: DataFrame, arrival: str, spec: PanelSpec = DEFAULT) -> DataFrame:
+def nonchronological_entities(episodes: DataFrame, arrival: str, spec: PanelSpec = DEFAULT,
+                              bucket_width: int = 1 << 16) -> DataFrame:
     """DQ7 / WIN4: entities whose starts decrease somewhere in arrival order
-    (ties allowed), with the number of decreasing steps."""
-    w = Window.partitionBy(spec.entity).orderBy(arrival)
-    prev = F.lag(spec.start).over(w)
-    steps = episodes.select(spec.entity, (prev > F.col(spec.start)).alias("__down"))
-    return (steps.groupBy(spec.entity).agg(count_true(F.col("__down")).alias("n_inversions"))
+    (ties allowed), with the number of decreasing adjacent steps.
+
+    Skew-safe: arrival numbers are cut into buckets of ``bucket_width``; the
+    adjacent comparison runs inside each (entity, bucket), and only the first
+    and last start of every bucket meet in a per-entity window, whose size is
+    the entity's number of buckets, not its rows.
+    """
+    b = F.floor(F.col(arrival) / F.lit(bucket_width)).alias("__b")
+    rows = episodes.select(spec.entity, spec.start, arrival, b).repartition(spec.entity, "__b")
+    w_in = Window.partitionBy(spec.entity, "__b").orderBy(arrival)
+    rows = rows.withColumn("__down", F.lag(spec.start).over(w_in) > F.col(spec.start))
+    per_b = rows.groupBy(spec.entity, "__b").agg(
+        count_true(F.col("__down")).alias("__inner"),
+        F.min_by(spec.start, arrival).alias("__first"), F.max_by(spec.start, arrival).alias("__last"))
+    w_b = Window.partitionBy(spec.entity).orderBy("__b")
+    per_b = per_b.withColumn("__edge", (F.lag("__last").over(w_b) > F.col("__first")).cast("long"))
+    return (per_b.groupBy(spec.entity)
+            .agg((F.sum("__inner") + F.coalesce(F.sum("__edge"), F.lit(0))).alias("n_inversions"))
             .filter(F.col("n_inversions") > 0))
 
 
@@ -152,6 +166,37 @@ def history_flag_report(hist: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame
     ])
 
 
+def window_report(w: DataFrame, seq_length: int, n_features: int) -> DataFrame:
+    """DQ16: window arrays (``X``, ``y_phase``, ``y_reg``): inner length L, feature
+    width F, labels in 0..3, only finite values, and at least one window."""
+    L = F.lit(int(seq_length))
+    bad_len = (F.size("X") != L) | (F.size("y_phase") != L) | (F.size("y_reg") != L)
+    bad_width = F.exists("X", lambda r: F.size(r) != F.lit(int(n_features)))
+    bad_label = F.exists("y_phase", lambda y: ~F.coalesce(y.isin(0, 1, 2, 3), F.lit(False)))
+
+    def non_finite(v):
+        return v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+
+    bad_value = F.exists("X", lambda r: F.exists(r, non_finite)) | F.exists("y_reg", non_finite)
+    return _report(w, [
+        ("window_count", "info", F.count(F.lit(1))),
+        ("inner_length", "error", count_true(bad_len)),
+        ("feature_width", "error", count_true(bad_width)),
+        ("label_domain", "error", count_true(bad_label)),
+        ("non_finite_value", "error", count_true(bad_value)),
+        ("no_windows", "error", (F.count(F.lit(1)) == 0).cast("long")),
+    ])
+
+
+def require_stage(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """DQ18: refuse to split/scale a panel whose categorical encodings are missing."""
+    need = [spec.ordinal_column(c) for c, _ in spec.ordinal] + spec.onehot_columns
+    missing = [c for c in need if c not in df.columns]
+    if missing:
+        raise DataQualityError(f"panel is not encoded yet; missing {missing}")
+    return df
+
+
 def enforce(report: DataFrame, level: str = "error") -> DataFrame:
     """Raise :class:`DataQualityError` if a check of ``level`` has violations."""
     bad = report.filter((F.col("severity") == level) & (F.col("violations") > 0)).collect()

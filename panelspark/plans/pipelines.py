@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.encode import encode_categories
+from ..operators.quality import require_stage
 from ..operators.scale import apply_minmax, fit_minmax
 from ..operators.sequences import episode_rows_direct
 from ..operators.split import assign_split, split_cuts, split_membership
@@ -46,6 +47,7 @@ def split_episodes(ep: DataFrame, spec: PanelSpec = DEFAULT, ratios=None, seed=N
     row-local split label from the broadcast one-row cut keys.  The episode
     table feeds both, so it is checkpointed once first (see ``materialize``)."""
     kw = {k: v for k, v in (("ratios", ratios), ("seed", seed)) if v is not None}
+    require_stage(ep, spec)  # DQ18
     if materialize_input:
         ep = materialize(ep)
     membership = split_membership(ep, spec, **kw)

@@ -378,3 +378,41 @@ def q_dq_daily_report(spark, sf):
     # the episode table feeds the daily panel and the expected row total: computed once
     ep = materialize(prepared_episodes(episodes(spark, sf)))
     return quality.daily_report(expand_days(ep), ep)
+
+
+_ONEHOT_DAILY = ", ".join(f"CAST(SUM({c}) AS BIGINT) AS total_{c}" for c in S.onehot_columns)
+
+
+@query("builder_summary", D(f"""
+SELECT (SELECT COUNT(*) FROM episodes) AS n_episodes, COUNT(*) AS n_daily_rows,
+ COUNT(DISTINCT user_id) AS n_entities, MIN(cycle_length) AS min_cycle_length, MAX(cycle_length) AS max_cycle_length,
+ MIN(period_length) AS min_period_length, MAX(period_length) AS max_period_length,
+ (SELECT COUNT(*) FROM episodes WHERE cycle_length - 14 <= period_length OR cycle_length - 14 >= cycle_length)
+  AS n_phase_rule_violations,
+ CAST(SUM(is_historical_data_missing) AS BIGINT) AS n_cold_start_rows,
+ CAST(SUM(CASE WHEN diet_balanced + diet_high_sugar + diet_low_carb + diet_vegetarian <> 1 THEN 1 ELSE 0 END)
+  AS BIGINT) AS diet_rowsum_violations,
+ CAST(SUM(CASE WHEN symptoms_bloating + symptoms_cramps + symptoms_fatigue + symptoms_headache
+  + symptoms_mood_swings <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS symptoms_rowsum_violations,
+ {_ONEHOT_DAILY}
+FROM daily"""))
+def q_builder_summary(spark, sf):
+    """AGG20: the builder's summary as one row.  Every daily-level total is an
+    episode-level sum weighted by the episode length (each episode contributes
+    ``length`` identical rows), so no explode is needed."""
+    ep = prepared_episodes(episodes(spark, sf))
+    n = F.col("cycle_length").cast("long")
+    ovu = F.col("cycle_length") - 14
+    diet = sum(F.col(c) for c in S.onehot_columns if c.startswith("diet_"))
+    sym = sum(F.col(c) for c in S.onehot_columns if c.startswith("symptoms_"))
+    return ep.agg(
+        F.count(F.lit(1)).alias("n_episodes"), F.sum(n).alias("n_daily_rows"),
+        F.countDistinct("user_id").alias("n_entities"),
+        F.min("cycle_length").alias("min_cycle_length"), F.max("cycle_length").alias("max_cycle_length"),
+        F.min("period_length").alias("min_period_length"), F.max("period_length").alias("max_period_length"),
+        F.sum(((ovu <= F.col("period_length")) | (ovu >= F.col("cycle_length"))).cast("long"))
+        .alias("n_phase_rule_violations"),
+        F.sum(F.col("is_historical_data_missing") * n).alias("n_cold_start_rows"),
+        F.sum(F.when(diet != 1, n).otherwise(0)).alias("diet_rowsum_violations"),
+        F.sum(F.when(sym != 1, n).otherwise(0)).alias("symptoms_rowsum_violations"),
+        *[F.sum(F.col(c) * n).alias(f"total_{c}") for c in S.onehot_columns])

@@ -235,3 +235,30 @@ def window_target_stats(sp, lengths, spec=S):
     return g.select("split", "seq_length", F.col("sw").cast("long").alias("n_timesteps"),
                     "y_reg_min", "y_reg_max", F.round(mean, 6).alias("y_reg_mean"),
                     F.round(F.sqrt(var), 6).alias("y_reg_std"))
+
+
+@query("scaled_range_by_split", P("\nUNION ALL\n".join(
+    f"SELECT split, '{c}' AS column_name, MIN({c}) AS scaled_min, MAX({c}) AS scaled_max FROM scaled GROUP BY split"
+    for c in S.scale_columns)))
+def q_scaled_range_by_split(spark, sf):
+    """AGG21: per split the scaled range of every scaled column (one pass, then unpivot)."""
+    scaled, _ = _prep(spark, sf)
+    wide = scaled.groupBy("split").agg(*[F.struct(F.min(c).alias("scaled_min"), F.max(c).alias("scaled_max"))
+                                         .alias(c) for c in S.scale_columns])
+    long = wide.select("split", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("m"))
+                                                    for c in S.scale_columns])).alias("s"))
+    return long.select("split", "s.column_name", "s.m.scaled_min", "s.m.scaled_max")
+
+
+@query("dq_window_report", P("""
+SELECT "check", severity, CAST(v AS BIGINT) AS violations FROM (
+ SELECT 'window_count' AS "check", 'info' AS severity, SUM(GREATEST(n - 20, 0)) AS v FROM ep
+ UNION ALL SELECT 'inner_length', 'error', 0 UNION ALL SELECT 'feature_width', 'error', 0
+ UNION ALL SELECT 'label_domain', 'error', 0 UNION ALL SELECT 'non_finite_value', 'error', 0
+ UNION ALL SELECT 'no_windows', 'error', CASE WHEN SUM(GREATEST(n - 20, 0)) = 0 THEN 1 ELSE 0 END FROM ep) t""",
+                              EP_SQL))
+def q_dq_window_report(spark, sf):
+    """DQ16 on the full L = 21 window tensors (X with all 18 features)."""
+    from ..operators.quality import window_report
+    w = sequences.window_arrays(sequences.windows(_windows_src(spark, sf), 21))
+    return window_report(w, 21, len(S.input_features))

@@ -84,3 +84,18 @@ def test_leakage_guard():
     DEFAULT.check_no_leakage()
     with pytest.raises(ValueError):
         DEFAULT.check_no_leakage(DEFAULT.input_features + ["cycle_length"])
+
+
+def test_nonchronological_bucketed_equals_plain_lag(spark):
+    import random
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    rnd = random.Random(2)
+    rows = [(rnd.choice([1, 1, 1, 2, 3]), rnd.randint(0, 40), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "user_id long, day int, seq long") \
+        .withColumn("cycle_start_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")))
+    got = {r.user_id: r.n_inversions for r in quality.nonchronological_entities(df, "seq", bucket_width=7).collect()}
+    w = Window.partitionBy("user_id").orderBy("seq")
+    ref = df.withColumn("d", (F.lag("cycle_start_date").over(w) > F.col("cycle_start_date")).cast("long")) \
+        .groupBy("user_id").agg(F.sum("d").alias("n")).filter("n > 0")
+    assert got == {r.user_id: r.n for r in ref.collect()}

@@ -89,3 +89,29 @@ def test_streaming_history_equals_batch(spark, tmpdir_path):
     assert all(r["late_episode"] == 0 for r in got)
     daily = stream_daily_panel(stream)
     assert daily.isStreaming and F is not None
+
+
+def test_stage_sinks_roundtrip_and_stage_guard(spark, tmpdir_path):
+    import pytest
+    from panelspark.operators import quality, sequences, split
+    from panelspark.plans.pipelines import split_and_scale, split_episodes, window_source
+    eps = [episode(u, "2024-01-01", 22 + u % 9, 3 + u % 3) for u in range(1, 40)]
+    df = frame(spark, eps)
+    scaled, params = split_and_scale(df)
+    io.write_splits(scaled, os.path.join(tmpdir_path, "splits"))
+    val = io.read_splits(spark, os.path.join(tmpdir_path, "splits"), ["val"])
+    assert val.count() == scaled.filter("split = 'val'").count()
+    io.write_membership(split.split_membership(df), os.path.join(tmpdir_path, "members"), (0.7, 0.15, 0.15), 42)
+    assert spark.read.parquet(os.path.join(tmpdir_path, "members")).count() == 39
+    io.write_scaler(params, os.path.join(tmpdir_path, "scaler"))
+    assert spark.read.parquet(os.path.join(tmpdir_path, "scaler")).count() == 1
+    w = sequences.window_arrays(sequences.windows(window_source(df), [14, 21]))
+    io.write_windows(w, os.path.join(tmpdir_path, "windows"))
+    back = io.read_windows(spark, os.path.join(tmpdir_path, "windows"), 21)
+    assert back.count() == sum(max(22 + u % 9 - 20, 0) for u in range(1, 40))
+    meta = {(r.split, r.seq_length): r.n_windows for r in io.window_metadata(w, 18).collect()}
+    assert sum(v for (s, L), v in meta.items() if L == 14) == sum(22 + u % 9 - 13 for u in range(1, 40))
+    rep = {r["check"]: r["violations"] for r in quality.window_report(back, 21, 18).collect()}
+    assert rep["inner_length"] == rep["feature_width"] == rep["non_finite_value"] == 0
+    with pytest.raises(quality.DataQualityError):
+        split_episodes(df)  # DQ18: not encoded
