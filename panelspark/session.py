@@ -46,13 +46,23 @@ def local_session(cores: int | str = "*", app: str = "panelspark", **extra) -> S
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a scratch folder is set.
+    Only when the session names none (local tests, bench) a scratch folder is
+    used: the context's current one if it has one, else a new temp folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="panelspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Connect session: the server applies the conf
+        return named or ""
+    current = sc.getCheckpointDir()
+    if named:
+        if not current or named.rstrip("/") not in current:
+            sc.setCheckpointDir(named)
+        return named
+    if current:
+        return current
+    path = tempfile.mkdtemp(prefix="panelspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.setCheckpointDir(path)
     return path
 
 
