@@ -191,17 +191,19 @@ SELECT split, CAST(seq_length AS INT) AS seq_length, COUNT(*) AS n_episodes,
 FROM ep CROSS JOIN (SELECT * FROM (VALUES (14), (21), (40)) t(seq_length)) l
 GROUP BY split, seq_length""", EP_SQL))
 def q_window_counts(spark, sf):
-    return sequences.window_counts(_windows_src(spark, sf, features=[]), [14, 21, 40], ["split"])
+    # rows per episode counted on the split daily panel (explode + partial count on the
+    # inherited (entity, start) partitioning: no shuffle, no arrays)
+    sizes = sequences.episode_sizes(split_daily(episodes(spark, sf)), ["user_id", "cycle_start_date", "split"])
+    return sequences.window_counts(sizes, [14, 21, 40], ["split"])
 
 
 @query("skipped_episodes", P("""
 SELECT split, user_id, cycle_start_date, CAST(n AS INT) AS n_rows, CAST(40 AS INT) AS seq_length
 FROM ep WHERE n < 40""", EP_SQL))
 def q_skipped_episodes(spark, sf):
-    src = _windows_src(spark, sf, features=[])
-    return src.filter(F.size("rows") < 40).select(
-        "split", "user_id", "cycle_start_date", F.size("rows").alias("n_rows"),
-        F.lit(40).alias("seq_length"))
+    sizes = sequences.episode_sizes(split_daily(episodes(spark, sf)), ["user_id", "cycle_start_date", "split"])
+    return sizes.filter(F.col("__n") < 40).select(
+        "split", "user_id", "cycle_start_date", F.col("__n").alias("n_rows"), F.lit(40).alias("seq_length"))
 
 
 @query("window_target_stats", P("""
