@@ -80,6 +80,32 @@ def windows(ep_rows: DataFrame, lengths, keys=None, spec: PanelSpec = DEFAULT) -
                          F.slice("rows", F.col("window_start") + 1, F.col("seq_length")).alias("win"))
 
 
+def windows_by_position(df: DataFrame, keys, coarse: str, order: list, L: int, fields: dict) -> DataFrame:
+    """GEN2 for groups of any size: windows of ``L`` consecutive rows per group.
+
+    Skew-safe variant of ``episode_rows`` + ``windows`` for irregular groups (one
+    group may hold a third of the data): a row's position is its count of earlier
+    rows (two-level running count, ``coarse`` bounds the per-group window);
+    each row is emitted to the at most L windows containing it and windows are
+    grouped on (group, window_start), so every group holds at most L rows.
+    A start is a window only when all L positions arrived, which also skips
+    groups with fewer than L rows.  ``fields`` maps names to columns kept per row.
+    """
+    from .prefix import exclusive_running
+
+    keys = list(keys)
+    base = df.select(*keys, coarse, *order, *[F.col(c).alias(n) if isinstance(c, str) else c.alias(n)
+                                              for n, c in fields.items()]).withColumn("__one", F.lit(1))
+    pos = exclusive_running(base, keys, coarse, order, {"__p": "__one"}, counts=False)
+    p = F.coalesce(F.col("__p_sum"), F.lit(0)).cast("int")
+    row = F.struct(p.alias("p"), *[F.col(n).alias(n) for n in fields])
+    emitted = pos.select(*keys, row.alias("__r"),
+                         F.explode(F.sequence(F.greatest(F.lit(0), p - F.lit(L - 1)), p)).alias("window_start"))
+    w = emitted.groupBy(*keys, "window_start").agg(F.array_sort(F.collect_list("__r")).alias("win"),
+                                                  F.count(F.lit(1)).alias("__c"))
+    return w.filter(F.col("__c") == L).drop("__c").withColumn("seq_length", F.lit(int(L)))
+
+
 def window_arrays(w: DataFrame) -> DataFrame:
     """The reference's tensors per window: X (L x F float), y_phase (L int), y_reg (L float)."""
     return w.withColumns({
