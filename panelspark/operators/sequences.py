@@ -94,11 +94,12 @@ def windows_by_position(df: DataFrame, keys, coarse: str, order: list, L: int, f
     from .prefix import exclusive_running
 
     keys = list(keys)
-    base = df.select(*keys, coarse, *order, *[F.col(c).alias(n) if isinstance(c, str) else c.alias(n)
-                                              for n, c in fields.items()]).withColumn("__one", F.lit(1))
+    cols = list(dict.fromkeys([*keys, coarse, *order]))
+    base = df.select(*cols, *[(F.col(c) if isinstance(c, str) else c).alias(f"__f_{n}")
+                              for n, c in fields.items()]).withColumn("__one", F.lit(1))
     pos = exclusive_running(base, keys, coarse, order, {"__p": "__one"}, counts=False)
     p = F.coalesce(F.col("__p_sum"), F.lit(0)).cast("int")
-    row = F.struct(p.alias("p"), *[F.col(n).alias(n) for n in fields])
+    row = F.struct(p.alias("p"), *[F.col(f"__f_{n}").alias(n) for n in fields])
     emitted = pos.select(*keys, row.alias("__r"),
                          F.explode(F.sequence(F.greatest(F.lit(0), p - F.lit(L - 1)), p)).alias("window_start"))
     w = emitted.groupBy(*keys, "window_start").agg(F.array_sort(F.collect_list("__r")).alias("win"),
