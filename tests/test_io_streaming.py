@@ -41,6 +41,13 @@ def test_sinks_roundtrip(spark, tmpdir_path):
     io.write_daily(d, out)
     back = io.read_daily(spark, out)
     assert back.columns == DEFAULT.daily_columns and back.count() == d.count()
+    from panelspark.plans.pipelines import daily_for_sink
+    out2 = os.path.join(tmpdir_path, "daily_ranged")
+    io.write_daily(daily_for_sink(frame(spark, eps)), out2)
+    back2 = io.read_daily(spark, out2)
+    assert back2.count() == d.count()
+    plan = daily_for_sink(frame(spark, eps))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Exchange" not in plan.split("Generate")[0]
     io.write_contract(spark, os.path.join(tmpdir_path, "contract"), stage="encoded")
     c = io.read_contract(spark, os.path.join(tmpdir_path, "contract"))
     assert c["stage"] == "encoded" and c["input_features"] == DEFAULT.input_features
