@@ -109,24 +109,21 @@ def windows_by_position(df: DataFrame, keys, coarse: str, order: list, L: int, f
 
 def window_arrays(w: DataFrame) -> DataFrame:
     """The reference's tensors per window: X (L x F float), y_phase (L int), y_reg (L float)."""
-    return w.withColumns({
-        "X": F.transform("win", lambda r: r["x"]),
-        "y_phase": F.transform("win", lambda r: r["y"]),
-        "y_reg": F.transform("win", lambda r: r["r"]),
-    }).drop("win")
+    return w.withColumns({"X": F.col("win.x"), "y_phase": F.col("win.y"), "y_reg": F.col("win.r")}) \
+        .drop("win")
 
 
 def window_digest(w: DataFrame) -> DataFrame:
     """Comparable summary of each window: first/last day, label and countdown sums,
     md5 of the comma-joined labels."""
-    labels = F.transform("win", lambda r: r["y"])
+    labels = F.col("win.y")
     return w.withColumns({
         "first_day": F.col("win")[0]["o"].cast("int"),
         "last_day": F.element_at("win", -1)["o"].cast("int"),
         "sum_label": F.aggregate(labels, F.lit(0).cast("long"), lambda a, y: a + y),
-        "sum_countdown": F.aggregate(F.transform("win", lambda r: r["r"]), F.lit(0).cast("long"),
-                                     lambda a, r: a + r.cast("long")),
-        "labels_md5": F.md5(F.array_join(F.transform(labels, lambda y: y.cast("string")), ",")),
+        "sum_countdown": F.aggregate(F.col("win.r").cast("array<bigint>"), F.lit(0).cast("long"),
+                                     lambda a, r: a + r),
+        "labels_md5": F.md5(F.array_join(labels.cast("array<string>"), ",")),
     }).drop("win")
 
 
@@ -145,8 +142,9 @@ def window_digest_from_rows(ep_rows: DataFrame, lengths, keys=None) -> DataFrame
     n = F.size("rows")
     pre = ep_rows.select(
         *keys, n.alias("__n"),
-        F.transform("rows", lambda r: r["o"].cast("int")).alias("__days"),
-        F.transform("rows", lambda r: r["y"].cast("string")).alias("__lab"),
+        # field extraction and array casts stay inside whole-stage codegen (no lambdas)
+        F.col("rows.o").cast("array<int>").alias("__days"),
+        F.col("rows.y").cast("array<string>").alias("__lab"),
         _prefix_sums("rows", lambda r: r["y"].cast("long")).alias("__cy"),
         _prefix_sums("rows", lambda r: r["r"].cast("long")).alias("__cr"))
     per_l = pre.select("*", F.explode(F.array(*[F.lit(int(x)) for x in lengths])).alias("seq_length")) \
