@@ -39,23 +39,34 @@ def episode_rows(daily: DataFrame, features=None, spec: PanelSpec = DEFAULT,
 def episode_rows_direct(ep: DataFrame, params: DataFrame, features, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Per-episode ``rows`` computed from the (split, scaled) episode row itself:
     day d = 0 .. length-1, the day feature scaled with the broadcast parameters,
-    the other features episode-constant, label and countdown from the phase rule
-    and the dates.  Row-local: no explode, no shuffle, no collect."""
+    the other features episode-constant, label from the phase rule, countdown
+    from the dates.  Row-local: no explode, no shuffle, no collect.
+
+    Day and countdown arrays are ``sequence``s (whole-stage codegen); only the
+    phase label - and the feature vector when features are requested - need a
+    per-day lambda.  The arrays are zipped into the same struct layout as
+    :func:`episode_rows`.
+    """
     from .expand import phase_label
 
+    n = F.col(spec.length)
     j = ep.crossJoin(F.broadcast(params.select(f"{spec.day}__scale", f"{spec.day}__offset")))
-    j = j.withColumn("__span", F.datediff(F.col(spec.next_start), F.col(spec.start)))
+    span = F.datediff(F.col(spec.next_start), F.col(spec.start))
     sd, od = F.col(f"{spec.day}__scale"), F.col(f"{spec.day}__offset")
-
-    def one_day(d):
-        x = F.array(*[((d.cast("double") * sd + od) if c == spec.day else F.col(c)).cast("float")
-                      for c in features])
-        return F.struct(d.alias("o"), x.alias("x"),
-                        phase_label(d, spec.length, spec.prefix, spec.ovulation_offset).alias("y"),
-                        # next - (start + d) = (next - start) - d
-                        (F.col("__span") - d).cast("float").alias("r"))
-
-    rows = F.transform(F.sequence(F.lit(0), F.col(spec.length) - 1), one_day)
+    guard = F.raise_error(F.lit("episode length must be positive"))
+    days = F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(guard)
+    arrays = {
+        "__o": days,
+        # next - (start + d) for d = 0 .. n-1, counting down by one
+        "__r": F.when(n >= 1, F.sequence(span, span - n + 1, F.lit(-1))).otherwise(guard)
+        .cast("array<float>"),
+        "__y": F.transform(days, lambda d: phase_label(d, spec.length, spec.prefix, spec.ovulation_offset)),
+        "__x": F.transform(days, lambda d: F.array(*[
+            ((d.cast("double") * sd + od) if c == spec.day else F.col(c)).cast("float") for c in features])),
+    }
+    j = j.withColumns(arrays)
+    rows = F.arrays_zip(F.col("__o"), F.col("__x"), F.col("__y"), F.col("__r")).cast(
+        "array<struct<o:int,x:array<float>,y:int,r:float>>")
     keys = [*spec.episode_keys] + (["split"] if "split" in ep.columns else [])
     return j.select(*keys, rows.alias("rows"))
 
