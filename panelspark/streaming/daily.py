@@ -94,7 +94,9 @@ def start_daily_sink(daily_stream: DataFrame, path: str, checkpoint: str, trigge
     return w.start()
 
 
-def episode_stream(spark, path: str, schema: StructType) -> DataFrame:
-    """Episode files arriving in a folder (one micro-batch per new file set)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path) \
+def episode_stream(spark, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
+    """Episode files arriving in a folder or its sub-folders (one micro-batch per
+    ``files_per_batch`` new files, oldest first)."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch) \
+        .option("recursiveFileLookup", True).parquet(path) \
         .withColumn(DEFAULT.start, F.col(DEFAULT.start).cast("date"))
