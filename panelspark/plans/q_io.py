@@ -65,3 +65,42 @@ def q_windows_roundtrip_21(spark, sf):
     return sequences.window_digest(back.select("split", "user_id", "cycle_start_date", "seq_length",
                                                "window_start", "win"))
 
+
+
+@query("experiment_reports")
+def q_experiment_reports(spark, sf):
+    """SNK8 -> SRC6 -> EVL9 / GEN6 / EVL10 / WIN7 on experiments fitted on the tables:
+    the FCT2 classifier + FCT3 regressor (the two heads) under two settings, each scored on val/test (EVL8, nested
+    layout) and written with its training history as JSON; the reports are read
+    back into a leaderboard joined with each run's best iteration."""
+    from ..operators import evaluate, forecast
+    from .pipelines import split_and_scale
+
+    scaled, _ = split_and_scale(episodes(spark, sf))
+    base = _scratch(spark, "experiments")
+    for name, iters in (("lr_iter10", 10), ("lr_iter25", 25)):
+        model = forecast.fit_phase_classifier(scaled, max_iter=iters)
+        reg = forecast.fit_countdown_regressor(scaled, max_iter=iters)
+        scored = forecast.score_countdown_regressor(reg, forecast.score_phase_classifier(model, scaled))
+        pred = scored.filter(F.col("split") != "train") \
+            .select("split", F.col("phase_label").alias("y_phase"), "pred_label", "probs",
+                    F.col("days_until_next_cycle").cast("double").alias("y_reg"), "pred_reg")
+        nested = evaluate.metrics_nested(evaluate.metrics_report(pred))
+        head = nested.groupBy().agg(*[
+            F.first(F.when(F.col("split") == s, F.struct(*[c for c in nested.columns if c != "split"])),
+                    ignorenulls=True).alias(k) for s, k in (("val", "validation"), ("test", "test"))])
+        head = head.select(F.lit(name).alias("experiment"), "validation", "test",
+                           F.struct(F.lit("multinomial_lr").alias("model"), F.lit(iters).alias("max_iter"),
+                                    F.lit("lbfgs").alias("optimizer_name")).alias("experiment_config"))
+        io.write_report(head, os.path.join(base, "metrics"), mode="append")
+        # the fit's per-iteration objective (bounded by max_iter): the training history
+        loss = [float(v) for v in model.summary.objectiveHistory]
+        hist = spark.createDataFrame([(name, loss)], "experiment string, loss array<double>")
+        io.write_report(hist, os.path.join(base, "history"), mode="append")
+    reports = io.read_reports(spark, os.path.join(base, "metrics"))
+    board = evaluate.leaderboard(reports, split="test")
+    hist_long = evaluate.history_long(io.read_histories(spark, os.path.join(base, "history")))
+    best = evaluate.best_epoch(hist_long, metric="loss")
+    curves = evaluate.learning_curves(hist_long).groupBy("experiment").agg(
+        F.count(F.lit(1)).alias("n_curve_points"))
+    return board.join(best, "experiment").join(curves, "experiment")
