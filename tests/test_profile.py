@@ -68,3 +68,12 @@ def test_top_k_ties_by_id(spark):
     df = spark.createDataFrame([(3, 1.0), (1, 2.0), (2, 2.0)], "user_id long, s double")
     assert [r.user_id for r in profile.top_k(df, "s", 2, "user_id").collect()] == [1, 2]
     assert F is not None
+
+
+def test_describe_approx_flag_close_to_exact(spark):
+    df = spark.range(2001).select((F.col("id") * 0.5).alias("x"))
+    exact = profile.describe(df, ["x"]).first()
+    approx = profile.describe(df, ["x"], approx=True).first()
+    for k in ("p25", "p50", "p75"):
+        assert abs(exact[k] - approx[k]) <= 1.0
+    assert exact["count"] == approx["count"] == 2001
