@@ -96,10 +96,12 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
                    F.transform(_marked_lines(F.col("_text")),
                                lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"),
                                                   F.size(words_of(x)).alias("w"))).alias("_ls"))
-    df = df.withColumn("_hs", F.col("_ls.h"))
-    df = df.select("_id", "_host", "_ck", F.explode(F.transform("_ls", lambda x, i: F.struct(
+    df = df.withColumn("_hs", F.transform("_ls", lambda x: x["h"]))
+    # the outer form, as plain explode() makes Catalyst compute the array once more to drop empty ones early
+    df = df.select("_id", "_host", "_ck", F.explode_outer(F.transform("_ls", lambda x, i: F.struct(
         i.alias("i"), x["h"].alias("h"), x["w"].alias("w"),
         F.xxhash64(F.when(i > 0, F.get(F.col("_hs"), i - 1)), F.get(F.col("_hs"), i + 1)).alias("around")))).alias("l"))
+    df = df.filter(F.col("l").isNotNull())
     return df.select("_id", "_host", "_ck", "l.i", "l.h", "l.w", "l.around")
 
 
@@ -141,11 +143,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = out.withColumn("removed_words", F.aggregate("_gone", F.lit(0).cast("long"), lambda a, x: a + x["w"]))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & (left < min_left_share * F.col("n_words"))
-    out = out.withColumn("_gone_h", F.col("_gone.h"))
+    out = out.withColumn("_gone_h", F.transform("_gone", lambda x: x["h"]))
     clean = F.array_join(F.filter(lines_of(F.col("_text")), lambda x: ~F.array_contains(
         F.col("_gone_h"), F.xxhash64(normal_line(x)))), "\n")
     return out.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~depleted).alias("kept"),
         F.size("_gone").cast("long").alias("removed_lines"), "removed_words",
-        F.when(F.size("_gone") == 0, F.col("_text")).otherwise(clean).alias("clean_text"))
+        F.when(F.size("_gone_h") == 0, F.col("_text")).otherwise(clean).alias("clean_text"))

@@ -55,7 +55,8 @@ def window_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
         F.filter(raw, lambda r: F.rlike(r["x"], F.lit(HAS_WORD))),
         lambda r: F.struct(r["i"].alias("i"), F.xxhash64(normal_line(r["x"])).alias("h"),
                            F.size(words_of(r["x"])).alias("w"))).alias("_ls"))
-    df = df.select("_id", "_ck", F.col("_ls.i").alias("_i"), F.col("_ls.h").alias("_h"), F.col("_ls.w").alias("_w"))
+    # arrays of their own, not fields of _ls: a field would be taken out again for each element below
+    df = df.select("_id", "_ck", *[F.expr(f"transform(_ls, r -> r.{c})").alias(f"_{c}") for c in "ihw"])
     # a window of W words has at most W lines, as each has a word
     ahead = F.transform("_w", lambda w, j: F.struct(
         j.alias("a"), (j + _reach(F.slice(F.col("_w"), j + 1, F.lit(min_words)), min_words) - 1).alias("b")))
@@ -64,7 +65,8 @@ def window_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
                                       F.least(j + 1, F.lit(min_words)))), min_words) + 1).alias("a"), j.alias("b")))
     df = df.withColumn("_win", F.filter(F.concat(ahead, F.filter(back, lambda r: r["a"] < r["b"])),
                                         lambda r: r["a"].isNotNull() & r["b"].isNotNull()))
-    df = df.select("_id", "_ck", "_i", "_h", F.explode("_win").alias("r"))
+    # the outer form, as plain explode() makes Catalyst compute the array once more to drop empty ones early
+    df = df.select("_id", "_ck", "_i", "_h", F.explode_outer("_win").alias("r")).filter(F.col("r").isNotNull())
     df = df.withColumn("_s", F.slice(F.col("_h"), F.col("r.a") + 1, F.col("r.b") - F.col("r.a") + 1))
     df = df.withColumn("f", F.array_min("_s")).withColumn("o", F.array_position("_s", F.col("f")).cast("int"))
     return df.select("_id", "_ck", "r.a", "r.b", F.get("_i", F.col("r.a")).alias("ra"), F.get("_i", F.col("r.b")).alias("rb"),
