@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import op01_quality_rules as op1
 from . import op03_line_dedup as op3
+from . import op04_warc as op4
+from . import op05_url_templates as op5
+from . import op06_secret_scan as op6
 from .common import NORMAL_LINE_SQL, table
 
 QUERIES: dict = {}
@@ -30,6 +33,31 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(F.encode("clean_text", "utf-8")).alias("clean_md5"))
 
 
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = op4.archive_folder(spark)
+    index = op4.write_archives(table(spark, sf_dir, "pages"), folder)
+    return op4.read_records(index, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = op6.secret_spans(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in op6.BASE_RULES]
+    text = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    base = F.filter("spans", lambda x: x["kind"].isin(kinds))
+    return df.select(
+        "doc_id", *[F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(F.array_join(F.transform(base, text), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", text), ",").alias("spans"))
+
+
 #: Lines with a word of every document: d (document number), i (raw line number), t (normalised), w (words).
 LINES_SQL = f"""
 docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
