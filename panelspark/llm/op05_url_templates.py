@@ -70,7 +70,8 @@ def segments_of(path: Column, max_depth: int) -> Column:
 def template_tree(shapes: DataFrame, max_depth: int, max_children: int, min_share: float) -> DataFrame:
     """``shapes`` (host, segs, n, n_label, n_block) with ``t`` (array, the segments with wildcards)."""
     tree = shapes.withColumn("t", F.array().cast("array<string>"))
-    for d in range(max_depth):
+    deepest = shapes.agg(F.max(F.size("segs"))).first()[0] or 0
+    for d in range(min(deepest, max_depth)):
         seg = F.get("segs", F.lit(d))
         here = tree.filter(seg.isNotNull())
         child = here.groupBy("host", "t", seg.alias("s")).agg(F.sum("n").alias("c"))
@@ -83,6 +84,7 @@ def template_tree(shapes: DataFrame, max_depth: int, max_children: int, min_shar
         tree = tree.join(rare, (F.col("host") == F.col("r_host")) & (F.col("t") == F.col("r_t")) & (seg == F.col("r_s")), "left")
         tree = tree.withColumn("t", F.when(seg.isNull(), F.col("t")).otherwise(
             F.concat("t", F.array(F.when(F.col("r_s").isNull(), seg).otherwise("*"))))).drop("r_host", "r_t", "r_s")
+        tree = stage(tree, f"op5-level{d}")  # a level reads the one before three times
     return tree
 
 
