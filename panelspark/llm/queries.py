@@ -10,6 +10,8 @@ from . import op03_line_dedup as op3
 from . import op04_warc as op4
 from . import op05_url_templates as op5
 from . import op06_secret_scan as op6
+from . import op07_packing as op7
+from . import op08_bpe as op8
 from .common import NORMAL_LINE_SQL, table
 
 QUERIES: dict = {}
@@ -58,6 +60,27 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("spans", text), ",").alias("spans"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = op7.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = op8.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return op8.decode_documents(tokens, tokenizer_path()).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+
+
 #: Lines with a word of every document: d (document number), i (raw line number), t (normalised), w (words).
 LINES_SQL = f"""
 docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
