@@ -12,6 +12,7 @@ from . import op05_url_templates as op5
 from . import op06_secret_scan as op6
 from . import op07_packing as op7
 from . import op08_bpe as op8
+from . import op10_minhash as op10
 from .common import NORMAL_LINE_SQL, table
 
 QUERIES: dict = {}
@@ -81,6 +82,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
 
 
+@query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Lines with a word of every document: d (document number), i (raw line number), t (normalised), w (words).
 LINES_SQL = f"""
 docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
@@ -145,3 +151,20 @@ FROM docs LEFT JOIN texts USING (doc_id)
   LEFT JOIN (SELECT doc_id, count(*) AS n FROM ls GROUP BY doc_id) nl USING (doc_id)
   LEFT JOIN (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id) nh USING (doc_id)
   LEFT JOIN (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id) nr USING (doc_id)"""
+
+ORACLE["op10_minhash"] = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+       FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)
+       GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+          WHERE 100 * common >= 75 * (p.n + q.n - common)),
+sym AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM sym UNION SELECT reach.x, sym.y FROM reach JOIN sym ON reach.y = sym.x),
+smallest AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT words.doc_id, coalesce(n, 0) AS n_shingles, least(words.doc_id, coalesce(y, words.doc_id)) AS component_id,
+       least(words.doc_id, coalesce(y, words.doc_id)) = words.doc_id AS kept
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN smallest ON x = words.doc_id"""
