@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op01_quality_rules as op1
+from . import op02_lsh_search as op2
 from . import op03_line_dedup as op3
 from . import op04_warc as op4
 from . import op05_url_templates as op5
@@ -29,6 +30,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+@query
+def op2_lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
