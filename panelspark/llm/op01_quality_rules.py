@@ -119,10 +119,37 @@ def frequent_lines(lines: DataFrame, min_docs: int, max_share: float, min_around
             .select(F.col("_host").alias("f_host"), F.col("h").alias("f_h"), "n_docs", "n_around"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *,
-                  min_docs: int = 10, max_share: float = 0.005, min_around: float = 0.5,
-                  max_line_words: int = 40, min_left_share: float = 0.3) -> DataFrame:
-    """One row per document: id, base counts, base_failed, kept, removed_lines, removed_words, clean_text.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """One row per document: id, base counts, base_failed, kept, removed_lines, removed_words, clean_text. See ``judged``."""
+    return judged(docs, id_col, text_col, host_col, **limits).select(
+        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", "removed_lines", "removed_words", "clean_text")
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The kept rows of ``docs`` with all their columns, the text without the removed lines."""
+    # written first: a filter on the verdict would be pushed below the counts and repeat them for each array element
+    verdict = stage(judged(docs, id_col, text_col, host_col, **limits).select(
+        F.col("_id").alias("v_id"), F.col("_ck").alias("v_ck"), F.col("_host").alias("v_host"), "kept", "_gone_h"), "op1-verdicts")
+    verdict = verdict.filter("kept").dropDuplicates(["v_id", "v_ck", "v_host"])
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_row"),
+                     F.col(f"`{id_col}`").alias("_id"), F.col(f"`{host_col}`").cast("string").alias("_host"),
+                     text_of(text_col).alias("_text"))
+    out = df.join(verdict, F.col("_id").eqNullSafe(F.col("v_id")) & (F.xxhash64("_text") == F.col("v_ck"))
+                  & F.col("_host").eqNullSafe(F.col("v_host")))
+    return out.select(*[(_clean() if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _clean() -> Column:
+    """_text without the lines whose hashes are in _gone_h."""
+    left = F.array_join(F.filter(lines_of(F.col("_text")), lambda x: ~F.array_contains(
+        F.col("_gone_h"), F.xxhash64(normal_line(x)))), "\n")
+    return F.when(F.size("_gone_h") == 0, F.col("_text")).otherwise(left)
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, *, min_docs: int = 10, max_share: float = 0.005,
+           min_around: float = 0.5, max_line_words: int = 40, min_left_share: float = 0.3) -> DataFrame:
+    """_id, _ck, _host, base counts, verdicts, _gone_h (hashes of removed lines), clean_text of every document.
 
     A line is removed if, on its host, it stands in more than ``min_docs`` different texts and in more
     than ``max_share`` of them, with at least ``min_around`` different surroundings per text. Lines of over
@@ -144,10 +171,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & (left < min_left_share * F.col("n_words"))
     out = out.withColumn("_gone_h", F.transform("_gone", lambda x: x["h"]))
-    clean = F.array_join(F.filter(lines_of(F.col("_text")), lambda x: ~F.array_contains(
-        F.col("_gone_h"), F.xxhash64(normal_line(x)))), "\n")
     return out.select(
-        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "_id", "_ck", "_host", "_gone_h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~depleted).alias("kept"),
         F.size("_gone").cast("long").alias("removed_lines"), "removed_words",
-        F.when(F.size("_gone_h") == 0, F.col("_text")).otherwise(clean).alias("clean_text"))
+        _clean().alias("clean_text"))

@@ -137,15 +137,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return stage(df.mapInArrow(write, INDEX.format(id=id_type)), "op4-index")
 
 
-def read_records(index: DataFrame, folder: str, *, gap_bytes: int = 1 << 16, range_bytes: int = 8 << 20,
-                 block_bytes: int = 32 << 20) -> DataFrame:
+def read_records(index: DataFrame, folder: str, *, gap_bytes: int = 1 << 16, range_bytes: int = 4 << 20,
+                 block_bytes: int = 4 << 20) -> DataFrame:
     """The records that ``index`` rows (all of them, or any selection) point to, parsed.
 
     ``gap_bytes``: neighbours at most this far apart are fetched together; ``range_bytes``: most bytes of
     one fetch, unless one record is longer; ``block_bytes``: of a file, this much is one task's share."""
     id_type = index.schema["page_id"].dataType.simpleString()
+    # index rows are tiny, so the records' bytes, not the rows', tell how many tasks it takes
+    total = index.agg(F.sum("length")).first()[0] or 0
     dealt = (index.select("file", "offset", "length", F.floor(F.col("offset") / block_bytes).alias("_block"))
-             .repartition(F.col("file"), F.col("_block")).sortWithinPartitions("file", "offset"))
+             .repartition(total // block_bytes + 1, "file", "_block").sortWithinPartitions("file", "offset"))
 
     def ranges(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         now: list[tuple] = []

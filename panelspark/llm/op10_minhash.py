@@ -302,11 +302,37 @@ def rest_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: i
     return dealt.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, shingle: int = 5,
-                    bands: int = 32, rows: int = 4, seed: int = 1, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable), kept (id = component_id).
 
     Of rows that share the smallest id of a component, all are kept: they can't be told apart by id."""
+    named = component_rows(docs, id_col, text_col, **how)
+    first = named.filter("comp is not null").groupBy(F.col("comp").alias("f_comp")).agg(F.min("_id").alias("first"))
+    out = named.join(first, F.col("comp") == F.col("f_comp"), "left")
+    component = F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("first"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
+                      F.col("_id").eqNullSafe(component).alias("kept"))
+
+
+def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (then text hash), once if it repeats.
+    Rows without words are no duplicates and stay."""
+    named = component_rows(docs, id_col, text_col, **how)
+    # ids that aren't null first
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_ck")
+    chosen = (named.filter("comp is not null").groupBy("comp").agg(F.min(order).alias("r"))
+              .select(F.xxhash64("r._id", "r._ck").alias("_key"), F.col("r._id").alias("r_id"), F.col("r._ck").alias("r_ck")))
+    df = docs.select("*", text_of(text_col).alias("__text")).withColumn("__ck", F.xxhash64("__text"))
+    words = F.rlike("__text", F.lit(r"[^\x20\x09-\x0D]"))
+    rows = df.filter(words).withColumn("__key", F.xxhash64(F.col(f"`{id_col}`"), "__ck"))
+    rows = rows.join(chosen, (F.col("__key") == F.col("_key")) & F.col(f"`{id_col}`").eqNullSafe(F.col("r_id")) & (F.col("__ck") == F.col("r_ck")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.dropDuplicates(["__key"]).select(own).unionByName(df.filter(~words).select(own))
+
+
+def component_rows(docs: DataFrame, id_col: str, text_col: str, *, percent: int = 75, shingle: int = 5, bands: int = 32,
+                   rows: int = 4, seed: int = 1, block: int = 512) -> DataFrame:
+    """_id, _ck (text hash), n (set size), comp (a number of the component, null for empty sets) per row of ``docs``."""
     how = (shingle, bands, rows, seed)
     sketch = stage(sketches(docs, id_col, text_col, *how), "op10-sketch")
     nodes = sketch.filter("node is not null")
@@ -332,12 +358,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.limit(1).count():
         comps = components(links.unionByName(more))
     comps = comps.select(F.col("node").alias("c_node"), "comp")
-    named = sketch.select("_id", "n", "node").join(comps, F.col("node") == F.col("c_node"), "left")
-    named = named.select("_id", "n", F.coalesce("comp", "node").alias("comp"))
-    first = (named.filter("comp is not null").groupBy(F.col("comp").alias("f_comp")).agg(F.min("_id").alias("first")))
-    out = named.join(first, F.col("comp") == F.col("f_comp"), "left")
-    component = F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("first"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("_id").eqNullSafe(component).alias("kept"))
+    named = sketch.select("_id", "_ck", "n", "node").join(comps, F.col("node") == F.col("c_node"), "left")
+    return named.select("_id", "_ck", "n", F.coalesce("comp", "node").alias("comp"))
+
 
 

@@ -13,6 +13,7 @@ from . import op05_url_templates as op5
 from . import op06_secret_scan as op6
 from . import op07_packing as op7
 from . import op08_bpe as op8
+from . import op09_toxicity as op9
 from . import op10_minhash as op10
 from .common import NORMAL_LINE_SQL, table
 
@@ -88,6 +89,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = op9.toxicity(docs, op9.fit(docs, table(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @query
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.near_duplicates(table(spark, sf_dir, "documents"))
