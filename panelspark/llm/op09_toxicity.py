@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 WINDOW, STRIDE = 64, 32
+#: Learning rate of the embeddings, relative to the other weights.
+EMBEDDING_RATE = 0.02
 BUCKETS = 1 << 16  # of character n-grams
 GRAMS = (3, 4, 5)  # bytes of an n-gram, with a mark at either end of the word
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*$%&#|/\\-_=+@~`^0123456789"
@@ -317,8 +319,9 @@ def train(texts: Sequence[str], labels: np.ndarray, share: float, *, epochs: int
                 weight = np.where(y == 1, 0.5 / max((labels == 1).mean(), 1e-6), 0.5 / max((labels == 0).mean(), 1e-6)).astype(np.float32)
                 g = network.gradients(words, grams(words), odds[k][used], windows, y, weight)
                 step += 1
-                now = rate * (1 if epoch < epochs - 2 else 0.3)
-                for name, x in network.p.items():  # Adam
+                slow = rate * (1 if epoch < epochs - 2 else 0.3)
+                for name, x in network.p.items():  # Adam; embeddings learn slower, or they learn single texts by heart
+                    now = slow * (EMBEDDING_RATE if name in ("word", "char") else 1)
                     m, v = moments[name]
                     m += 0.1 * (g[name] - m)
                     v += 0.001 * (g[name] ** 2 - v)
