@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..spec import DEFAULT, REQUIRED_COLUMNS, PanelSpec, snake
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy", "dd.MM.yyyy")
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy", "dd.MM.yyyy",
+                "yyyyMMdd", "MMM d, yyyy")
 
 
 def normalize_column_names(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
@@ -23,10 +24,12 @@ def normalize_column_names(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFram
 
 
 def parse_date(c, formats=DATE_FORMATS):
-    """Lenient date parse: first format that fits, else null (never raises under ANSI)."""
+    """Lenient date parse: ISO forms (also with a time part) by cast, else the first format that fits, else
+    null (never raises under ANSI)."""
     src = F.col(c) if isinstance(c, str) else c
     s = F.trim(src.cast("string"))
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in formats])
+    iso = F.when(F.rlike(s, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}")), s.try_cast("date"))
+    return F.coalesce(iso, *[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in formats])
 
 
 def parse_dates(df: DataFrame, spec: PanelSpec = DEFAULT, formats=DATE_FORMATS) -> DataFrame:

@@ -109,8 +109,8 @@ def regression_error(df: DataFrame, y: str, pred: str, groups=(), weight: str |
     e = F.col(pred).cast("double") - F.col(y).cast("double")
     g = df.groupBy(*groups).agg(F.sum(w).alias("__sw"), F.sum(w * F.abs(e)).alias("__a"),
                                 F.sum(w * e * e).alias("__s"))
-    return g.select(*groups, (F.col("__a") / F.col("__sw")).alias("mae"),
-                    F.sqrt(F.col("__s") / F.col("__sw")).alias("rmse"))
+    return g.select(*groups, F.try_divide("__a", "__sw").alias("mae"),
+                    F.sqrt(F.try_divide("__s", "__sw")).alias("rmse"))
 
 
 def composite_loss(df: DataFrame, y: str, probs: str, y_reg: str, pred_reg: str, groups=(),
@@ -122,7 +122,7 @@ def composite_loss(df: DataFrame, y: str, probs: str, y_reg: str, pred_reg: str,
     ae = F.abs(F.col(pred_reg).cast("double") - F.col(y_reg).cast("double"))
     g = df.groupBy(*groups).agg(F.sum(w).alias("__sw"), F.sum(w * ce).alias("__c"),
                                 F.sum(w * ae).alias("__a"))
-    ce_m, mae = F.col("__c") / F.col("__sw"), F.col("__a") / F.col("__sw")
+    ce_m, mae = F.try_divide("__c", "__sw"), F.try_divide("__a", "__sw")
     return g.select(*groups, ce_m.alias("cross_entropy"), mae.alias("mae"),
                     (F.lit(weights[0]) * ce_m + F.lit(weights[1]) * mae).alias("composite_loss"))
 
@@ -131,8 +131,8 @@ def errors_from_cube(cube: DataFrame, groups=(), weights=LOSS_WEIGHTS) -> DataFr
     """EVL6 + EVL7 from the cube: MAE, RMSE, cross-entropy and the composite loss."""
     g = cube.groupBy(*groups).agg(F.sum("n").alias("__sw"), F.sum("sae").alias("__a"),
                                   F.sum("sse").alias("__s"), F.sum("sce").alias("__c"))
-    mae, ce = F.col("__a") / F.col("__sw"), F.col("__c") / F.col("__sw")
-    return g.select(*groups, mae.alias("mae"), F.sqrt(F.col("__s") / F.col("__sw")).alias("rmse"),
+    mae, ce = F.try_divide("__a", "__sw"), F.try_divide("__c", "__sw")
+    return g.select(*groups, mae.alias("mae"), F.sqrt(F.try_divide("__s", "__sw")).alias("rmse"),
                     ce.alias("cross_entropy"),
                     (F.lit(weights[0]) * ce + F.lit(weights[1]) * mae).alias("composite_loss"))
 

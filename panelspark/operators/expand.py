@@ -23,24 +23,22 @@ def phase_name(label, names) -> Column:
     return expr
 
 
-def day_sequence(length, max_day: int | None = None) -> Column:
+def day_sequence(length) -> Column:
     """0 .. length-1; a non-positive length fails the job (DQ1), never drops rows."""
     n = F.col(length) if isinstance(length, str) else length
-    upper = n - 1 if max_day is None else F.least(n - 1, F.lit(max_day))
-    return F.when(n >= 1, F.sequence(F.lit(0), upper)).otherwise(
+    return F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(
         F.raise_error(F.concat(F.lit("episode length must be positive, got "),
                                F.coalesce(n.cast("string"), F.lit("null")))))
 
 
-def expand_days(df: DataFrame, spec: PanelSpec = DEFAULT, max_day: int | None = None) -> DataFrame:
+def expand_days(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """GEN1 + PRJ7-9: explode episodes into days; all episode columns are kept.
 
     Row-local (``Generate`` inside whole-stage codegen): the daily panel keeps
     the partitioning of the episode table, so no shuffle follows the explode.
-    ``max_day`` bounds the generated sequence instead of filtering afterwards.
     """
     day = F.col(spec.day)
-    out = df.withColumn(spec.day, F.explode(day_sequence(spec.length, max_day)))
+    out = df.withColumn(spec.day, F.explode(day_sequence(spec.length)))
     sample = F.date_add(F.col(spec.start), day)
     out = out.withColumns({
         spec.sample_date: sample,

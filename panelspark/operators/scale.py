@@ -80,7 +80,7 @@ def range_report(df: DataFrame, columns=None, spec: PanelSpec = DEFAULT, tol: fl
     is_train = F.col("split") == "train"
     lo = F.when(is_train, F.lit(-tol)).otherwise(F.lit(0.0))
     hi = F.when(is_train, F.lit(1.0 + tol)).otherwise(F.lit(1.0))
-    oor = _total([((F.col(c) < lo) | (F.col(c) > hi)).cast("long") for c in columns])
+    oor = _total([F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False)).cast("long") for c in columns])
     nul = _total([F.col(c).isNull().cast("long") for c in columns])
     tnul = _total([F.col(c).isNull().cast("long") for c in targets if c in df.columns])
     nonbin = _total([(~F.coalesce(F.col(c).isin(0, 1), F.lit(False))).cast("long")

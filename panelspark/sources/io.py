@@ -64,18 +64,20 @@ def read_windows(spark: SparkSession, path: str, seq_length: int, splits=None) -
 
 def read_reports(spark: SparkSession, pattern: str) -> DataFrame:
     """SRC6: saved experiment reports; the experiment name comes from the file name."""
-    df = spark.read.option("multiLine", True).json(pattern)
-    if "experiment" in df.columns:  # written by write_report: a partition column
+    df = spark.read.json(pattern)
+    if "experiment" in df.columns:  # write_report's partition column: one document per line
         return df
+    df = spark.read.option("multiLine", True).json(pattern)  # one document per file
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(_metrics)?\.json$", 1)
     return df.withColumn("experiment", name)
 
 
 def read_histories(spark: SparkSession, pattern: str) -> DataFrame:
     """SRC6: saved training histories (one JSON object of equal-length arrays per file)."""
-    df = spark.read.option("multiLine", True).json(pattern)
-    if "experiment" in df.columns:  # written by write_report: a partition column
+    df = spark.read.json(pattern)
+    if "experiment" in df.columns:  # write_report's partition column: one document per line
         return df
+    df = spark.read.option("multiLine", True).json(pattern)  # one document per file
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(_history)?\.json$", 1)
     return df.withColumn("experiment", name)
 
