@@ -305,13 +305,13 @@ _DQ_EPISODE_ROWS = [
 ]
 
 
-def _report_sql(rows, source="a"):
+def report_sql(rows, source="a"):
     return "\nUNION ALL\n".join(
         f"SELECT '{n}' AS \"check\", '{s}' AS severity, CAST({n} AS BIGINT) AS violations FROM {source}"
         for n, s in rows)
 
 
-@query("dq_episode_report", with_views(_report_sql(_DQ_EPISODE_ROWS), EPISODES_SQL, EPISODES_DIRTY_SQL,
+@query("dq_episode_report", with_views(report_sql(_DQ_EPISODE_ROWS), EPISODES_SQL, EPISODES_DIRTY_SQL,
                                        _DQ_EPISODE_SQL))
 def q_dq_episode_report(spark, sf):
     ep = clean.drop_bad_dates(_parsed_dirty(spark, sf))
@@ -350,30 +350,36 @@ def q_phase_rule_violations(spark, sf):
     return quality.phase_rule_violations(episodes_dirty(spark, sf))
 
 
-_DQ_DAILY_ROWS = [
+DQ_DAILY_ROWS = [
     ("daily_rows_equal_length_sum", "error"), ("countdown_negative", "error"), ("label_domain", "error"),
     ("label_name_domain", "error"), ("history_null", "error"), ("episode_day_set", "error"),
     ("sample_date_increasing", "error"),
 ]
 
 
-@query("dq_daily_report", with_views(_report_sql(_DQ_DAILY_ROWS), EPISODES_SQL, HISTORY_SQL, DAILY_SQL, """
+def daily_report_sql(panel: str) -> tuple[str, ...]:
+    """Views that end in ``a``: one row of violation counts of the daily panel ``panel``."""
+    return (f"""
 pd AS (SELECT user_id, cycle_start_date, day_in_cycle, COUNT(*) AS c, MAX(cycle_length) AS len,
   COUNT(*) FILTER (WHERE sample_date IS DISTINCT FROM CAST(cycle_start_date + day_in_cycle AS DATE)) AS date_off
- FROM daily GROUP BY user_id, cycle_start_date, day_in_cycle),
+ FROM {panel} GROUP BY user_id, cycle_start_date, day_in_cycle),
 pe AS (SELECT user_id, cycle_start_date, SUM(c) AS rows, COUNT(*) AS days, MIN(day_in_cycle) AS dmin,
   MAX(day_in_cycle) AS dmax, MAX(len) AS len, SUM(date_off) AS date_off
  FROM pd GROUP BY user_id, cycle_start_date),
 a AS (SELECT
- abs((SELECT COUNT(*) FROM daily) - (SELECT SUM(cycle_length) FROM episodes)) AS daily_rows_equal_length_sum,
- (SELECT COUNT(*) FILTER (WHERE NOT COALESCE(days_until_next_cycle >= 0, false)) FROM daily) AS countdown_negative,
- (SELECT COUNT(*) FILTER (WHERE NOT COALESCE(phase_label IN (0, 1, 2, 3), false)) FROM daily) AS label_domain,
+ abs((SELECT COUNT(*) FROM {panel}) - (SELECT SUM(cycle_length) FROM episodes)) AS daily_rows_equal_length_sum,
+ (SELECT COUNT(*) FILTER (WHERE NOT COALESCE(days_until_next_cycle >= 0, false)) FROM {panel}) AS countdown_negative,
+ (SELECT COUNT(*) FILTER (WHERE NOT COALESCE(phase_label IN (0, 1, 2, 3), false)) FROM {panel}) AS label_domain,
  (SELECT COUNT(*) FILTER (WHERE NOT COALESCE(phase_name IN ('menstruation', 'follicular', 'ovulation', 'luteal'),
-   false)) FROM daily) AS label_name_domain,
- (SELECT COUNT(*) FILTER (WHERE hist_mean_cycle IS NULL OR hist_mean_period IS NULL) FROM daily) AS history_null,
+   false)) FROM {panel}) AS label_name_domain,
+ (SELECT COUNT(*) FILTER (WHERE hist_mean_cycle IS NULL OR hist_mean_period IS NULL) FROM {panel}) AS history_null,
  (SELECT COUNT(*) FILTER (WHERE NOT COALESCE(rows = len AND days = len AND dmin = 0 AND dmax = len - 1, false))
   FROM pe) AS episode_day_set,
- (SELECT COUNT(*) FILTER (WHERE date_off > 0) FROM pe) AS sample_date_increasing)"""))
+ (SELECT COUNT(*) FILTER (WHERE date_off > 0) FROM pe) AS sample_date_increasing)""",)
+
+
+@query("dq_daily_report", with_views(report_sql(DQ_DAILY_ROWS), EPISODES_SQL, HISTORY_SQL, DAILY_SQL,
+                                     *daily_report_sql("daily")))
 def q_dq_daily_report(spark, sf):
     # the episode table feeds the daily panel and the expected row total: computed once
     ep = materialize(prepared_episodes(episodes(spark, sf)))

@@ -127,17 +127,22 @@ def q_minmax_scaled(spark, sf):
 _IND = S.indicator_columns
 
 
-@query("scaled_out_of_range", P(f"""
+def range_report_sql(panel: str) -> str:
+    """DQ12-DQ14 of the scaled panel ``panel``."""
+    return f"""
 SELECT split,
- CAST(SUM({' + '.join(f"CAST(({c} < lo OR {c} > hi) AS BIGINT)" for c in S.scale_columns)}) AS BIGINT) AS n_out_of_range,
+ CAST(SUM({' + '.join(f"CAST(COALESCE({c} < lo OR {c} > hi, false) AS BIGINT)" for c in S.scale_columns)}) AS BIGINT) AS n_out_of_range,
  CAST(SUM({' + '.join(f"CAST({c} IS NULL AS BIGINT)" for c in S.scale_columns)}) AS BIGINT) AS n_null_scaled,
  CAST(SUM(CAST(days_until_next_cycle IS NULL AS BIGINT) + CAST(phase_label IS NULL AS BIGINT)) AS BIGINT)
   AS n_null_target,
  CAST(SUM({' + '.join(f"CAST(NOT COALESCE({c} IN (0, 1), false) AS BIGINT)" for c in _IND)}) AS BIGINT)
   AS n_non_binary
 FROM (SELECT *, CASE WHEN split = 'train' THEN -1e-9 ELSE 0.0e0 END AS lo,
-       CASE WHEN split = 'train' THEN 1.0e0 + 1e-9 ELSE 1.0e0 END AS hi FROM scaled) s
-GROUP BY split"""))
+       CASE WHEN split = 'train' THEN 1.0e0 + 1e-9 ELSE 1.0e0 END AS hi FROM {panel}) s
+GROUP BY split"""
+
+
+@query("scaled_out_of_range", P(range_report_sql("scaled")))
 def q_scaled_out_of_range(spark, sf):
     scaled, _ = _prep(spark, sf)
     return scale.range_report(scaled)
