@@ -192,12 +192,11 @@ def leaderboard(reports: DataFrame, split: str = "test", by: str = "macro_f1") -
     ).orderBy(F.col(by).desc(), "experiment")
 
 
-# Fixed key fallbacks of the training history (first present wins).
+# Keys of each curve in a training history, the first present wins (validation keys have "val_" before).
 HISTORY_KEYS = {
-    "phase_loss": ("phase_output_loss", "phase_loss"),
-    "regression_loss": ("regression_output_loss", "regression_loss"),
-    "phase_accuracy": ("phase_output_accuracy", "phase_accuracy", "accuracy"),
-    "regression_mae": ("regression_output_mae", "regression_mae", "mae"),
+    "loss": ("loss",),
+    "phase_accuracy": ("phase_output_accuracy", "phase_output_acc", "accuracy", "acc"),
+    "regression_mae": ("regression_output_mae", "regression_output_mean_absolute_error", "regression_mae", "mae"),
 }
 
 
@@ -211,19 +210,16 @@ def history_long(history: DataFrame) -> DataFrame:
 
 
 def learning_curves(hist_long: DataFrame) -> DataFrame:
-    """EVL10: train vs validation value per (experiment, epoch, curve), with key fallbacks."""
-    rows = []
-    for curve, keys in {"loss": ("loss",), **HISTORY_KEYS}.items():
-        for rank, k in enumerate(keys):
-            rows.append((curve, rank, k))
-    spark = hist_long.sparkSession
-    fb = spark.createDataFrame(rows, "curve string, rank int, key string")
+    """EVL10: train vs validation value per (experiment, epoch, curve). The key of a curve is chosen for train and
+    for validation on their own, so they may have different names."""
+    rows = [(curve, rank, k) for curve, keys in HISTORY_KEYS.items() for rank, k in enumerate(keys)]
+    fb = hist_long.sparkSession.createDataFrame(rows, "curve string, rank int, key string")
     h = hist_long.withColumn("phase", F.when(F.col("metric").startswith("val_"), "val").otherwise("train")) \
         .withColumn("key", F.regexp_replace("metric", "^val_", ""))
     j = h.join(F.broadcast(fb), "key")  # fallback table: a fixed handful of rows
-    best = j.groupBy("experiment", "curve").agg(F.min("rank").alias("rank"))
-    j = j.join(best, ["experiment", "curve", "rank"])
-    return j.groupBy("experiment", "curve", "epoch").pivot("phase", ["train", "val"]).agg(F.first("value"))
+    return j.groupBy("experiment", "curve", "epoch").agg(*[
+        F.min_by(F.when(F.col("phase") == p, F.col("value")), F.when(F.col("phase") == p, F.col("rank"))).alias(p)
+        for p in ("train", "val")])
 
 
 def best_epoch(hist_long: DataFrame, metric: str = "val_loss") -> DataFrame:

@@ -18,6 +18,16 @@ from pyspark.sql import functions as F
 from ..spec import DEFAULT, PanelSpec
 
 
+def require_features(panel: DataFrame, features=None, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """PRJ16: raise if the panel lacks a window feature, target or key; PRJ15: no forbidden one among them."""
+    features = list(features if features is not None else spec.input_features)
+    spec.check_no_leakage(features)
+    missing = [c for c in (*spec.episode_keys, *features, spec.label, spec.countdown) if c not in panel.columns]
+    if missing:
+        raise ValueError(f"panel lacks columns for windows: {missing}")
+    return panel
+
+
 def episode_rows(daily: DataFrame, features=None, spec: PanelSpec = DEFAULT,
                  order_col: str | None = None, keys=None) -> DataFrame:
     """Per episode: ``rows`` = array of struct(o, x, y, r) sorted by ``o`` (day).

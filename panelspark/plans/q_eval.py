@@ -13,16 +13,22 @@ from .registry import query
 
 L = 21  # window length of the reference's final run
 
-PRED_SQL = f"""
-pred AS (SELECT split, user_id, cycle_start_date, day_in_cycle, phase_label AS y_phase,
+
+def pred_sql(n: int, name: str = "pred") -> str:
+    """The history forecast of every day, weighted with the number of windows of ``n`` days that hold the day."""
+    return f"""
+{name} AS (SELECT split, user_id, cycle_start_date, day_in_cycle, phase_label AS y_phase,
   CAST(days_until_next_cycle AS DOUBLE) AS y_reg,
   CAST(CASE WHEN day_in_cycle < ph THEN 0 WHEN day_in_cycle < ch - 14 THEN 1 WHEN day_in_cycle = ch - 14 THEN 2
    ELSE 3 END AS INT) AS pred_label,
   GREATEST(hist_mean_cycle - day_in_cycle, 0.0e0) AS pred_reg,
-  CAST(GREATEST(LEAST(day_in_cycle, cycle_length - {L}) - GREATEST(0, day_in_cycle - {L - 1}) + 1, 0) AS BIGINT) AS w
+  CAST(GREATEST(LEAST(day_in_cycle, cycle_length - {n}) - GREATEST(0, day_in_cycle - {n - 1}) + 1, 0) AS BIGINT) AS w
  FROM (SELECT *, CAST(round_even(hist_mean_cycle, 0) AS INT) AS ch, CAST(round_even(hist_mean_period, 0) AS INT) AS ph
        FROM dsplit) t)"""
 
+
+PRED_SQL = pred_sql(L)
+
 CONF_SQL = """
 conf AS (SELECT s.split, l.t AS true_label, l.p AS pred_label, COALESCE(c.n, 0.0e0) AS n
  FROM (SELECT DISTINCT split FROM pred) s
@@ -57,29 +63,29 @@ def _split_daily(spark, sf):
     return split_daily(episodes(spark, sf))
 
 
-def _pred(spark, sf):
+def predictions(spark, sf, n: int = L):
     p = forecast.history_forecast(_split_daily(spark, sf))
     return p.select("split", "user_id", "cycle_start_date", "day_in_cycle",
                     F.col("phase_label").alias("y_phase"),
                     F.col("days_until_next_cycle").cast("double").alias("y_reg"),
                     "pred_label", "pred_reg", "probs",
-                    sequences.timestep_weight("day_in_cycle", "cycle_length", L).alias("w"))
+                    sequences.timestep_weight("day_in_cycle", "cycle_length", n).alias("w"))
 
 
 @query("forecast_history", E("""
 SELECT split, user_id, cycle_start_date, day_in_cycle, y_phase, y_reg, pred_label, pred_reg, w FROM pred"""))
 def q_forecast_history(spark, sf):
-    return _pred(spark, sf).drop("probs")
+    return predictions(spark, sf).drop("probs")
 
 
 @query("confusion_matrix", E("SELECT * FROM conf"))
 def q_confusion_matrix(spark, sf):
-    return evaluate.confusion_long(_pred(spark, sf), "y_phase", "pred_label", ["split"], "w")
+    return evaluate.confusion_long(predictions(spark, sf), "y_phase", "pred_label", ["split"], "w")
 
 
 @query("class_report", E("SELECT split, label, class_name, precision, recall, f1, support, predicted FROM rep"))
 def q_class_report(spark, sf):
-    conf = evaluate.confusion_long(_pred(spark, sf), "y_phase", "pred_label", ["split"], "w")
+    conf = evaluate.confusion_long(predictions(spark, sf), "y_phase", "pred_label", ["split"], "w")
     return evaluate.class_report(conf, ["split"]).drop("tp")
 
 
@@ -87,14 +93,14 @@ def q_class_report(spark, sf):
 SELECT split, round(accuracy, 9) AS accuracy, round(macro_f1, 9) AS macro_f1, round(weighted_f1, 9) AS weighted_f1
 FROM summ"""))
 def q_macro_weighted_f1(spark, sf):
-    conf = evaluate.confusion_long(_pred(spark, sf), "y_phase", "pred_label", ["split"], "w")
+    conf = evaluate.confusion_long(predictions(spark, sf), "y_phase", "pred_label", ["split"], "w")
     s = evaluate.summary_scores(evaluate.class_report(conf, ["split"]), ["split"])
     return s.select("split", *[F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
 
 
 @query("regression_error", E("SELECT split, round(mae, 9) AS mae, round(rmse, 9) AS rmse FROM reg"))
 def q_regression_error(spark, sf):
-    r = evaluate.regression_error(_pred(spark, sf), "y_reg", "pred_reg", ["split"], "w")
+    r = evaluate.regression_error(predictions(spark, sf), "y_reg", "pred_reg", ["split"], "w")
     return r.select("split", F.round("mae", 9).alias("mae"), F.round("rmse", 9).alias("rmse"))
 
 
@@ -102,20 +108,23 @@ def q_regression_error(spark, sf):
 SELECT split, round(cross_entropy, 9) AS cross_entropy, round(mae, 9) AS mae,
  round(1.0e0 * cross_entropy + 0.1e0 * mae, 9) AS composite_loss FROM reg"""))
 def q_composite_loss(spark, sf):
-    c = evaluate.composite_loss(_pred(spark, sf), "y_phase", "probs", "y_reg", "pred_reg", ["split"], "w")
+    c = evaluate.composite_loss(predictions(spark, sf), "y_phase", "probs", "y_reg", "pred_reg", ["split"], "w")
     return c.select("split", *[F.round(x, 9).alias(x) for x in ("cross_entropy", "mae", "composite_loss")])
 
 
 _TOP = ["accuracy", "macro_f1", "weighted_f1", "mae", "rmse", "cross_entropy", "composite_loss"]
 
 
-@query("metrics_report", E("\nUNION ALL\n".join(
+METRICS_SQL = "\nUNION ALL\n".join(
     [f"SELECT split, '{m}' AS metric, CAST(NULL AS VARCHAR) AS class_name, round({m}, 9) AS value "
      f"FROM summ JOIN reg USING (split) JOIN (SELECT split, 1.0e0 * cross_entropy + 0.1e0 * mae AS composite_loss "
      f"FROM reg) cl USING (split)" for m in _TOP]
-    + [f"SELECT split, '{m}', class_name, round({m}, 9) FROM rep" for m in ("precision", "recall", "f1", "support")])))
+    + [f"SELECT split, '{m}', class_name, round({m}, 9) FROM rep" for m in ("precision", "recall", "f1", "support")])
+
+
+@query("metrics_report", E(METRICS_SQL))
 def q_metrics_report(spark, sf):
-    return evaluate.metrics_report(_pred(spark, sf), ["split"], "w")
+    return evaluate.metrics_report(predictions(spark, sf), ["split"], "w")
 
 
 @query("metrics_per_day", E("""
@@ -123,7 +132,7 @@ SELECT split, round(SUM(CASE WHEN y_phase = pred_label THEN 1 ELSE 0 END) * 1.0e
  round(AVG(abs(pred_reg - y_reg)), 9) AS mae FROM pred GROUP BY split"""))
 def q_metrics_per_day(spark, sf):
     """T12: the same scores over distinct days (weight 1) instead of window timesteps."""
-    p = _pred(spark, sf)
+    p = predictions(spark, sf)
     conf = evaluate.confusion_long(p, "y_phase", "pred_label", ["split"])
     acc = evaluate.summary_scores(evaluate.class_report(conf, ["split"]), ["split"])
     reg = evaluate.regression_error(p, "y_reg", "pred_reg", ["split"])

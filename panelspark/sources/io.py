@@ -51,9 +51,8 @@ def read_splits(spark: SparkSession, path: str, splits=None) -> DataFrame:
 
 
 def read_contract(spark: SparkSession, path: str) -> dict:
-    """SRC4: the feature contract (a one-row JSON document) as a dict."""
-    row = spark.read.option("multiLine", True).json(path).first()
-    return json.loads(json.dumps(row.asDict(recursive=True)))
+    """SRC4: the feature contract (one JSON document) as a dict."""
+    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
 
 
 def read_windows(spark: SparkSession, path: str, seq_length: int, splits=None) -> DataFrame:
@@ -106,10 +105,10 @@ def write_splits(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     panel.write.mode(mode).partitionBy("split").parquet(path)
 
 
-def write_membership(membership: DataFrame, path: str, ratios, seed: int, mode: str = "overwrite") -> None:
+def write_membership(membership: DataFrame, path: str, ratios, seed: int, mode: str = "overwrite",
+                     spec: PanelSpec = DEFAULT) -> None:
     """SNK3: entity -> split, with the split parameters as columns."""
-    membership.select("user_id" if "user_id" in membership.columns else membership.columns[0],
-                      "split", F.lit(float(ratios[0])).alias("train_ratio"),
+    membership.select(spec.entity, "split", F.lit(float(ratios[0])).alias("train_ratio"),
                       F.lit(float(ratios[1])).alias("val_ratio"), F.lit(float(ratios[2])).alias("test_ratio"),
                       F.lit(int(seed)).alias("random_state")).write.mode(mode).parquet(path)
 
@@ -135,8 +134,18 @@ def write_contract(spark: SparkSession, path: str, spec: PanelSpec = DEFAULT, st
         **(extra or {}),
     }
     spec.check_no_leakage()
-    spark.createDataFrame([(json.dumps(doc),)], "doc string").coalesce(1) \
-        .write.mode("overwrite").text(path)
+    _write_document(spark, path, doc)
+
+
+def update_contract(spark: SparkSession, path: str, sections: dict) -> dict:
+    """SNK5: add or replace sections (split, scaler, stage) of a stored contract, keeping the others."""
+    doc = {**read_contract(spark, path), **sections}
+    _write_document(spark, path, doc)
+    return doc
+
+
+def _write_document(spark: SparkSession, path: str, doc: dict) -> None:
+    spark.createDataFrame([(json.dumps(doc),)], "doc string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_windows(w: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -144,10 +153,16 @@ def write_windows(w: DataFrame, path: str, mode: str = "overwrite") -> None:
     w.write.mode(mode).partitionBy("seq_length", "split").parquet(path)
 
 
-def window_metadata(w: DataFrame, n_features: int) -> DataFrame:
-    """SNK7: shapes per (split, length): n_windows x L x F."""
-    return w.groupBy("split", "seq_length").agg(F.count(F.lit(1)).alias("n_windows")) \
-        .withColumn("n_features", F.lit(int(n_features)))
+def window_metadata(w: DataFrame, n_features: int | None = None, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """SNK7: shapes per (split, length): n_windows x L x F (F measured on ``X`` unless given) and the targets."""
+    width = F.max(F.size(F.col("X")[0])) if n_features is None else F.lit(int(n_features))
+    return w.groupBy("split", "seq_length").agg(F.count(F.lit(1)).alias("n_windows"), width.alias("n_features")) \
+        .withColumn("targets", F.array(F.lit(spec.label), F.lit(spec.countdown)))
+
+
+def write_window_metadata(meta: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """SNK7 as JSON lines, one per (split, length)."""
+    meta.coalesce(1).write.mode(mode).json(path)
 
 
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
