@@ -38,12 +38,12 @@ def encode_categories(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
 
 def unexpected_categories(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """PRJ12: values outside each vocabulary (null included) with their row counts."""
-    parts = []
-    for column, vocab in list(spec.ordinal) + list(spec.onehot):
-        parts.append(df.filter(~in_vocab(column, vocab))
-                     .groupBy(F.col(column).alias("value")).count()
-                     .select(F.lit(column).alias("column_name"), "value", F.col("count").alias("n_rows")))
-    return reduce(DataFrame.unionByName, parts)
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(column).alias("column_name"), F.col(column).cast("string").alias("value"),
+                 in_vocab(column, vocab).alias("known"))
+        for column, vocab in list(spec.ordinal) + list(spec.onehot)]))
+    return df.select(cells.alias("v")).select("v.*").filter(~F.col("known")) \
+        .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def multilabel_values(df: DataFrame, columns=("diet", "symptoms"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import first_argmax
@@ -51,16 +51,14 @@ def prediction_cube(df: DataFrame, y: str, yhat: str, groups=(), weight: str | N
 
 
 def confusion_from_cube(cube: DataFrame, groups=(), labels=LABELS) -> DataFrame:
-    """EVL3: (groups, true_label, pred_label, n) for every label pair, empty cells 0."""
-    groups = list(groups)
-    spark: SparkSession = cube.sparkSession
-    lab = spark.createDataFrame([(int(a), int(b)) for a in labels for b in labels],
-                                "true_label int, pred_label int")
-    if groups:
-        lab = cube.select(*groups).distinct().crossJoin(lab)  # groups x 16 cells: tiny
-    out = lab.join(cube.select(*groups, "true_label", "pred_label", "n"),
-                   [*groups, "true_label", "pred_label"], "left")
-    return out.select(*groups, "true_label", "pred_label", F.coalesce("n", F.lit(0.0)).alias("n"))
+    """EVL3: (groups, true_label, pred_label, n) for every label pair, empty cells 0. The cube is read once: the
+    pairs are added to its cells as zeros."""
+    zeros = [F.struct(F.lit(int(a)).alias("true_label"), F.lit(int(b)).alias("pred_label"), F.lit(0.0).alias("n"))
+             for a in labels for b in labels]
+    cells = F.explode(F.array(F.struct("true_label", "pred_label", F.col("n").cast("double").alias("n")), *zeros))
+    return cube.select(*groups, cells.alias("c")).select(*groups, "c.*") \
+        .filter(F.col("true_label").isin(list(labels)) & F.col("pred_label").isin(list(labels))) \
+        .groupBy(*groups, "true_label", "pred_label").agg(F.sum("n").alias("n"))
 
 
 def confusion_long(df: DataFrame, y: str, yhat: str, groups=(), weight: str | None = None,
@@ -75,22 +73,26 @@ def confusion_matrix(conf_long: DataFrame, groups=(), labels=LABELS) -> DataFram
         .fillna(0.0)
 
 
-def class_report(conf_long: DataFrame, groups=(), names=PHASE_NAMES) -> DataFrame:
-    """EVL4: per class precision, recall, F1 and support; a zero denominator gives 0."""
+def class_report(conf_long: DataFrame, groups=(), names=PHASE_NAMES, carry=()) -> DataFrame:
+    """EVL4: per class precision, recall, F1 and support; a zero denominator gives 0. Each cell counts for the
+    support of its true label and the predictions of its predicted one, in one pass. Columns in ``carry`` are
+    summed under the true label."""
     groups = list(groups)
-    tp = conf_long.filter(F.col("true_label") == F.col("pred_label")) \
-        .select(*groups, F.col("true_label").alias("label"), F.col("n").alias("tp"))
-    sup = conf_long.groupBy(*groups, F.col("true_label").alias("label")).agg(F.sum("n").alias("support"))
-    pred = conf_long.groupBy(*groups, F.col("pred_label").alias("label")).agg(F.sum("n").alias("predicted"))
-    j = tp.join(sup, [*groups, "label"]).join(pred, [*groups, "label"])
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("label") + 1)
+    hit = F.col("true_label") == F.col("pred_label")
     z = F.lit(0.0)
-    return j.select(*groups, "label", name.alias("class_name"),
-                    F.coalesce(F.try_divide("tp", "predicted"), z).alias("precision"),
-                    F.coalesce(F.try_divide("tp", "support"), z).alias("recall"),
-                    F.coalesce(F.try_divide(F.col("tp") * 2.0, F.col("support") + F.col("predicted")), z)
-                    .alias("f1"),
-                    "support", "predicted", "tp")
+    as_true = F.struct(F.col("true_label").alias("label"), F.col("n").alias("support"), z.alias("predicted"),
+                       F.when(hit, F.col("n")).otherwise(z).alias("tp"), *[F.col(c) for c in carry])
+    as_pred = F.struct(F.col("pred_label").alias("label"), z.alias("support"), F.col("n").alias("predicted"),
+                       z.alias("tp"), *[z.alias(c) for c in carry])
+    sums = conf_long.select(*groups, F.explode(F.array(as_true, as_pred)).alias("c")).select(*groups, "c.*") \
+        .groupBy(*groups, "label").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp", *carry)])
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("label") + 1)
+    return sums.select(*groups, "label", name.alias("class_name"),
+                       F.coalesce(F.try_divide("tp", "predicted"), z).alias("precision"),
+                       F.coalesce(F.try_divide("tp", "support"), z).alias("recall"),
+                       F.coalesce(F.try_divide(F.col("tp") * 2.0, F.col("support") + F.col("predicted")), z)
+                       .alias("f1"),
+                       "support", "predicted", "tp", *carry)
 
 
 def summary_scores(report: DataFrame, groups=()) -> DataFrame:
@@ -144,13 +146,34 @@ def metrics_report(pred: DataFrame, groups=("split",), weight: str | None = None
     from a single pass over the predictions (the cube)."""
     groups = list(groups)
     cube = prediction_cube(pred, y, yhat, groups, weight, y_reg, pred_reg, probs)
-    rep = class_report(confusion_from_cube(cube, groups), groups)
-    summ = summary_scores(rep, groups)
-    top = summ.join(errors_from_cube(cube, groups), groups)
-    names = ["accuracy", "macro_f1", "weighted_f1", "mae", "rmse", "cross_entropy", "composite_loss"]
-    a = top.unpivot(groups, names, "metric", "value").withColumn("class_name", F.lit(None).cast("string"))
-    per = rep.unpivot([*groups, "class_name"], ["precision", "recall", "f1", "support"], "metric", "value")
-    return a.unionByName(per).withColumn("value", F.round("value", digits))
+    errors = ["sae", "sse", "sce"]
+    zeros = [F.struct(F.lit(a).alias("true_label"), F.lit(a).alias("pred_label"),
+                      *[F.lit(0.0).alias(c) for c in ("n", *errors)]) for a in LABELS]  # every class gets its row
+    cells = cube.select(*groups, F.explode(F.array(F.struct("true_label", "pred_label", "n", *errors), *zeros))
+                        .alias("c")).select(*groups, "c.*")
+    rep = class_report(cells, groups, carry=errors)
+    present = (F.col("support") + F.col("predicted")) > 0
+    total = F.sum("support")
+    mae, ce = F.try_divide(F.sum("sae"), total), F.try_divide(F.sum("sce"), total)
+    head = {"accuracy": F.try_divide(F.sum("tp"), total),
+            "macro_f1": F.avg(F.when(present, F.col("f1"))),
+            "weighted_f1": F.try_divide(F.sum(F.col("f1") * F.col("support")), total),
+            "mae": mae, "rmse": F.sqrt(F.try_divide(F.sum("sse"), total)), "cross_entropy": ce,
+            "composite_loss": F.lit(LOSS_WEIGHTS[0]) * ce + F.lit(LOSS_WEIGHTS[1]) * mae}
+    per_class = ("precision", "recall", "f1", "support")
+    wide = rep.groupBy(*groups).agg(*[v.alias(k) for k, v in head.items()],
+                                    F.collect_list(F.struct("class_name", *per_class)).alias("classes"))  # 4 classes
+
+    def line(metric, class_name, value):
+        return F.struct(F.lit(metric).alias("metric"), value.alias("value"), class_name.alias("class_name"))
+
+    top = F.array(*[line(m, F.lit(None).cast("string"), F.col(m)) for m in head])
+
+    def lines(metric):
+        return F.transform("classes", lambda c: line(metric, c["class_name"], c[metric]))
+
+    return wide.select(*groups, F.explode(F.concat(top, *map(lines, per_class))).alias("r")).select(*groups, "r.*") \
+        .withColumn("value", F.round("value", digits))
 
 
 def metrics_nested(report_long: DataFrame, groups=("split",)) -> DataFrame:

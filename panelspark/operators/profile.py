@@ -2,25 +2,71 @@
 
 Every statistic is one ``agg`` (partial on the map side, merged after one
 small shuffle); wide results are unpivoted to (column_name, ...) rows.
-Exact percentiles (``percentile``) keep a value -> count map per column, which
-is compact for the discrete columns profiled here; ``approx=True`` switches
-to ``percentile_approx`` for continuous columns at large scale.
+Quantiles are exact and distributed (:func:`quantiles`): values are counted
+per distinct value, ranks are located in range buckets and then inside the
+bucket that holds them, so no column meets in one task.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import round_half_even
 from ..spec import DEFAULT, PanelSpec
 
 
-def _pct(c, q, approx=False):
-    x = F.col(c).cast("double")
-    return F.percentile_approx(x, q, 100000) if approx else F.percentile(x, F.lit(q))
+def _number(c):
+    """A column as double; NaN counts as missing."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
+def _long(df: DataFrame, columns) -> DataFrame:
+    """(column_name, x) for the present values of numeric columns."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _number(c).alias("x")) for c in columns]))
+    return df.select(cells.alias("v")).select("v.*").filter(F.col("x").isNotNull())
+
+
+def quantiles(df: DataFrame, columns, qs, buckets: int = 4096) -> DataFrame:
+    """Exact quantiles with linear interpolation: (column_name, q<i> for each of ``qs``).
+
+    One shuffle counts equal values (pre-aggregated on the map side); the rest reads that result. ``buckets`` equal
+    ranges per column get a running count, which names the bucket of every wanted rank; only the values of these
+    buckets are sorted, each bucket in a task of its own (the window spills). Broadcast are the ranges (one row a
+    column) and the wanted ranks (two rows a column and quantile).
+    """
+    counts = _long(df, columns).groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("c"))
+    rng = counts.groupBy("column_name").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n"))
+    share = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    placed = counts.join(F.broadcast(rng), "column_name").select(
+        "column_name", "x", "c", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int").alias("b"))
+
+    earlier = Window.partitionBy("column_name").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("column_name", "b").agg(F.sum("c").alias("bc"))  # at most ``buckets`` rows a column
+    totals = totals.withColumn("before", F.coalesce(F.sum("bc").over(earlier), F.lit(0)))
+
+    pos = F.col("q.at") * (F.col("n") - 1)
+    want = rng.select("column_name", "n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("at")) for i, q in enumerate(qs)])).alias("q"))
+    want = want.select("column_name", F.col("q.i").alias("i"), (pos - F.floor(pos)).alias("part"),
+                       F.explode(F.array(F.struct(F.lit(0).alias("upper"), F.floor(pos).alias("k")),
+                                         F.struct(F.lit(1).alias("upper"), F.ceil(pos).alias("k")))).alias("r"))
+    want = want.select("column_name", "i", "part", "r.upper", "r.k").join(totals, "column_name") \
+        .filter((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("bc"))).drop("bc")
+
+    inside = Window.partitionBy("column_name", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    named = want.select("column_name", "b").distinct()
+    ranked = placed.join(F.broadcast(named), ["column_name", "b"]) \
+        .withColumn("below", F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    first = F.col("before") + F.col("below")
+    hit = ranked.join(F.broadcast(want), ["column_name", "b"]) \
+        .filter((F.col("k") >= first) & (F.col("k") < first + F.col("c")))
+    both = hit.groupBy("column_name", "i", "part").agg(
+        F.max(F.when(F.col("upper") == 0, F.col("x"))).alias("x0"),
+        F.max(F.when(F.col("upper") == 1, F.col("x"))).alias("x1"))
+    value = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("part")
+    return both.groupBy("column_name").agg(*[F.max(F.when(F.col("i") == i, value)).alias(f"q{i}")
+                                             for i in range(len(qs))])
 
 
 def episodes_per_entity(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
@@ -31,30 +77,35 @@ def episodes_per_entity(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
 def entity_overview(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """AGG2: entities, rows, mean (2 dp, half-even) / min / median / max episodes per entity."""
     per = episodes_per_entity(df, spec)
-    return per.agg(F.count(F.lit(1)).alias("n_entities"),
+    head = per.agg(F.count(F.lit(1)).alias("n_entities"),
                    F.sum("n_episodes").alias("n_rows"),
                    round_half_even(F.avg("n_episodes"), 2).alias("mean_per_entity"),
                    F.min("n_episodes").alias("min_per_entity"),
-                   F.percentile(F.col("n_episodes").cast("double"), F.lit(0.5)).alias("median_per_entity"),
                    F.max("n_episodes").alias("max_per_entity"))
+    median = quantiles(per, ["n_episodes"], [0.5]).select(F.col("q0").alias("median_per_entity"))
+    return head.join(median, F.lit(True), "left")  # one row each; no median without entities
 
 
 def describe(df: DataFrame, columns, digits: int = 2, approx: bool = False) -> DataFrame:
-    """AGG3: count, mean, sample std, min, 25/50/75 % (linear), max, rounded half-even."""
+    """AGG3: count, mean, sample std, min, 25/50/75 % (linear), max, rounded half-even. NaN counts as missing.
+
+    ``approx=True`` takes the quartiles from ``percentile_approx``: one pass, but each is a value near the wanted
+    rank (relative rank error 1e-5) and not interpolated."""
+    columns = list(columns)
+    qs = (0.25, 0.5, 0.75)
     aggs = []
     for c in columns:
-        x = F.col(c).cast("double")
-        aggs.append(F.struct(
-            F.lit(c).alias("column_name"), F.count(x).alias("count"),
-            round_half_even(F.avg(x), digits).alias("mean"),
-            round_half_even(F.stddev_samp(x), digits).alias("std"),
-            round_half_even(F.min(x), digits).alias("min"),
-            round_half_even(_pct(c, 0.25, approx), digits).alias("p25"),
-            round_half_even(_pct(c, 0.5, approx), digits).alias("p50"),
-            round_half_even(_pct(c, 0.75, approx), digits).alias("p75"),
-            round_half_even(F.max(x), digits).alias("max")).alias(c))
-    wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("s")).select("s.*")
+        x = _number(c)
+        fields = [F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                  F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+        if approx:
+            fields += [F.percentile_approx(x, q, 100000).alias(f"q{i}") for i, q in enumerate(qs)]
+        aggs.append(F.struct(*fields).alias(c))
+    rows = df.agg(*aggs).select(F.explode(F.array(*[F.col(c) for c in columns])).alias("s")).select("s.*")
+    if not approx:
+        rows = rows.join(quantiles(df, columns, qs), "column_name", "left")
+    names = {"mean": "mean", "std": "std", "min": "min", "q0": "p25", "q1": "p50", "q2": "p75", "max": "max"}
+    return rows.select("column_name", "count", *[round_half_even(F.col(k), digits).alias(v) for k, v in names.items()])
 
 
 def missing_values(df: DataFrame, columns=None, digits: int = 2) -> DataFrame:
@@ -89,14 +140,13 @@ def value_counts(df: DataFrame, column: str, source: str | None = None) -> DataF
     return out if source is None else out.withColumn("source", F.lit(source))
 
 
-def distinct_values(df: DataFrame, columns, sep: str = "|") -> DataFrame:
-    """AGG7: sorted distinct non-null values per column, joined, with their number."""
-    parts = [df.agg(F.lit(c).alias("column_name"),
-                    F.array_sort(F.collect_set(F.col(c).cast("string"))).alias("__v"))
-             for c in columns]
-    u = reduce(DataFrame.unionByName, parts)
-    return u.select("column_name", F.size("__v").alias("n_distinct"),
-                    F.array_join("__v", sep).alias("values_joined"))
+def distinct_values(df: DataFrame, columns) -> DataFrame:
+    """AGG7: one row per column and distinct non-null value, with the column's number of them."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+                                for c in columns]))
+    values = df.select(cells.alias("v")).select("v.*").filter(F.col("value").isNotNull()).distinct()
+    n = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return values.join(F.broadcast(n), "column_name")  # one row per column
 
 
 def entity_stats(df: DataFrame, spec: PanelSpec = DEFAULT, digits: int = 6) -> DataFrame:
@@ -143,8 +193,7 @@ def histogram(df: DataFrame, columns, bins: int = 20) -> DataFrame:
     """AGG10: equal-width bins between min and max, last bin closed, empty bins kept
     (a constant column gets the range min-0.5 .. max+0.5, like numpy)."""
     spark: SparkSession = df.sparkSession
-    rng = df.agg(*[F.struct(F.min(F.col(c).cast("double")).alias("lo"),
-                            F.max(F.col(c).cast("double")).alias("hi")).alias(c) for c in columns])
+    rng = df.agg(*[F.struct(F.min(_number(c)).alias("lo"), F.max(_number(c)).alias("hi")).alias(c) for c in columns])
     rng = rng.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("m"))
                                          for c in columns])).alias("s")) \
         .select("s.column_name",
@@ -153,10 +202,7 @@ def histogram(df: DataFrame, columns, bins: int = 20) -> DataFrame:
                 F.when(F.col("s.m.lo") == F.col("s.m.hi"), F.col("s.m.hi") + 0.5)
                 .otherwise(F.col("s.m.hi")).alias("hi"))
     # one row per column: broadcast is bounded by the number of profiled columns
-    vals = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                  F.col(c).cast("double").alias("x"))
-                                         for c in columns])).alias("v")).select("v.*") \
-        .filter(F.col("x").isNotNull())
+    vals = _long(df, columns)
     j = vals.join(F.broadcast(rng), "column_name")
     b = F.least(F.floor((F.col("x") - F.col("lo")) * F.lit(float(bins)) / (F.col("hi") - F.col("lo"))),
                 F.lit(bins - 1)).cast("int")
@@ -174,17 +220,11 @@ def discrete_histogram(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def boxplot_stats(df: DataFrame, columns, whis: float = 1.5, approx: bool = False) -> DataFrame:
+def boxplot_stats(df: DataFrame, columns, whis: float = 1.5) -> DataFrame:
     """AGG12: quartiles, whiskers at the last data point inside whis*IQR, outlier count."""
-    q = df.agg(*[F.struct(_pct(c, 0.25, approx).alias("q1"), _pct(c, 0.5, approx).alias("med"),
-                          _pct(c, 0.75, approx).alias("q3")).alias(c) for c in columns])
-    qs = q.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("q"))
-                                      for c in columns])).alias("s")) \
-        .select("s.column_name", "s.q.q1", "s.q.med", "s.q.q3")
-    vals = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                  F.col(c).cast("double").alias("x"))
-                                         for c in columns])).alias("v")).select("v.*") \
-        .filter(F.col("x").isNotNull())
+    qs = quantiles(df, columns, (0.25, 0.5, 0.75)).select(
+        "column_name", F.col("q0").alias("q1"), F.col("q1").alias("med"), F.col("q2").alias("q3"))
+    vals = _long(df, columns)
     j = vals.join(F.broadcast(qs), "column_name")  # one row per column
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - F.lit(whis) * iqr, F.col("q3") + F.lit(whis) * iqr
@@ -207,10 +247,13 @@ def date_span(df: DataFrame, date_col: str) -> DataFrame:
 
 
 def static_feature_check(df: DataFrame, columns, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """AGG15: max over entities of the distinct non-null values per entity."""
-    per = df.groupBy(spec.entity).agg(*[F.countDistinct(c).alias(c) for c in columns])
-    wide = per.agg(*[F.max(c).alias(c) for c in columns])
-    return wide.unpivot([], list(columns), "column_name", "max_unique_values_per_user")
+    """AGG15: max over entities of the distinct non-null values per entity. Equal (entity, column, value) cells are
+    merged on the map side, so the shuffle holds distinct values, not rows."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+                                for c in columns]))
+    values = df.select(spec.entity, cells.alias("v")).select(spec.entity, "v.*").distinct()
+    per = values.groupBy(spec.entity, "column_name").agg(F.count("value").alias("k"))
+    return per.groupBy("column_name").agg(F.max("k").alias("max_unique_values_per_user"))
 
 
 def low_record_entities(df: DataFrame, k: int = 3, spec: PanelSpec = DEFAULT) -> DataFrame:

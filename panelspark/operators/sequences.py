@@ -86,6 +86,12 @@ def episode_sizes(daily: DataFrame, keys) -> DataFrame:
     return daily.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("__n"))
 
 
+def episode_sizes_direct(ep: DataFrame, keys, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """The sizes the daily panel of ``ep`` would have, without exploding it (repeated episodes add up)."""
+    from .expand import day_sequence
+    return ep.groupBy(*keys).agg(F.sum(F.size(day_sequence(spec.length))).cast("int").alias("__n"))
+
+
 def windows(ep_rows: DataFrame, lengths, keys=None, spec: PanelSpec = DEFAULT) -> DataFrame:
     """GEN2 + GEN4: one row per window: ``seq_length``, ``window_start`` (0-based row
     offset), ``win`` (slice of L row structs)."""
@@ -183,25 +189,21 @@ def window_digest_from_rows(ep_rows: DataFrame, lengths, keys=None) -> DataFrame
 
 
 def window_counts(ep_rows: DataFrame, lengths, keys=None) -> DataFrame:
-    """GEN3 / AGG16 / DQ17: per (keys, L) episodes, skipped episodes, windows built
-    (counted on the exploded window starts) and the closed form sum(max(rows-L+1, 0)).
+    """GEN3 / AGG16 / DQ17: per (keys, L) episodes, skipped episodes, windows (the length of the start sequence that
+    ``windows`` explodes) and the closed form sum(max(rows-L+1, 0)), in one pass.
     ``ep_rows`` has either the ``rows`` arrays or a ``__n`` row count per episode."""
     lengths = [lengths] if isinstance(lengths, int) else list(lengths)
     keys = list(keys or [])
     n = F.col("__n") if "__n" in ep_rows.columns else F.size("rows")
-    ep_rows = ep_rows.withColumn("__n", n)
-    per_l = ep_rows.select(*keys, "__n",
+    per_l = ep_rows.select(*keys, n.cast("int").alias("__n"),
                            F.explode(F.array(*[F.lit(int(x)) for x in lengths])).alias("seq_length"))
-    expected = per_l.groupBy(*keys, "seq_length").agg(
+    fits = F.col("__n") >= F.col("seq_length")
+    starts = F.when(fits, F.size(F.sequence(F.lit(0), F.col("__n") - F.col("seq_length")))).otherwise(0)
+    return per_l.groupBy(*keys, "seq_length").agg(
         F.count(F.lit(1)).alias("n_episodes"),
-        F.sum((F.col("__n") < F.col("seq_length")).cast("long")).alias("n_skipped"),
-        F.sum(F.greatest(F.col("__n") - F.col("seq_length") + 1, F.lit(0))).cast("long")
-        .alias("n_windows_expected"))
-    # windows actually generated: the same start sequence as ``windows`` explodes
-    starts = per_l.filter(F.col("__n") >= F.col("seq_length")).select(
-        *keys, "seq_length", F.explode(F.sequence(F.lit(0), F.col("__n") - F.col("seq_length"))).alias("s"))
-    actual = starts.groupBy(*keys, "seq_length").agg(F.count(F.lit(1)).alias("n_windows"))
-    return expected.join(actual, keys + ["seq_length"], "left").fillna(0, ["n_windows"])
+        F.sum((~fits).cast("long")).alias("n_skipped"),
+        F.sum(F.greatest(F.col("__n") - F.col("seq_length") + 1, F.lit(0))).cast("long").alias("n_windows_expected"),
+        F.sum(starts).cast("long").alias("n_windows"))
 
 
 def flatten_windows(w: DataFrame) -> DataFrame:

@@ -42,8 +42,11 @@ def daily_for_sink(episodes: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
 
 
 def ordered_daily(panel: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """The daily panel in the sink column order."""
-    return panel.select(*[c for c in spec.daily_columns if c in panel.columns])
+    """The daily panel in the sink column order; a missing column is an error."""
+    missing = [c for c in spec.daily_columns if c not in panel.columns]
+    if missing:
+        raise ValueError(f"daily panel lacks columns: {missing}")
+    return panel.select(*spec.daily_columns)
 
 
 def prepared_episodes(episodes: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:

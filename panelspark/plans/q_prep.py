@@ -9,7 +9,7 @@ from ..operators import scale, sequences, split
 from ..sources.tables import EPISODES_SQL, episodes, with_views
 from ..spec import DEFAULT as S
 from ..spec import SPLIT_RATIOS, SPLIT_SEED
-from .pipelines import split_and_scale, split_daily, window_source
+from .pipelines import prepared_episodes, split_and_scale, split_daily, split_episodes, window_source
 from .q_builder import DAILY_SQL, HISTORY_SQL
 from .registry import query
 
@@ -184,6 +184,12 @@ def q_window_digest_21(spark, sf):
     return _digest(spark, sf, 21)
 
 
+def _sizes(spark, sf):
+    """Rows per episode of the split panel, on the (entity, start) partitioning it inherits: no shuffle, no days."""
+    ep = split_episodes(prepared_episodes(episodes(spark, sf)))
+    return sequences.episode_sizes_direct(ep, ["user_id", "cycle_start_date", "split"])
+
+
 EP_SQL = """
 ep AS (SELECT split, user_id, cycle_start_date, COUNT(*) AS n FROM dsplit GROUP BY split, user_id, cycle_start_date)"""
 
@@ -196,9 +202,7 @@ SELECT split, CAST(seq_length AS INT) AS seq_length, COUNT(*) AS n_episodes,
 FROM ep CROSS JOIN (SELECT * FROM (VALUES (14), (21), (40)) t(seq_length)) l
 GROUP BY split, seq_length""", EP_SQL))
 def q_window_counts(spark, sf):
-    # rows per episode counted on the split daily panel (explode + partial count on the
-    # inherited (entity, start) partitioning: no shuffle, no arrays)
-    sizes = sequences.episode_sizes(split_daily(episodes(spark, sf)), ["user_id", "cycle_start_date", "split"])
+    sizes = _sizes(spark, sf)
     return sequences.window_counts(sizes, [14, 21, 40], ["split"])
 
 
@@ -206,7 +210,7 @@ def q_window_counts(spark, sf):
 SELECT split, user_id, cycle_start_date, CAST(n AS INT) AS n_rows, CAST(40 AS INT) AS seq_length
 FROM ep WHERE n < 40""", EP_SQL))
 def q_skipped_episodes(spark, sf):
-    sizes = sequences.episode_sizes(split_daily(episodes(spark, sf)), ["user_id", "cycle_start_date", "split"])
+    sizes = _sizes(spark, sf)
     return sizes.filter(F.col("__n") < 40).select(
         "split", "user_id", "cycle_start_date", F.col("__n").alias("n_rows"), F.lit(40).alias("seq_length"))
 

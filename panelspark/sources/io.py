@@ -52,7 +52,7 @@ def read_splits(spark: SparkSession, path: str, splits=None) -> DataFrame:
 
 def read_contract(spark: SparkSession, path: str) -> dict:
     """SRC4: the feature contract (one JSON document) as a dict."""
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def read_windows(spark: SparkSession, path: str, seq_length: int, splits=None) -> DataFrame:

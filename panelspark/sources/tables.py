@@ -30,16 +30,18 @@ def episodes(spark: SparkSession, sf_dir: str, materialized: bool | None = None)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
                                               "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    b = o.join(c, o.o_custkey == c.c_custkey).select(
-        F.col("o_custkey").cast("long").alias("user_id"), "o_orderkey", "o_orderdate",
-        "o_orderpriority", "c_nationkey", "c_mktsegment",
+    b = o.select(
+        F.col("o_custkey").cast("long").alias("user_id"), "o_orderkey", "o_orderdate", "o_orderpriority",
         (F.lit(25) + (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 26).cast("int")
         .alias("cycle_length"),
         (F.lit(3) + F.col("o_orderkey") % 5).cast("int").alias("period_length"),
         F.to_date("o_orderdate").alias("__day"),
     )
+    # the running sum reads its input twice, so it runs on orders alone: an order without a customer only moves
+    # the offsets of its own key, whose rows all leave with the join below
     s = exclusive_running(b, "user_id", "__day", ["o_orderdate", "o_orderkey"],
                           {"off": "cycle_length"}, counts=False)
+    s = s.join(c, s.user_id == c.c_custkey)
     off = F.coalesce(F.col("off_sum"), F.lit(0)).cast("int")
     uid = F.col("user_id")
     out = s.select(
