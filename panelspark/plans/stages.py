@@ -73,9 +73,10 @@ def build_windows(panel: DataFrame, path: str, lengths, spec: PanelSpec = DEFAUL
     sequences.require_features(panel, spec=spec)
     raw_day = f"{spec.day}_raw"
     rows = sequences.episode_rows(panel, spec=spec, order_col=raw_day if raw_day in panel.columns else None)
-    io.write_windows(sequences.window_arrays(sequences.windows(rows, lengths)), f"{path}/windows")
+    w = sequences.window_arrays(sequences.windows(rows, lengths))
+    io.write_windows(w, f"{path}/windows")
     for n in lengths:
-        quality.enforce(quality.window_report(io.read_windows(spark, f"{path}/windows", n), n,
+        quality.enforce(quality.window_report(io.read_windows(spark, f"{path}/windows", n, schema=w.schema), n,
                                               len(spec.input_features)))
     io.write_window_metadata(io.window_metadata(spark.read.parquet(f"{path}/windows"), spec=spec), f"{path}/metadata")
     meta = spark.read.json(f"{path}/metadata")

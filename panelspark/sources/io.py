@@ -55,9 +55,9 @@ def read_contract(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def read_windows(spark: SparkSession, path: str, seq_length: int, splits=None) -> DataFrame:
-    """SRC5: windows of one length (partition pruning on ``seq_length``)."""
-    df = spark.read.parquet(path).filter(F.col("seq_length") == seq_length)
+def read_windows(spark: SparkSession, path: str, seq_length: int, splits=None, schema=None) -> DataFrame:
+    """SRC5: windows of one length (partition pruning on ``seq_length``); a ``schema`` lets the store be empty."""
+    df = (spark.read if schema is None else spark.read.schema(schema)).parquet(path).filter(F.col("seq_length") == seq_length)
     return df if splits is None else df.filter(F.col("split").isin(list(splits)))
 
 
