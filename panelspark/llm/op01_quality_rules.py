@@ -4,14 +4,19 @@ Every line is normalised and hashed; per host the distinct documents that hold a
 Lines held by more documents than the limits allow are boilerplate and are removed; a document that
 keeps too little after that is rejected. Beside it stand base rules on word counts and repeated words.
 
-Copies must not make a good text look like boilerplate, so two things are counted per (host, line):
-documents with different texts, and *surroundings* (the pair of neighbouring lines). Menus, footers and
-licence lines stand between ever new neighbours; a line of a copied or lightly edited document keeps
-its neighbours. A line is above the limits if both counts say so.
-
-Scale: a line row is 5 longs; the counts are three grouping steps with map-side partial aggregation,
-so a line that stands in a third of all documents arrives at the reducers as a few partial counts.
-Only narrow rows are shuffled unless ``clean_text`` is asked for (column pruning removes the text).
+Counted are documents with different texts. Copies must not make a good text look like boilerplate, so the
+lines found that way are counted once more with near copies as one document: a document is known by its *own*
+lines, those that are not above the limits and do not stand in the place of one that is. (A place is what follows,
+or what precedes, a certain line above the limits; it is taken if such lines hold it in most documents. One or two
+lines between taken places are an edit of a copy and not its own; the text between a header and a footer is.)
+Documents with the same own lines are one, and so are those without any that have the same smallest line hash above
+the limits. A line is above the limits if both counts say so. Copies that differ by lines added, or by most of their
+lines, are counted as different documents.
+
+Scale: a line row is 6 longs; the counts are grouping steps with map-side partial aggregation,
+so a line that stands in a third of all documents arrives at the reducers as a few partial counts. The second
+count reads only the documents that hold a line of the first. Only narrow rows are shuffled unless
+``clean_text`` is asked for (column pruning removes the text).
 
 Edge cases: null or empty text has no words and fails the base rules; a null host is a host of its own;
 rows that repeat (same id and text) count as one document and get equal verdicts; an empty table gives
@@ -88,8 +93,8 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row per line with a word: _id, _ck, _host, i (its number), h (hash of the normalised line), around (hash of
-    the neighbouring lines' hashes), w (words)."""
+    """One row per line with a word: _id, _ck, _host, i (its number), h (hash of the normalised line), before and after
+    (hashes of the neighbouring lines, null at the ends), w (words)."""
     df = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{host_col}`").cast("string").alias("_host"),
                      text_of(text_col).alias("_text"))
     df = df.select("_id", "_host", F.xxhash64("_text").alias("_ck"),
@@ -100,23 +105,58 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     # the outer form, as plain explode() makes Catalyst compute the array once more to drop empty ones early
     df = df.select("_id", "_host", "_ck", F.explode_outer(F.transform("_ls", lambda x, i: F.struct(
         i.alias("i"), x["h"].alias("h"), x["w"].alias("w"),
-        F.xxhash64(F.when(i > 0, F.get(F.col("_hs"), i - 1)), F.get(F.col("_hs"), i + 1)).alias("around")))).alias("l"))
+        F.when(i > 0, F.get(F.col("_hs"), i - 1)).alias("before"), F.get(F.col("_hs"), i + 1).alias("after")))).alias("l"))
     df = df.filter(F.col("l").isNotNull())
-    return df.select("_id", "_host", "_ck", "l.i", "l.h", "l.w", "l.around")
-
-
-def frequent_lines(lines: DataFrame, min_docs: int, max_share: float, min_around: float) -> DataFrame:
-    """(f_host, f_h, n_docs, n_around) of the lines above the limits."""
-    per_doc = lines.groupBy("_host", "h", "_ck").agg(F.min("around").alias("around"))
-    counts = (per_doc.groupBy("_host", "h", "around").agg(F.count("*").alias("n"))
-              .groupBy("_host", "h").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_around"))
-              .filter(F.col("n_docs") > min_docs))
-    hosts = (lines.groupBy("_host", "_ck").agg(F.lit(1).alias("one"))
-             .groupBy("_host").agg(F.count("*").alias("host_docs")))
-    hosts = hosts.withColumnRenamed("_host", "_of")
-    return (counts.join(hosts, F.col("_host").eqNullSafe(F.col("_of")))
-            .filter((F.col("n_docs") > max_share * F.col("host_docs")) & (F.col("n_around") >= min_around * F.col("n_docs")))
-            .select(F.col("_host").alias("f_host"), F.col("h").alias("f_h"), "n_docs", "n_around"))
+    return df.select("_id", "_host", "_ck", "l.i", "l.h", "l.w", "l.before", "l.after")
+
+
+def _same(df: DataFrame, other: DataFrame, on: dict[str, str], how: str) -> DataFrame:
+    """``df`` joined with ``other`` on the host, which may be null, and on ``on``; their keys are named apart before."""
+    other = other.withColumnsRenamed({"_host": "_o_host", **{c: f"_o_{c}" for c in on.values()}})
+    fits = F.col("_host").eqNullSafe(F.col("_o_host"))
+    for mine, its in on.items():
+        fits &= F.col(mine) == F.col(f"_o_{its}")
+    out = df.join(other, fits, how)
+    return out.drop("_o_host", *[f"_o_{c}" for c in on.values()])
+
+
+def frequent_lines(lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """(f_host, f_h) of the lines above the limits."""
+    per_doc = lines.select("_host", "h", "_ck").distinct()
+    hosts = lines.select("_host", "_ck").distinct().groupBy("_host").agg(F.count("*").alias("host_docs"))
+    often = per_doc.groupBy("_host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    often = stage(_same(often, hosts, {}, "inner").filter(F.col("n_docs") > max_share * F.col("host_docs")), "op1-often")
+
+    held = stage(_same(per_doc, often, {"h": "h"}, "left_semi"), "op1-held")
+    holders = held.groupBy("_host", "_ck").agg(F.min("h").cast("decimal(38,0)").alias("least"))
+    inside = _same(lines.select("_host", "_ck", "h", "before", "after").distinct(), holders, {"_ck": "_ck"}, "left_semi")
+    for line, flag in (("h", "often"), ("before", "often_before"), ("after", "often_after")):
+        inside = _same(inside, often.select("_host", "h", F.lit(True).alias(flag)), {line: "h"}, "left")
+    after = F.xxhash64(F.lit("after"), "before", F.col("after").isNull())
+    until = F.xxhash64(F.lit("before"), "after", F.col("before").isNull())
+    inside = stage(inside.select("_host", "_ck", "h", F.col("often").isNotNull().alias("often"),
+                                 F.when(F.col("often_before"), after).alias("p"),
+                                 F.when(F.col("often_after"), until).alias("q")), "op1-inside")
+    taken = (inside.select("_host", "often", F.explode(F.array("p", "q")).alias("place")).filter("place is not null")
+             .groupBy("_host", "place").agg(F.count("*").alias("n"), F.count_if("often").alias("k")).filter("2 * k > n"))
+    own = inside.filter("not often")
+    for place, flag in (("p", "taken_p"), ("q", "taken_q")):
+        own = _same(own, taken.select("_host", "place", F.lit(True).alias(flag)), {place: "place"}, "left")
+    # edited: a run of lines between taken places; its inner borders and the text's ends count neither way
+    open_ = lambda place, flag: F.col(place).isNotNull() & F.col(flag).isNull()
+    own = own.filter(open_("p", "taken_p") | open_("q", "taken_q") | (F.col("p").isNull() & F.col("q").isNull()))
+    # one number per set of own lines
+    own = (own.select("_host", "_ck", "h").distinct().groupBy("_host", "_ck")
+           .agg(F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("own")))
+    known = _same(holders, own, {"_ck": "_ck"}, "left")
+    known = stage(known.select("_host", "_ck", F.coalesce("own", "least").alias("own")), "op1-own")
+    copies = (known.groupBy("_host", "own").agg(F.count("*").alias("n"))
+              .groupBy("_host").agg((F.sum("n") - F.count("*")).alias("copies")))
+    apart = (_same(held, known, {"_ck": "_ck"}, "inner").groupBy("_host", "h", "own").agg(F.lit(1).alias("one"))
+             .groupBy("_host", "h").agg(F.count("*").alias("n_apart")))
+    both = _same(_same(often, apart, {"h": "h"}, "inner"), copies, {}, "inner")
+    return (both.filter((F.col("n_apart") > min_docs) & (F.col("n_apart") > max_share * (F.col("host_docs") - F.col("copies"))))
+            .select(F.col("_host").alias("f_host"), F.col("h").alias("f_h")))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
@@ -148,17 +188,17 @@ def _clean() -> Column:
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, *, min_docs: int = 10, max_share: float = 0.005,
-           min_around: float = 0.5, max_line_words: int = 40, min_left_share: float = 0.3) -> DataFrame:
+           max_line_words: int = 40, min_left_share: float = 0.3) -> DataFrame:
     """_id, _ck, _host, base counts, verdicts, _gone_h (hashes of removed lines), clean_text of every document.
 
     A line is removed if, on its host, it stands in more than ``min_docs`` different texts and in more
-    than ``max_share`` of them, with at least ``min_around`` different surroundings per text. Lines of over
+    than ``max_share`` of them, and still does with near copies as one. Lines of over
     ``max_line_words`` words are passages, not boilerplate: line dedup keeps the first of them, a frequency
     rule would remove all. A document is rejected if it fails the base rules, or if lines were removed and
     less than ``min_left_share`` of its words are left.
     """
     lines = stage(line_rows(docs, id_col, text_col, host_col), "op1-lines")
-    often = frequent_lines(lines.filter(F.col("w") <= max_line_words), min_docs, max_share, min_around)
+    often = frequent_lines(lines.filter(F.col("w") <= max_line_words), min_docs, max_share)
     hit = lines.join(often, F.col("_host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")), "left_semi")
     # a set, as a repeated row brings its lines again; bounded by the document's own lines
     gone = (hit.groupBy("_id", "_ck", "_host").agg(F.collect_set(F.struct("i", "h", "w")).alias("_gone"))

@@ -78,6 +78,29 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert left.columns == df.columns and left.filter(F.col("text").contains(menu)).count() == 0
 
 
+def own_text(i, j=0, n=12):
+    return " ".join(f"t{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}{chr(97 + k)}" for k in range(n))
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_blocks_of_boilerplate_go_and_edited_copies_stay(spark, n):
+    head = ["Home News Contact", "Shop Cart Account", "You are here"]
+    foot = ["All rights reserved", "Terms Privacy Imprint", "Made by us"]
+    data = [(i, "\n".join([*head, *([own_text(i)] if i % 2 else [own_text(i), own_text(i, 1)]), *foot]), "h") for i in range(n)]
+    # one text of twelve lines, of which each copy has one or two (also neighbours) written anew
+    for i in range(40):
+        copied = [own_text(700 % 26, j) + " copied" for j in range(12)]
+        copied[i % 12] = own_text(i, 2) + " edited"
+        if i % 3 == 0:
+            copied[(i + 1 + i // 12) % 12] = own_text(i, 3) + " edited"
+        data.append((1000 + i, "\n".join(copied), "h"))
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: r for r in op1.quality_rules(df).collect()}
+    assert {got[i].removed_lines for i in range(n)} == {6} and all(got[i].kept for i in range(n))
+    assert all(got[i].clean_text.split("\n")[0] == own_text(i) for i in range(n))
+    assert all(got[1000 + i].kept and got[1000 + i].removed_lines == 0 for i in range(40))
+
+
 def test_line_dedup(docs):
     out = op3.line_dedup(docs)
     assert [c for c in docs.columns if c not in out.columns] == []
