@@ -188,17 +188,16 @@ def _clean() -> Column:
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, *, min_docs: int = 10, max_share: float = 0.005,
-           max_line_words: int = 40, min_left_share: float = 0.3) -> DataFrame:
+           min_left_share: float = 0.3) -> DataFrame:
     """_id, _ck, _host, base counts, verdicts, _gone_h (hashes of removed lines), clean_text of every document.
 
     A line is removed if, on its host, it stands in more than ``min_docs`` different texts and in more
-    than ``max_share`` of them, and still does with near copies as one. Lines of over
-    ``max_line_words`` words are passages, not boilerplate: line dedup keeps the first of them, a frequency
-    rule would remove all. A document is rejected if it fails the base rules, or if lines were removed and
+    than ``max_share`` of them, and still does with near copies as one. Lines of every
+    length count. A document is rejected if it fails the base rules, or if lines were removed and
     less than ``min_left_share`` of its words are left.
     """
     lines = stage(line_rows(docs, id_col, text_col, host_col), "op1-lines")
-    often = frequent_lines(lines.filter(F.col("w") <= max_line_words), min_docs, max_share)
+    often = frequent_lines(lines, min_docs, max_share)
     hit = lines.join(often, F.col("_host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")), "left_semi")
     # a set, as a repeated row brings its lines again; bounded by the document's own lines
     gone = (hit.groupBy("_id", "_ck", "_host").agg(F.collect_set(F.struct("i", "h", "w")).alias("_gone"))

@@ -101,6 +101,16 @@ def test_blocks_of_boilerplate_go_and_edited_copies_stay(spark, n):
     assert all(got[1000 + i].kept and got[1000 + i].removed_lines == 0 for i in range(40))
 
 
+def test_long_boilerplate_lines_go(spark):
+    legal = " ".join(f"legal{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(45))
+    data = [(i, f"{own_text(i)}\n{legal}" if i < 40 else f"{own_text(i, n=3)}\n{legal}", "h") for i in range(60)]
+    got = {r.doc_id: r for r in op1.quality_rules(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert all((r.removed_lines, r.removed_words) == (1, 45) and "legal" not in r.clean_text for r in got.values())
+    assert not any(r.kept for r in got.values())  # depleted: 12 of 57 words are left at most
+    long = spark.createDataFrame([(i, f"{own_text(i, n=30)}\n{legal}", "h") for i in range(40)], "doc_id long, text string, source string")
+    assert [r.text for r in op1.kept_documents(long).orderBy("doc_id").collect()] == [own_text(i, n=30) for i in range(40)]
+
+
 def test_line_dedup(docs):
     out = op3.line_dedup(docs)
     assert [c for c in docs.columns if c not in out.columns] == []
