@@ -5,12 +5,13 @@ segments, after digit runs and long hexadecimal runs became ``<n>`` and ``<x>``,
 
 * *Wildcards.* Under a parent with more than ``max_children`` different segments, a segment that holds
   less than ``min_share`` of the parent's pages is variable and becomes ``*``.
-* *Merging.* Literal siblings whose subtrees have the same shape are ordered by their labelled share of
-  blocked pages and joined while a two-proportion z-test finds no difference to the sibling before.
-  A sibling without labels has no such share, and is merged with nothing.
+* *Merging.* At every level literal siblings are joined if a chi-square test finds no difference between the
+  distributions of their pages over the templates below them, these overlap by half, and a two-proportion z-test finds
+  no difference between their blocked shares. A sibling without labels has no such share and is judged by
+  its subtree alone. One of fewer than ``min_labels`` pages is too small to be compared.
 * *Purity.* Pages that a rule judges are the labels. A template is rejected if it has ``min_labels`` and
-  ``(blocked + strength * prior) / (labelled + strength)`` reaches ``min_purity``; the prior is the blocked
-  share of all labels. A template without labels is allowed.
+  ``(blocked + (strength + lacking) * prior) / (pages + strength)`` reaches ``min_purity``; ``lacking`` are its pages without
+  a label, the prior is the blocked share of all labels. A template without labels is allowed.
 
 A rule's verdict always wins for the pages it fits.
 
@@ -88,30 +89,62 @@ def template_tree(shapes: DataFrame, max_depth: int, max_children: int, min_shar
     return tree
 
 
-def merge_siblings(tree: DataFrame, z: float) -> DataFrame:
-    """``tree`` with ``m``, the merged template: its first segment names all siblings joined to it.
-
-    Siblings are the branches below the host's root, where sites keep languages and sections; a group
-    of siblings to order is one host's literal first segments, at most ``1 / min_share + max_children``."""
-    top, below = F.get("t", F.lit(0)), F.array_join(F.slice(F.col("t"), 2, F.greatest(F.size("t"), F.lit(1))), "/")
-    branch = (tree.filter(top.isNotNull()).groupBy("host", top.alias("top"))
-              .agg(F.sum("n_label").alias("l"), F.sum("n_block").alias("b"), F.sum("n").alias("n"),
-                   F.max(F.struct("n", below.alias("below")))["below"].alias("shape")))
-    labelled = branch.filter((F.col("l") > 0) & (F.col("top") != "*"))
-    w = W.partitionBy("host", "shape").orderBy(F.col("b") / F.col("l"), "top")
-    l0, b0 = F.lag("l").over(w), F.lag("b").over(w)
-    pooled = (F.col("b") + b0 + 1) / (F.col("l") + l0 + 2)
-    score = F.abs(F.col("b") / F.col("l") - b0 / l0) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / l0))
-    group = (labelled.withColumn("apart", F.when(l0.isNull() | (score > z), 1).otherwise(0))
-             .withColumn("k", F.sum("apart").over(w.rowsBetween(W.unboundedPreceding, 0))))
-    names = W.partitionBy("host", "shape", "k")
-    merged = group.select(F.col("host").alias("m_host"), F.col("top").alias("m_top"),
-                          F.array_join(F.sort_array(F.collect_list("top").over(names)), "|").alias("m_name"))
-    out = tree.join(merged, (F.col("host") == F.col("m_host")) & (top == F.col("m_top")), "left")
-    first = F.coalesce(F.col("m_name"), top)
-    return out.withColumn("m", F.when(F.size("t") == 0, F.lit("")).otherwise(
-        F.array_join(F.concat(F.array(first), F.slice(F.col("t"), 2, F.greatest(F.size("t"), F.lit(1)))), "/"))
-    ).drop("m_host", "m_top", "m_name")
+def merge_siblings(tree: DataFrame, z: float, min_pages: int) -> DataFrame:
+    """``tree`` with ``m``, the merged template: a segment names all siblings joined to it.
+
+    From the root down, the siblings below one merged parent are compared two by two; there are at most
+    ``1 / min_share + max_children`` literal ones. One joins the largest it is similar to, and what that one joins."""
+    deepest = tree.agg(F.max(F.size("t"))).first()[0] or 0
+    tree = tree.withColumn("ms", F.array().cast("array<string>"))
+    for d in range(deepest):
+        s = F.get("t", F.lit(d))
+        below = F.array_join(F.slice(F.col("t"), d + 2, F.greatest(F.size("t") - d, F.lit(1))), "/")
+        # an array of its own tells a branch that ends here from one with an empty segment below
+        part = tree.filter(s.isNotNull() & (s != "*")).groupBy(
+            "host", "ms", s.alias("s"), F.struct((F.size("t") > d + 1).alias("more"), below.alias("below")).alias("x")).agg(
+            F.sum("n").alias("n"), F.sum("n_label").alias("l"), F.sum("n_block").alias("b"))
+        part = stage(part, f"op5-parts{d}")
+        sums = part.groupBy("host", "ms", "s").agg(
+            F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.count("*").alias("kinds")).filter(F.col("n") >= min_pages)
+        part = part.join(sums.select("host", "ms", "s", F.col("n").alias("all")), ["host", "ms", "s"])
+        one, two = (part.select("host", "ms", "x", F.col("s").alias(f"s{i}"), F.col("n").alias(f"n{i}"), F.col("all").alias(f"all{i}")) for i in (1, 2))
+        common = one.join(two, ["host", "ms", "x"]).filter((F.col("all1") > F.col("all2")) | ((F.col("all1") == F.col("all2")) & (F.col("s1") < F.col("s2"))))
+        ratio = F.sqrt(F.col("all2") / F.col("all1"))
+        common = common.groupBy("host", "ms", "s1", "s2").agg(
+            F.count("*").alias("shared"), F.sum("n1").alias("both1"), F.sum("n2").alias("both2"),
+            F.sum(F.least(F.col("n1") / F.col("all1"), F.col("n2") / F.col("all2"))).alias("overlap"),
+            F.sum(F.pow(ratio * F.col("n1") - F.col("n2") / ratio, F.lit(2)) / (F.col("n1") + F.col("n2"))).alias("chi"))
+        for i in (1, 2):
+            common = common.join(sums.select("host", "ms", F.col("s").alias(f"s{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("n", "l", "b", "kinds")]),
+                                 ["host", "ms", f"s{i}"])
+        # two-sample chi-square over the templates below; those that only one sibling has add its pages, scaled
+        chi = (F.col("chi") + F.col("n2") / F.col("n1") * (F.col("n1") - F.col("both1")) + F.col("n1") / F.col("n2") * (F.col("n2") - F.col("both2")))
+        free = F.col("kinds1") + F.col("kinds2") - F.col("shared") - 1
+        part9 = 2 / (9 * F.greatest(free, F.lit(1)))
+        same = (free == 0) | (chi <= free * F.pow(1 - part9 + z * F.sqrt(part9), F.lit(3)))  # Wilson-Hilferty
+        pooled = (F.col("b1") + F.col("b2") + 1) / (F.col("l1") + F.col("l2") + 2)
+        l1, l2 = F.greatest("l1", F.lit(1)), F.greatest("l2", F.lit(1))
+        score = F.abs(F.col("b1") / l1 - F.col("b2") / l2) / F.sqrt(pooled * (1 - pooled) * (1 / l1 + 1 / l2))
+        alike = same & (F.col("overlap") >= 0.5) & ((F.col("l1") == 0) | (F.col("l2") == 0) | (score <= z))
+        joins = (common.filter(alike).groupBy("host", "ms", F.col("s2").alias("s"))
+                 .agg(F.max_by("s1", F.struct(F.col("n1"), F.col("s1"))).alias("to")))
+        joins = stage(joins, f"op5-joins{d}")
+        names = sums.select("host", "ms", "s").join(joins, ["host", "ms", "s"], "left").withColumn("to", F.coalesce("to", "s"))
+        while True:  # to the one that joins nothing: the way halves each time
+            names = stage(names, f"op5-names{d}")
+            step = names.select("host", "ms", F.col("s").alias("to"), F.col("to").alias("next"))
+            names = names.join(step, ["host", "ms", "to"]).select("host", "ms", "s", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+            names = stage(names, f"op5-names{d}")
+            if not names.filter("moved").limit(1).count():
+                break
+            names = names.drop("moved")
+        own = W.partitionBy("host", "ms", "to")
+        names = names.select(F.col("host").alias("m_host"), F.col("ms").alias("m_ms"), F.col("s").alias("m_s"),
+                             F.array_join(F.sort_array(F.collect_list("s").over(own)), "|").alias("m_name"))
+        tree = tree.join(names, (F.col("host") == F.col("m_host")) & (F.col("ms") == F.col("m_ms")) & (s == F.col("m_s")), "left")
+        tree = stage(tree.withColumn("ms", F.when(s.isNull(), F.col("ms")).otherwise(
+            F.concat("ms", F.array(F.coalesce(F.col("m_name"), s))))).drop("m_host", "m_ms", "m_s", "m_name"), f"op5-merged{d}")
+    return tree.withColumn("m", F.array_join("ms", "/")).drop("ms")
 
 
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[Rule] = RULES,
@@ -125,12 +158,13 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     label = F.col("_rule.verdict")
     shapes = stage(df.groupBy("host", "segs").agg(
         F.count("*").alias("n"), F.count(label).alias("n_label"), F.count_if(label == "block").alias("n_block")), "op5-shapes")
-    tree = stage(merge_siblings(template_tree(shapes, max_depth, max_children, min_share), z), "op5-tree")
+    tree = stage(merge_siblings(template_tree(shapes, max_depth, max_children, min_share), z, min_labels), "op5-tree")
     prior = tree.agg((F.sum("n_block") / F.greatest(F.sum("n_label"), F.lit(1))).alias("prior"))
-    purity = (tree.groupBy("host", "m").agg(F.sum("n_label").alias("l"), F.sum("n_block").alias("b"))
+    lacking = F.col("n") - F.col("l")
+    purity = (tree.groupBy("host", "m").agg(F.sum("n").alias("n"), F.sum("n_label").alias("l"), F.sum("n_block").alias("b"))
               .crossJoin(F.broadcast(prior))  # one row
               .select(F.col("host").alias("t_host"), F.col("m").alias("t_m"), "l",
-                      ((F.col("b") + strength * F.coalesce("prior", F.lit(0.0))) / (F.col("l") + strength)).alias("purity")))
+                      ((F.col("b") + (strength + lacking) * F.coalesce("prior", F.lit(0.0))) / (F.col("n") + strength)).alias("purity")))
     known = (tree.join(purity, (F.col("host") == F.col("t_host")) & (F.col("m") == F.col("t_m")))
              .select("t_host", F.col("segs").alias("t_segs"), F.concat(F.col("t_host"), F.lit("/"), "m").alias("template"), "l", "purity"))
     out = df.join(known, (F.col("host") == F.col("t_host")) & (F.col("segs") == F.col("t_segs")), "left")

@@ -170,6 +170,23 @@ def test_url_rules_and_templates(spark):
     assert op5.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_similar_siblings_share_a_verdict_at_every_level(spark):
+    def pages(prefix, n, kinds):
+        return [f"http://{prefix}/{kinds[i % len(kinds)]}" for i in range(n)]
+    urls = (pages("h.net/a/es", 60, ["p", "q"]) + pages("h.net/a/xx", 10, ["p", "q"]) + pages("h.net/a/yy", 10, ["r", "s"])
+            + pages("h.net/a/ok", 60, ["p", "q"]) + pages("k.net/es", 60, ["p", "q"]) + pages("k.net/xx", 10, ["q", "p"]))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("block", "h.net/a/es/"), ("allow", "h.net/a/ok/"), ("block", "k.net/es/")]
+    got = {}
+    for r in op5.url_verdicts(df, rules=rules).collect():
+        got.setdefault((r.host, r.path.rsplit("/", 1)[0]), set()).add(r.verdict)
+    assert got["h.net", "/a/es"] == got["k.net", "/es"] == {"block"} and got["h.net", "/a/ok"] == {"allow"}
+    assert got["k.net", "/xx"] == {"block"}  # unlabelled, blocked by its template
+    assert got["h.net", "/a/yy"] == {"allow"}  # another subtree
+    deep = op5.url_verdicts(df.filter("url not like '%/ok/%'"), rules=rules).filter("path like '/a/xx/%'")
+    assert {(r.verdict, r.template[:14]) for r in deep.collect()} == {("block", "h.net/a/es|xx/")}
+
+
 def test_rare_segments_become_wildcards(spark):
     urls = [(i, f"http://h.org/shop/{''.join(chr(97 + (i * 7 + j * j) % 26) for j in range(6))}{'abcdefgh'[i % 8]}/buy") for i in range(200)]
     got = op5.url_verdicts(spark.createDataFrame(urls, "page_id long, url string"), min_share=0.2)
