@@ -15,7 +15,10 @@ from . import op07_packing as op7
 from . import op08_bpe as op8
 from . import op09_toxicity as op9
 from . import op10_minhash as op10
-from .common import NORMAL_LINE_SQL, table
+from . import op11_best_fit_packing as op11
+from . import op12_lexical_search as op12
+from . import op13_periodic_runs as op13
+from .common import NORMAL_LINE_SQL, table, text_of, words_of
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -102,6 +105,40 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = op11.pack_whole_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.lexical_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents (by a hash of the id) the words from one place on repeat with a period."""
+    df = docs.select("doc_id", text_of("text").alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    df = df.withColumn("w", F.when(F.col("h") % 10 == 0, words_of(F.col("text"))))
+    df = df.withColumns({"n": F.size("w"), "g": F.expr("h div 10")})
+    df = df.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    df = df.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.expr("cast((n - a + p - 1) div p as int)")))
+    whole = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), again), F.lit(1), F.col("n")), " ")
+    return df.select("doc_id", F.when(F.col("n") > 0, whole).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op13.periodic_runs(planted_repeats(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed_text", "utf-8"), 256).alias("collapsed_sha256"))
+
+
 #: Lines with a word of every document: d (document number), i (raw line number), t (normalised), w (words).
 LINES_SQL = f"""
 docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
@@ -183,3 +220,22 @@ smallest AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
 SELECT words.doc_id, coalesce(n, 0) AS n_shingles, least(words.doc_id, coalesce(y, words.doc_id)) AS component_id,
        least(words.doc_id, coalesce(y, words.doc_id)) = words.doc_id AS kept
 FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN smallest ON x = words.doc_id"""
+
+ORACLE["op12_lexical_search"] = r"""
+WITH terms AS (SELECT doc_id, k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+               FROM (SELECT *, row_number() OVER () AS k FROM documents)),
+asked AS (SELECT DISTINCT item_id, j, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+          FROM (SELECT *, row_number() OVER () AS j FROM benchmark)),
+sizes AS (SELECT k, any_value(doc_id) AS doc_id, count(*) AS n FROM terms GROUP BY k),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM sizes),
+tfs AS (SELECT k, t, count(*) AS tf FROM terms WHERE t IN (SELECT t FROM asked) GROUP BY k, t),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(nd) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tfs, total GROUP BY t),
+parts AS (SELECT k, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nd) // nt))) AS part
+          FROM tfs JOIN sizes USING (k) JOIN weights USING (t), total),
+scores AS (SELECT item_id, j, k, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (t) GROUP BY item_id, j, k),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+           FROM scores JOIN sizes USING (k) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
