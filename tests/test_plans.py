@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from panelspark.plans.catalog import ORACLE, QUERIES
 from panelspark.plans.pipelines import daily_panel
 from panelspark.sources.tables import episodes
 
@@ -53,10 +54,7 @@ def _norm_rows(cols, rows):
     return rows_of(cols, rows)
 
 
-ORACLE = entry_mod.oracle_sql()
-FAST = [n for n in ORACLE]
-
-
+# the library's own catalog; the optional corpus operators have a sweep of their own, over their tables
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -65,9 +63,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_query_matches_duckdb(spark, duck, name):
-    sdf = entry_mod.queries()[name](spark, SF)
+    sdf = QUERIES[name](spark, SF)
     srows = [tuple(r) for r in sdf.collect()]
     res = duck.execute(ORACLE[name])
     dcols = [c[0] for c in res.description]
@@ -76,8 +74,6 @@ def test_query_matches_duckdb(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_a_model_fit():
-    # the library's own catalog; the optional corpus operators have tests of their own
-    from panelspark.plans.catalog import ORACLE as sql, QUERIES
-    rows_only = set(QUERIES) - set(sql)
+    rows_only = set(QUERIES) - set(ORACLE)
     assert rows_only == {"phase_classifier", "countdown_regressor", "window_model", "batch_score",
                          "experiment_reports"}
