@@ -19,7 +19,8 @@ Scale: one pass writes the pieces' ids to the shared folder, each with its rank
 task. Counts per (task, length) are turned into rank offsets by a running sum (one row per task and length), so a length that
 a third of all documents share is never counted in one task. The plan on the driver has at most ``room`` counts in and, as a
 sequence holds at most sqrt(2 * room) different lengths, a bounded number of ranges out. The pieces meet their offset
-in one join on (task, length), whose keys hold no more rows than a task read. A lost task writes its ranks anew; only those
+in one join on (task, length), whose keys hold no more rows than a task read; up to ``broadcast_counts`` offsets are
+broadcast, more are merged (one shuffle of the ids). A lost task writes its ranks anew; only those
 of the committed file are read.
 
 Edge cases: a null or empty text is the end id alone; repeated rows are packed each; equal lengths are ranked by task and
@@ -225,15 +226,16 @@ def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
 
 def pack_whole_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, room: int = 2048,
-                         end_id: int = 0, pattern: str = WORDS) -> DataFrame:
+                         end_id: int = 0, pattern: str = WORDS, broadcast_counts: int = 250_000) -> DataFrame:
     """One row per piece: id, piece, start, length, ids, sequence_id, offset. ``tokenizer``: path of the file, the
     same on all machines; ids are those of the tokenizers library with it."""
     pieces = stage(cut_documents(docs, tokenizer, id_col, text_col, room=room, end_id=end_id, pattern=pattern), "op11-pieces")
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     cells = stage(pieces.groupBy("_task", "length").agg(F.count(F.lit(1)).alias("_n"))
                   .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "op11-counts")
-    counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    slots = np.array(sorted(plan(counts, room)), np.int64).reshape(-1, len(Slots._fields))
+    lengths = cells.groupBy("length").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("cells")).collect()
+    few = sum(r.cells for r in lengths) <= broadcast_counts
+    slots = np.array(sorted(plan({r.length: r.n for r in lengths}, room)), np.int64).reshape(-1, len(Slots._fields))
     keys = slots[:, 0] * RANKS + slots[:, 1]
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
@@ -243,5 +245,5 @@ def pack_whole_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id"
         return pd.DataFrame({"sequence_id": own[:, 4] + nth // own[:, 3],
                              "offset": own[:, 5] + nth % own[:, 3] * own[:, 0]})
 
-    placed = pieces.join(cells.drop("_n"), ["_task", "length"]).withColumn("_at", place("length", F.col("_rank") + F.col("_before")))
+    placed = pieces.join(cells.drop("_n").hint("broadcast" if few else "merge"), ["_task", "length"]).withColumn("_at", place("length", F.col("_rank") + F.col("_before")))
     return placed.select(F.col("_id").alias(id_col), "piece", "start", "length", "ids", "_at.sequence_id", "_at.offset")

@@ -143,10 +143,14 @@ def library_ids():
     return lambda text: np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
-@pytest.mark.parametrize("room", [2048, 16])
-def test_packing_of_odd_texts(spark, room):
+@pytest.mark.parametrize(("room", "counts"), [(2048, 1000), (16, 1000), (16, 0)])
+def test_packing_of_odd_texts(spark, room, counts):
     docs = frame(spark, ODD).repartition(3)
-    check_packing(ODD, op11.pack_whole_documents(docs, tokenizer_path(), room=room).collect(), room, library_ids())
+    packed = op11.pack_whole_documents(docs, tokenizer_path(), room=room, broadcast_counts=counts)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (counts == 0) and ("BroadcastHashJoin" in plan) == (counts > 0)
+    check_packing(ODD, packed.collect(), room, library_ids())
+    assert op11.pack_whole_documents(frame(spark, []), tokenizer_path(), room=room, broadcast_counts=counts).collect() == []
 
 
 def test_packing_of_the_table(spark):
