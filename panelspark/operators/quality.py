@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import count_true, count_violations, in_vocab
@@ -20,6 +20,38 @@ class DataQualityError(ValueError):
     pass
 
 
+Checks = list[tuple[str, str, Column]]  # name, severity, aggregate that counts the violations
+
+
+class Watched:
+    """Checks taken while their rows are written: the sums are observed in the write itself, so the rows are not read
+    again. Put it right before the write (nothing that shuffles after it), where a task that runs again counts once."""
+
+    def __init__(self, df: DataFrame, checks: Checks, **more: Column):
+        self.checks, self._seen = checks, Observation()
+        self.rows = df.observe(self._seen, *[F.coalesce(e, F.lit(0)).cast("long").alias(f"c{i}") for i, (_, _, e) in enumerate(checks)],
+                               *[e.alias(f"m_{k}") for k, e in more.items()])
+
+    def results(self) -> list[tuple[str, str, int]]:
+        """(check, severity, violations); once the write is done."""
+        return [(c, s, self._seen.get[f"c{i}"]) for i, (c, s, _) in enumerate(self.checks)]
+
+    def measured(self, name: str):
+        return self._seen.get[f"m_{name}"]
+
+
+def enforce_results(rows: list[tuple[str, str, int]], level: str = "error") -> None:
+    """Raise :class:`DataQualityError` if a check of ``level`` has violations."""
+    bad = [f"{c}={v}" for c, s, v in rows if s == level and v > 0]
+    if bad:
+        raise DataQualityError("; ".join(bad))
+
+
+def results_of(report: DataFrame) -> list[tuple[str, str, int]]:
+    """The rows of a report; a report has one row per check."""
+    return [(r["check"], r["severity"], r["violations"]) for r in report.collect()]
+
+
 def _report(df: DataFrame, checks: list[tuple[str, str, object]]) -> DataFrame:
     """One aggregation for all checks, then one row per check."""
     wide = df.agg(*[F.coalesce(expr, F.lit(0)).cast("long").alias(name)
@@ -102,9 +134,9 @@ def phase_rule_violations(episodes: DataFrame, spec: PanelSpec = DEFAULT) -> Dat
                 F.when(ovu <= p, "phase_overlap").otherwise("ovulation_outside_episode").alias("rule"))
 
 
-def daily_report(daily: DataFrame, episodes: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """DQ4-DQ6 in one pass over the daily panel: row total vs. the sum of lengths,
-    target/label domains, and per episode the day set exactly 0..length-1 with
+def daily_report(daily: DataFrame, episodes: DataFrame | int, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """DQ4-DQ6 in one pass over the daily panel: row total vs. the sum of lengths (of the episodes, or as a
+    number), target/label domains, and per episode the day set exactly 0..length-1 with
     each sample date equal to start + day (so dates rise strictly with the day).
 
     Aggregation runs (episode, day) -> episode -> total; grouping keys always
@@ -133,8 +165,10 @@ def daily_report(daily: DataFrame, episodes: DataFrame, spec: PanelSpec = DEFAUL
         F.sum(F.when(F.coalesce(day_set_ok, F.lit(False)), 0).otherwise(1)).cast("long").alias("day_set"),
         F.sum((F.col("date_off") > 0).cast("long")).alias("dates_inc"),
         *[F.sum(k).alias(k) for k in row_bad if k != "date_off"])
-    expected = episodes.agg(F.sum(spec.length).cast("long").alias("n_expected"))
-    one = tot.crossJoin(expected)  # two one-row frames
+    if isinstance(episodes, int):
+        one = tot.withColumn("n_expected", F.lit(episodes).cast("long"))
+    else:
+        one = tot.crossJoin(episodes.agg(F.sum(spec.length).cast("long").alias("n_expected")))  # two one-row frames
     checks = [("daily_rows_equal_length_sum", "error",
                F.abs(F.col("n_daily") - F.col("n_expected"))),
               ("countdown_negative", "error", F.col("countdown_negative")),
@@ -159,16 +193,26 @@ def history_flag_report(hist: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame
     ``n_prior`` (earlier rows) comes from the history step itself, so this is a
     row-local predicate and needs no ranking window.
     """
+    return _report(hist, history_flag_checks(spec))
+
+
+def history_flag_checks(spec: PanelSpec = DEFAULT) -> Checks:
     first = F.col("n_prior_episodes") == 0
-    return _report(hist, [
+    return [
         ("first_episode_not_flagged", "error", count_true(first & (F.col(spec.cold_flag) != 1))),
         ("later_episode_flagged", "error", count_true(~first & (F.col(spec.cold_flag) != 0))),
-    ])
+    ]
 
 
 def window_report(w: DataFrame, seq_length: int, n_features: int) -> DataFrame:
     """DQ16: window arrays (``X``, ``y_phase``, ``y_reg``): inner length L, feature
     width F, labels in 0..3, only finite values, and at least one window."""
+    return _report(w, window_checks(seq_length, n_features))
+
+
+def window_checks(seq_length: int, n_features: int, among: Column | None = None) -> Checks:
+    """The rules of :func:`window_report`, for the rows of ``among`` if given."""
+    among = F.lit(True) if among is None else among
     L = F.lit(int(seq_length))
     bad_len = (F.size("X") != L) | (F.size("y_phase") != L) | (F.size("y_reg") != L)
     bad_width = F.exists("X", lambda r: F.size(r) != F.lit(int(n_features)))
@@ -178,14 +222,15 @@ def window_report(w: DataFrame, seq_length: int, n_features: int) -> DataFrame:
         return v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
 
     bad_value = F.exists("X", lambda r: F.exists(r, non_finite)) | F.exists("y_reg", non_finite)
-    return _report(w, [
-        ("window_count", "info", F.count(F.lit(1))),
-        ("inner_length", "error", count_true(bad_len)),
-        ("feature_width", "error", count_true(bad_width)),
-        ("label_domain", "error", count_true(bad_label)),
-        ("non_finite_value", "error", count_true(bad_value)),
-        ("no_windows", "error", (F.count(F.lit(1)) == 0).cast("long")),
-    ])
+    n = F.count_if(among)
+    return [
+        ("window_count", "info", n),
+        ("inner_length", "error", count_true(among & bad_len)),
+        ("feature_width", "error", count_true(among & bad_width)),
+        ("label_domain", "error", count_true(among & bad_label)),
+        ("non_finite_value", "error", count_true(among & bad_value)),
+        ("no_windows", "error", (n == 0).cast("long")),
+    ]
 
 
 def require_stage(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
@@ -199,7 +244,5 @@ def require_stage(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
 
 def enforce(report: DataFrame, level: str = "error") -> DataFrame:
     """Raise :class:`DataQualityError` if a check of ``level`` has violations."""
-    bad = report.filter((F.col("severity") == level) & (F.col("violations") > 0)).collect()
-    if bad:
-        raise DataQualityError("; ".join(f"{r['check']}={r['violations']}" for r in bad))
+    enforce_results(results_of(report), level)
     return report

@@ -71,21 +71,25 @@ def _total(exprs):
     return out
 
 
-def range_report(df: DataFrame, columns=None, spec: PanelSpec = DEFAULT, tol: float = 1e-9,
-                 targets=None) -> DataFrame:
-    """DQ12-DQ14 per split: out-of-range scaled cells (train with tolerance, others
+def range_counts(df_columns, columns=None, spec: PanelSpec = DEFAULT, tol: float = 1e-9, targets=None) -> dict:
+    """DQ12-DQ14 as row-local counts by name: out-of-range scaled cells (train with tolerance, others
     strict), null scaled cells, null targets, indicator cells outside {0, 1}."""
     columns = list(columns or spec.scale_columns)
     targets = list(targets or [spec.countdown, spec.label])
     is_train = F.col("split") == "train"
     lo = F.when(is_train, F.lit(-tol)).otherwise(F.lit(0.0))
     hi = F.when(is_train, F.lit(1.0 + tol)).otherwise(F.lit(1.0))
-    oor = _total([F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False)).cast("long") for c in columns])
-    nul = _total([F.col(c).isNull().cast("long") for c in columns])
-    tnul = _total([F.col(c).isNull().cast("long") for c in targets if c in df.columns])
-    nonbin = _total([(~F.coalesce(F.col(c).isin(0, 1), F.lit(False))).cast("long")
-                     for c in spec.indicator_columns if c in df.columns])
-    return df.groupBy("split").agg(F.sum(oor).alias("n_out_of_range"),
-                                   F.sum(nul).alias("n_null_scaled"),
-                                   F.sum(tnul).alias("n_null_target"),
-                                   F.sum(nonbin).alias("n_non_binary"))
+    return {
+        "n_out_of_range": _total([F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False)).cast("long") for c in columns]),
+        "n_null_scaled": _total([F.col(c).isNull().cast("long") for c in columns]),
+        "n_null_target": _total([F.col(c).isNull().cast("long") for c in targets if c in df_columns]),
+        "n_non_binary": _total([(~F.coalesce(F.col(c).isin(0, 1), F.lit(False))).cast("long")
+                                for c in spec.indicator_columns if c in df_columns]),
+    }
+
+
+def range_report(df: DataFrame, columns=None, spec: PanelSpec = DEFAULT, tol: float = 1e-9,
+                 targets=None) -> DataFrame:
+    """DQ12-DQ14 per split."""
+    counts = range_counts(df.columns, columns, spec, tol, targets)
+    return df.groupBy("split").agg(*[F.sum(e).alias(n) for n, e in counts.items()])

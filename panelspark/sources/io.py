@@ -12,11 +12,15 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-from ..operators.clean import normalize_column_names, parse_dates, sort_for_sink
+from ..operators.clean import normalize_column_names, parse_date, parse_dates, sort_for_sink
 from ..spec import DEFAULT, REQUIRED_COLUMNS, PanelSpec
+from .store import read_document, write_document
 
 RAW_TYPES = {
     "user_id": "bigint", "age": "int", "bmi": "double", "stress_level": "int",
@@ -31,7 +35,7 @@ def read_episodes_csv(spark: SparkSession, path: str, spec: PanelSpec = DEFAULT,
                       types: dict | None = None) -> DataFrame:
     """SRC1 (+PRJ1, PRJ2): header CSV read as strings (no schema inference pass),
     names normalised, values cast with ``try_cast`` (bad value -> null), dates
-    parsed leniently. A missing path raises from the reader."""
+    parsed leniently. A missing path raises from the reader. :func:`typed_episodes` also says what could not be read."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     df = normalize_column_names(raw, REQUIRED_COLUMNS)
     types = {**RAW_TYPES, **(types or {})}
@@ -39,6 +43,67 @@ def read_episodes_csv(spark: SparkSession, path: str, spec: PanelSpec = DEFAULT,
     return parse_dates(df, spec)
 
 
+#: Cell texts that mean "no value" and are no error.
+MISSING_TEXTS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None")
+
+RAW_RECORD, BAD_CELLS, SOURCE_FILE = "_raw_record", "_bad_cells", "_source_file"
+
+
+def _cell(raw: str, name: str, kind: str) -> tuple[Column, Column]:
+    """The typed value of a text cell, and why it can't be read (null if it can, or has no value)."""
+    text = F.trim(F.col(f"`{raw}`"))
+    given = ~F.coalesce(text.isin(*MISSING_TEXTS), F.lit(True))
+    value = parse_date(text) if kind == "date" else text.try_cast(kind)
+    bad = F.when(value.isNull(), F.lit(f"not a {kind}"))
+    if kind in ("double", "float"):
+        bad = bad.when(F.abs(value) == float("inf"), F.lit("not finite"))
+    why = F.when(given, bad)
+    return F.when(given & why.isNull(), value).alias(name), \
+        F.when(why.isNotNull(), F.struct(F.lit(name).alias("column_name"), F.col(f"`{raw}`").alias("raw_value"), why.alias("reason")))
+
+
+def typed_episodes(spark: SparkSession, path: str, spec: PanelSpec = DEFAULT, types: dict | None = None) -> DataFrame:
+    """SRC1 + PRJ1 + PRJ2 + PRJ3 with a reject channel: every record of a header CSV with typed cells, its text, its
+    file and the list of what can't be read: (column, text, reason) per cell, or one entry for a record with too few or too
+    many cells. One pass; split it with :func:`accepted` and :func:`rejects`.
+
+    A cell that is empty or one of ``MISSING_TEXTS`` is null and no error. Files whose header differs from the first one's
+    are an error of the read, as is a missing path."""
+    header = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    names = normalize_column_names(header, REQUIRED_COLUMNS).columns
+    broken = "_broken_record"
+    schema = reduce(lambda s, c: s.add(c, StringType()), [*header.columns, broken], StructType())
+    raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("columnPruning", False)
+           .option("escape", '"')  # a quote in a quoted cell is doubled
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).csv(path))
+    kinds = {**RAW_TYPES, **(types or {}), spec.start: "date", spec.next_start: "date"}
+    cells = {n: _cell(c, n, kinds[n]) for c, n in zip(header.columns, names, strict=True) if n in kinds}
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("column_name"), F.col(broken).alias("raw_value"),
+                             F.lit("wrong number of cells").alias("reason")))
+    bad = F.when(F.col(broken).isNotNull(), whole).otherwise(F.array_compact(F.array(*[b for _, b in cells.values()])))
+    return raw.select(
+        *[cells[n][0] if n in cells else F.col(f"`{c}`").alias(n) for c, n in zip(header.columns, names, strict=True)],
+        F.coalesce(F.col(broken), F.to_csv(F.struct(*[F.col(f"`{c}`") for c in header.columns]))).alias(RAW_RECORD),
+        bad.alias(BAD_CELLS), F.col("_metadata.file_path").alias(SOURCE_FILE))
+
+
+def accepted(typed: DataFrame) -> DataFrame:
+    """The records of :func:`typed_episodes` that could be read, without its helper columns."""
+    return typed.filter(F.size(BAD_CELLS) == 0).drop(RAW_RECORD, BAD_CELLS, SOURCE_FILE)
+
+
+def rejects(typed: DataFrame) -> DataFrame:
+    """One row per unreadable cell or record: source_file, raw_record, column_name, raw_value, reason."""
+    return typed.filter(F.size(BAD_CELLS) > 0).select(
+        F.col(SOURCE_FILE).alias("source_file"), F.col(RAW_RECORD).alias("raw_record"), F.explode(BAD_CELLS).alias("c")) \
+        .select("source_file", "raw_record", "c.*")
+
+
+def reject_counts(typed: DataFrame) -> DataFrame:
+    """Unreadable cells by column and reason."""
+    return rejects(typed).groupBy("column_name", "reason").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
     """SRC2: the daily panel (typed dates come back as DateType)."""
     return spark.read.parquet(path)
@@ -52,7 +117,7 @@ def read_splits(spark: SparkSession, path: str, splits=None) -> DataFrame:
 
 def read_contract(spark: SparkSession, path: str) -> dict:
     """SRC4: the feature contract (one JSON document) as a dict."""
-    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return read_document(spark, path)
 
 
 def read_windows(spark: SparkSession, path: str, seq_length: int, splits=None, schema=None) -> DataFrame:
@@ -134,20 +199,17 @@ def write_contract(spark: SparkSession, path: str, spec: PanelSpec = DEFAULT, st
         **(extra or {}),
     }
     spec.check_no_leakage()
-    _write_document(spark, path, doc)
+    write_document(spark, path, doc)
 
 
 def update_contract(spark: SparkSession, path: str, sections: dict) -> dict:
-    """SNK5: add or replace sections (split, scaler, stage) of a stored contract, keeping the others."""
+    """SNK5: add or replace sections (split, scaler, stage) of a stored contract, keeping the others. The contract
+    before stays in place until the new one is whole."""
     doc = {**read_contract(spark, path), **sections}
-    _write_document(spark, path, doc)
+    write_document(spark, path, doc)
     return doc
 
 
-def _write_document(spark: SparkSession, path: str, doc: dict) -> None:
-    spark.createDataFrame([(json.dumps(doc),)], "doc string").coalesce(1).write.mode("overwrite").text(path)
-
-
 def write_windows(w: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK6: window arrays partitioned by length and split."""
     w.write.mode(mode).partitionBy("seq_length", "split").parquet(path)
