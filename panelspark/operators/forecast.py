@@ -1,10 +1,11 @@
 """FCT1-FCT5: forecasts that feed the evaluation operators.
 
 FCT1 is a deterministic, leakage-free baseline built only from the history
-features; FCT2-FCT4 re-aim the reference's two-head network as distributed
+features; FCT2-FCT4 re-aim the reference's two heads as distributed
 ``pyspark.ml`` estimators (fit on train rows, score all rows); FCT5 scores
-any caller-supplied model batch-wise with Arrow (``mapInPandas``), the only
-place where rows cross into Python.
+any caller-supplied model batch-wise with Arrow (``mapInPandas``). The recurrent
+per-timestep model is in :mod:`panelspark.operators.training`, stored models
+are in :mod:`panelspark.sources.models`.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def score_batches(df: DataFrame, features, predict: Callable, out_schema: str, k
                 res[k] = pdf[k].values
             yield res
 
-    return df.select(*keep, *features).mapInPandas(run, out_schema)
+    return df.select(*keep, *[f for f in features if f not in keep]).mapInPandas(run, out_schema)
 
 
 def softmax_predictor(coef, intercept) -> Callable:

@@ -7,5 +7,5 @@ Queries read whole driver tables (through the panel views of
 
 from __future__ import annotations
 
-from . import q_builder, q_eval, q_faulty, q_io, q_prep, q_profile, q_publish, q_reports, q_stages  # noqa: F401  (registration)
+from . import q_builder, q_eval, q_faulty, q_io, q_models, q_prep, q_profile, q_publish, q_reports, q_stages  # noqa: F401  (registration)
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -75,5 +75,5 @@ def test_query_matches_duckdb(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_a_model_fit():
     rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only == {"phase_classifier", "countdown_regressor", "window_model", "batch_score",
+    assert rows_only == {"phase_classifier", "countdown_regressor", "window_model", "batch_score", "sequence_forecast_report",
                          "experiment_reports"}
