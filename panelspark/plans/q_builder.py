@@ -386,32 +386,67 @@ def q_dq_daily_report(spark, sf):
     return quality.daily_report(expand_days(ep), ep)
 
 
+_LABELS_DAILY = ", ".join(f"COUNT(*) FILTER (WHERE phase_label = {i}) AS rows_label_{i}, "
+                          f"COUNT(*) FILTER (WHERE phase_name = '{n}') AS rows_{n}" for i, n in enumerate(S.phase_names))
+_LEVELS_DAILY = ", ".join(f"COUNT(*) FILTER (WHERE exercise_frequency_encoded = {i}) AS rows_exercise_{i}"
+                          for i in range(len(S.ordinal[0][1])))
+# the episodes in the order they arrive: by order key, which is not their order in time
+_ARRIVAL_SQL = """
+arrival AS (SELECT user_id, cycle_start_date, LAG(cycle_start_date) OVER (PARTITION BY user_id ORDER BY o_orderkey) AS prev
+ FROM (SELECT CAST(o_custkey AS BIGINT) AS user_id, o_orderkey, CAST(o_orderdate AS DATE) AS cycle_start_date FROM orders) o)"""
 _ONEHOT_DAILY = ", ".join(f"CAST(SUM({c}) AS BIGINT) AS total_{c}" for c in S.onehot_columns)
 
 
-@query("builder_summary", D(f"""
+def days_by_label(spec=S):
+    """Days of an episode with each phase label, from its length and prefix alone (the rule of ``phase_label``)."""
+    n, p = F.col(spec.length).cast("long"), F.col(spec.prefix).cast("long")
+    ovu, none = n - spec.ovulation_offset, F.lit(0).cast("long")
+    first = F.greatest(F.least(p, n), none)
+    second = F.greatest(F.least(ovu, n) - first, none)
+    third = F.when((ovu >= first) & (ovu < n), 1).otherwise(0).cast("long")
+    return first, second, third, n - first - second - third
+
+
+@query("builder_summary", with_views(f"""
 SELECT (SELECT COUNT(*) FROM episodes) AS n_episodes, COUNT(*) AS n_daily_rows,
  COUNT(DISTINCT user_id) AS n_entities, MIN(cycle_length) AS min_cycle_length, MAX(cycle_length) AS max_cycle_length,
  MIN(period_length) AS min_period_length, MAX(period_length) AS max_period_length,
  (SELECT COUNT(*) FROM episodes WHERE cycle_length - 14 <= period_length OR cycle_length - 14 >= cycle_length)
   AS n_phase_rule_violations,
  CAST(SUM(is_historical_data_missing) AS BIGINT) AS n_cold_start_rows,
+ COUNT(*) FILTER (WHERE is_historical_data_missing = 0) AS n_history_rows,
+ (SELECT COUNT(*) FROM (SELECT user_id FROM arrival GROUP BY user_id HAVING COUNT(*) FILTER (WHERE prev > cycle_start_date) > 0))
+  AS n_unsorted_entities,
+ (SELECT CAST(COALESCE(SUM(c), 0) AS BIGINT) FROM (SELECT COUNT(*) AS c FROM episodes GROUP BY user_id, cycle_start_date HAVING COUNT(*) > 1))
+  AS n_duplicate_rows,
+ {_LABELS_DAILY}, {_LEVELS_DAILY},
  CAST(SUM(CASE WHEN diet_balanced + diet_high_sugar + diet_low_carb + diet_vegetarian <> 1 THEN 1 ELSE 0 END)
   AS BIGINT) AS diet_rowsum_violations,
  CAST(SUM(CASE WHEN symptoms_bloating + symptoms_cramps + symptoms_fatigue + symptoms_headache
   + symptoms_mood_swings <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS symptoms_rowsum_violations,
  {_ONEHOT_DAILY}
-FROM daily"""))
+FROM daily""", EPISODES_SQL, HISTORY_SQL, DAILY_SQL, _ARRIVAL_SQL))
 def q_builder_summary(spark, sf):
     """AGG20: the builder's summary as one row.  Every daily-level total is an
     episode-level sum weighted by the episode length (each episode contributes
     ``length`` identical rows), so no explode is needed."""
+    from ..sources.tables import table
     ep = prepared_episodes(episodes(spark, sf))
     n = F.col("cycle_length").cast("long")
     ovu = F.col("cycle_length") - 14
+    o = table(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("user_id"), "o_orderkey",
+                                          F.to_date("o_orderdate").alias("cycle_start_date"))
+    unsorted = quality.nonchronological_entities(o, "o_orderkey").agg(F.count(F.lit(1)).alias("n_unsorted_entities"))
+    repeated = quality.duplicate_episodes(ep).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_duplicate_rows"))
+    days = days_by_label()
     diet = sum(F.col(c) for c in S.onehot_columns if c.startswith("diet_"))
     sym = sum(F.col(c) for c in S.onehot_columns if c.startswith("symptoms_"))
-    return ep.agg(
+    # one-row frames
+    return unsorted.crossJoin(repeated).crossJoin(ep.agg(
+        *[F.sum(d).alias(name) for i, d in enumerate(days) for name in (f"rows_label_{i}", f"rows_{S.phase_names[i]}")],
+        *[F.sum(F.when(F.col("exercise_frequency_encoded") == i, n).otherwise(0)).alias(f"rows_exercise_{i}")
+          for i in range(len(S.ordinal[0][1]))],
+        F.sum((1 - F.col("is_historical_data_missing")) * n).alias("n_history_rows"),
         F.count(F.lit(1)).alias("n_episodes"), F.sum(n).alias("n_daily_rows"),
         F.countDistinct("user_id").alias("n_entities"),
         F.min("cycle_length").alias("min_cycle_length"), F.max("cycle_length").alias("max_cycle_length"),
@@ -421,4 +456,4 @@ def q_builder_summary(spark, sf):
         F.sum(F.col("is_historical_data_missing") * n).alias("n_cold_start_rows"),
         F.sum(F.when(diet != 1, n).otherwise(0)).alias("diet_rowsum_violations"),
         F.sum(F.when(sym != 1, n).otherwise(0)).alias("symptoms_rowsum_violations"),
-        *[F.sum(F.col(c) * n).alias(f"total_{c}") for c in S.onehot_columns])
+        *[F.sum(F.col(c) * n).alias(f"total_{c}") for c in S.onehot_columns]))

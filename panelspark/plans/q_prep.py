@@ -273,3 +273,17 @@ def q_dq_window_report(spark, sf):
     from ..operators.quality import window_report
     w = sequences.window_arrays(sequences.windows(_windows_src(spark, sf), 21))
     return window_report(w, 21, len(S.input_features))
+
+
+@query("flattened_windows", P("""
+SELECT split, CAST(t AS INT) AS t, COUNT(*) AS n_windows, CAST(SUM(p) AS BIGINT) AS sum_day,
+ CAST(SUM(phase_label) AS BIGINT) AS sum_label, CAST(SUM(days_until_next_cycle) AS BIGINT) AS sum_countdown
+FROM (SELECT *, day_in_cycle AS p, COUNT(*) OVER (PARTITION BY user_id, cycle_start_date) AS n FROM dsplit) d
+ JOIN range(21) r(t) ON p >= t AND p <= n - 21 + t
+GROUP BY split, t"""))
+def q_flattened_windows(spark, sf):
+    """GEN5: all windows of L = 21 as one row per (window, timestep), summed per timestep."""
+    flat = sequences.flatten_windows(sequences.windows(_windows_src(spark, sf, features=[]), 21))
+    return flat.groupBy("split", "t").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.sum(F.col("day").cast("long")).alias("sum_day"),
+        F.sum("y_phase").alias("sum_label"), F.sum("y_reg").cast("long").alias("sum_countdown"))

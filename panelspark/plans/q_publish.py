@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quality
+from ..operators import layout, quality
 from ..sources import io
 from ..sources.store import StageStore
 from ..sources.tables import EPISODES_SQL, EPOCH, episodes, with_views
+from ..spec import DEFAULT as S
+from .pipelines import daily_for_sink
 from .q_builder import D, DAILY_COLUMNS_SQL
 from .q_io import RAW_HEADERS, _scratch
 from .registry import query
@@ -90,3 +92,19 @@ def q_published_after_failure(spark, sf):
     except quality.DataQualityError:
         return published(spark, path, "daily")
     raise AssertionError("the broken episodes were published")
+
+
+@query("sink_order_check", D("""
+SELECT layout, (SELECT COUNT(*) FROM daily) AS n_rows, layout = 'sink' AS rows_ascend, layout = 'sink' AS files_apart
+FROM (VALUES ('sink'), ('shuffled')) v(layout)"""))
+def q_sink_order_check(spark, sf):
+    """SRT1: the files of the daily sink ascend by (entity, start, day) and don't overlap; a copy in the order
+    of a hash does neither."""
+    path, keys = _scratch(spark, "sink-order"), [S.entity, S.start, S.day]
+    io.write_daily(daily_for_sink(episodes(spark, sf)), f"{path}/sink")
+    order = F.xxhash64(*keys)
+    spark.read.parquet(f"{path}/sink").repartition(4, order).sortWithinPartitions(order).write.parquet(f"{path}/shuffled")
+    found = [layout.order_report(spark, f"{path}/{name}", keys).select(
+        F.lit(name).alias("layout"), "n_rows", (F.col("n_descents") == 0).alias("rows_ascend"),
+        (F.col("n_overlaps") == 0).alias("files_apart")) for name in ("sink", "shuffled")]
+    return found[0].unionAll(found[1])

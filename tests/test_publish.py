@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from panelspark.operators import quality
+from panelspark.operators import layout, quality
 from panelspark.operators.quality import DataQualityError, Watched
 from panelspark.plans.pipelines import prepared_episodes
 from panelspark.plans.stages import build_daily, build_daily_from_csv, build_splits, build_windows, published
@@ -129,6 +129,26 @@ def test_a_contract_survives_a_failed_update(spark, tmpdir_path, monkeypatch):
     assert io.read_contract(spark, path) == {**before, "stage": "11"}
 
 
+# --- physical order ---------------------------------------------------------------------------
+
+@pytest.mark.parametrize("block", [3, 1 << 18])
+def test_order_of_files(spark, tmpdir_path, block):
+    keys = ["a", "b"]
+
+    def report(name, *files):
+        for rows in files:
+            spark.createDataFrame(rows, "a long, b long").coalesce(1).write.mode("append").parquet(f"{tmpdir_path}/{name}")
+        return tuple(layout.order_report(spark, f"{tmpdir_path}/{name}", keys, block).first())
+
+    up = [(1, i) for i in range(10)]
+    assert report("one", up) == (10, 1, 0, 0)
+    assert report("two", up, [(1, 9), (1, 9), (2, 0)]) == (13, 2, 0, 0)  # a key that goes on
+    assert report("over", up, [(1, 4), (3, 0)]) == (12, 2, 0, 1)
+    assert report("inside", up, [(1, 4), (1, 5)], [(1, 6)]) == (13, 3, 0, 2)
+    assert report("down", [(2, 0), *up, (0, 0), (None, 5), (0, 1)]) == (14, 1, 3, 0)
+    assert report("none", []) == (0, 0, 0, 0)
+
+
 # --- reject channel ---------------------------------------------------------------------------
 
 HEADER = "User ID,Age,BMI,Stress Level,Exercise Frequency,Sleep Hours,Diet,Cycle Start Date,Cycle Length,Period Length,Next Cycle Start Date,Symptoms,Note"
