@@ -13,10 +13,12 @@ Documents with the same own lines are one, and so are those without any that hav
 the limits. A line is above the limits if both counts say so. Copies that differ by lines added, or by most of their
 lines, are counted as different documents.
 
-Scale: a line row is 6 longs; the counts are grouping steps with map-side partial aggregation,
-so a line that stands in a third of all documents arrives at the reducers as a few partial counts. The second
-count reads only the documents that hold a line of the first. Only narrow rows are shuffled unless
-``clean_text`` is asked for (column pruning removes the text).
+Scale: a line row is 6 longs. The first step counts rows per line, two longs each with map-side partial counts,
+so a line that stands in a third of all documents arrives at the reducers as a few partial counts. Lines with too few
+rows can't be above the limits; a bitmap of those that can (at most 2^17 rows of 64 bits, whatever the data) thins out the
+lines before they are shuffled as distinct (line, document) pairs. It only lets more pass as it fills up; the
+counts behind it are exact. The second count reads only the documents that hold a line of the first. Only narrow rows are
+shuffled unless ``clean_text`` is asked for (column pruning removes the text).
 
 Edge cases: null or empty text has no words and fails the base rules; a null host is a host of its own;
 rows that repeat (same id and text) count as one document and get equal verdicts; an empty table gives
@@ -37,7 +39,7 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     """Adds ``n_repeat_words`` to rows with ``_words``: words in 5-word windows that occur twice or more.
 
     Windows are 64-bit hashes. Only a text in which some window repeats (a hash set tells) goes on: there
-    hash and position are packed into one long, sorted, and equal neighbours give the covered words.
+    hashes and positions are sorted, and equal neighbours give the covered words.
     """
     n = F.col("_n")
     df = df.withColumn("_wh", F.transform("_words", lambda w: F.xxhash64(w)))
@@ -46,16 +48,11 @@ def _repeat_words(df: DataFrame) -> DataFrame:
         F.slice("_wh", 1, F.greatest(n - (WINDOW - 1), F.lit(0))),
         lambda h, i: F.xxhash64(h, *[at(i, k) for k in range(1, WINDOW)])))
     df = df.withColumn("_again", F.size(F.array_distinct("_win")) < F.size("_win"))
-    df = df.withColumn("_bits", F.length(F.bin(n.cast("long"))))
-    # hash in the high bits, position in the low ones
-    packed = F.transform("_win", lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long")))
-    df = df.withColumn("_packed", F.when(F.col("_again"), F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")))
-    high = lambda x: F.call_function("shiftright", x, F.col("_bits"))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
-    twice = F.filter("_packed", lambda x, i: (high(x) == high(F.get(F.col("_packed"), i + 1)))
-                     | ((i > 0) & (high(x) == high(F.get(F.col("_packed"), i - 1)))))
-    df = df.withColumn("_low", low)
-    df = df.withColumn("_pos", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("_low")))))
+    placed = F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i")))
+    df = df.withColumn("_placed", F.when(F.col("_again"), F.array_sort(placed)).otherwise(F.array().cast("array<struct<h:bigint,i:bigint>>")))
+    twice = F.filter("_placed", lambda x, i: (x["h"] == F.get(F.col("_placed"), i + 1)["h"])
+                     | ((i > 0) & (x["h"] == F.get(F.col("_placed"), i - 1)["h"])))
+    df = df.withColumn("_pos", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(
         "_pos", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).cast("long").alias("last")),
         lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW).cast("long"), p - a["last"])).alias("n"), p.alias("last")),
@@ -92,6 +89,11 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ((n_words < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * n_words)).alias("base_failed"))
 
 
+def line_hash(line: Column) -> Column:
+    """60 bits of the MD5 of the normalised line."""
+    return F.conv(F.substring(F.md5(F.encode(normal_line(line), "utf-8")), 1, 15), 16, 10).cast("long")
+
+
 def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """One row per line with a word: _id, _ck, _host, i (its number), h (hash of the normalised line), before and after
     (hashes of the neighbouring lines, null at the ends), w (words)."""
@@ -99,7 +101,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
                      text_of(text_col).alias("_text"))
     df = df.select("_id", "_host", F.xxhash64("_text").alias("_ck"),
                    F.transform(_marked_lines(F.col("_text")),
-                               lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"),
+                               lambda x: F.struct(line_hash(x).alias("h"),
                                                   F.size(words_of(x)).alias("w"))).alias("_ls"))
     df = df.withColumn("_hs", F.transform("_ls", lambda x: x["h"]))
     # the outer form, as plain explode() makes Catalyst compute the array once more to drop empty ones early
@@ -120,10 +122,35 @@ def _same(df: DataFrame, other: DataFrame, on: dict[str, str], how: str) -> Data
     return out.drop("_o_host", *[f"_o_{c}" for c in on.values()])
 
 
+#: Bits of the bitmap that thins out lines: 2^17 words of 64.
+MAP_BITS = 1 << 23
+
+
+def _bit_of(host: str, h: str) -> tuple[Column, Column]:
+    """Word and bit of a line."""
+    bit = F.pmod(F.xxhash64(host, h), F.lit(MAP_BITS)).cast("int")
+    return F.floor(bit / 64).cast("int"), bit % 64
+
+
+def _thinned(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``lines`` without most of those whose (_host, h) is not in ``wanted``; none that is in it goes."""
+    word, bit = _bit_of("_host", "h")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = wanted.select(word.alias("_word"), one.alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
+    # at most MAP_BITS / 64 rows
+    hit = lines.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word").filter(F.call_function("bit_get", F.col("_bits"), F.col("_bit")) == 1)
+    return hit.select(*lines.columns)
+
+
 def frequent_lines(lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
     """(f_host, f_h) of the lines above the limits."""
-    per_doc = lines.select("_host", "h", "_ck").distinct()
-    hosts = lines.select("_host", "_ck").distinct().groupBy("_host").agg(F.count("*").alias("host_docs"))
+    hosts = stage(lines.select("_host", "_ck").distinct().groupBy("_host").agg(F.count("*").alias("host_docs")), "op1-hosts")
+    # a line has no more documents than rows
+    rows = lines.groupBy(F.xxhash64(F.coalesce(F.concat(F.lit("h"), "_host"), F.lit(""))).alias("hk"), "h").agg(F.count("*").alias("n"))
+    rows = rows.filter(F.col("n") > min_docs)
+    by_hash = hosts.select("_host", "host_docs", F.xxhash64(F.coalesce(F.concat(F.lit("h"), "_host"), F.lit(""))).alias("hk"))
+    wanted = rows.join(by_hash, "hk").filter(F.col("n") > max_share * F.col("host_docs"))
+    per_doc = stage(_thinned(lines.select("_host", "h", "_ck"), wanted).distinct(), "op1-pairs")
     often = per_doc.groupBy("_host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
     often = stage(_same(often, hosts, {}, "inner").filter(F.col("n_docs") > max_share * F.col("host_docs")), "op1-often")
 
@@ -183,7 +210,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _clean() -> Column:
     """_text without the lines whose hashes are in _gone_h."""
     left = F.array_join(F.filter(lines_of(F.col("_text")), lambda x: ~F.array_contains(
-        F.col("_gone_h"), F.xxhash64(normal_line(x)))), "\n")
+        F.col("_gone_h"), line_hash(x))), "\n")
     return F.when(F.size("_gone_h") == 0, F.col("_text")).otherwise(left)
 
 
@@ -198,7 +225,9 @@ def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, *, min_do
     """
     lines = stage(line_rows(docs, id_col, text_col, host_col), "op1-lines")
     often = frequent_lines(lines, min_docs, max_share)
-    hit = lines.join(often, F.col("_host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")), "left_semi")
+    often = stage(often, "op1-above")
+    hit = _thinned(lines, often.select(F.col("f_host").alias("_host"), F.col("f_h").alias("h")))
+    hit = hit.join(often, F.col("_host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")), "left_semi")
     # a set, as a repeated row brings its lines again; bounded by the document's own lines
     gone = (hit.groupBy("_id", "_ck", "_host").agg(F.collect_set(F.struct("i", "h", "w")).alias("_gone"))
             .select(F.col("_id").alias("g_id"), F.col("_ck").alias("g_ck"), F.col("_host").alias("g_host"), "_gone"))

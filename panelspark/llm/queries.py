@@ -163,15 +163,36 @@ base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
                 CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                 coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
          FROM words LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)),
-around AS (SELECT ls.*, lag(t) OVER o AS before, lead(t) OVER o AS after FROM ls WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-hosts AS (SELECT source, count(DISTINCT text) AS host_docs
-          FROM docs WHERE regexp_matches(text, '[^\\x20\\x09-\\x0D]') GROUP BY source),
-once AS (SELECT source, t, text, min(coalesce('a' || before, 'b') || chr(10) || coalesce('a' || after, 'b')) AS ctx
-         FROM around JOIN docs USING (doc_id, source) WHERE w <= 40 GROUP BY source, t, text),
-often AS (SELECT source, t FROM (SELECT source, t, count(*) AS n, count(DISTINCT ctx) AS c FROM once GROUP BY source, t)
-          JOIN hosts USING (source) WHERE n > 10 AND n > 0.005 * host_docs AND c >= 0.5 * n),
+texts AS (SELECT doc_id, coalesce('h' || source, '') AS host, md5(text) AS ck FROM docs),
+lh AS (SELECT doc_id, i, w, CAST('0x' || substr(md5(t), 1, 15) AS BIGINT) AS h FROM ls),
+seen AS (SELECT DISTINCT host, ck, h, before, after
+         FROM (SELECT *, lag(h) OVER o AS before, lead(h) OVER o AS after FROM lh WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+         JOIN texts USING (doc_id)),
+pairs AS (SELECT DISTINCT host, ck, h FROM seen),
+hosts AS (SELECT host, count(DISTINCT ck) AS host_docs FROM seen GROUP BY host),
+often AS (SELECT host, h, n_docs, host_docs FROM (SELECT host, h, count(*) AS n_docs FROM pairs GROUP BY host, h)
+          JOIN hosts USING (host) WHERE n_docs > 10 AND n_docs > 0.005 * host_docs),
+held AS (SELECT * FROM pairs SEMI JOIN often USING (host, h)),
+holders AS (SELECT host, ck, min(h) AS least FROM held GROUP BY host, ck),
+inside AS (SELECT host, ck, h, h IN (SELECT o.h FROM often o WHERE o.host = seen.host) AS frequent,
+             CASE WHEN before IN (SELECT o.h FROM often o WHERE o.host = seen.host)
+                  THEN 'after' || before || (after IS NULL) END AS p,
+             CASE WHEN after IN (SELECT o.h FROM often o WHERE o.host = seen.host)
+                  THEN 'before' || after || (before IS NULL) END AS q
+           FROM seen SEMI JOIN holders USING (host, ck)),
+taken AS (SELECT host, place FROM (SELECT host, frequent, unnest([p, q]) AS place FROM inside) WHERE place IS NOT NULL
+          GROUP BY host, place HAVING 2 * count(*) FILTER (WHERE frequent) > count(*)),
+free AS (SELECT inside.host, ck, h FROM inside LEFT JOIN taken a ON a.host = inside.host AND a.place = p
+           LEFT JOIN taken b ON b.host = inside.host AND b.place = q
+         WHERE NOT frequent AND (p IS NOT NULL AND a.place IS NULL OR q IS NOT NULL AND b.place IS NULL OR p IS NULL AND q IS NULL)),
+own AS (SELECT host, ck, 's' || string_agg(DISTINCT CAST(h AS VARCHAR), ',' ORDER BY CAST(h AS VARCHAR)) AS own FROM free GROUP BY host, ck),
+known AS (SELECT host, ck, coalesce(own, 'l' || least) AS own FROM holders LEFT JOIN own USING (host, ck)),
+copies AS (SELECT host, count(*) - count(DISTINCT own) AS copies FROM known GROUP BY host),
+apart AS (SELECT host, h, count(DISTINCT own) AS n_apart FROM held JOIN known USING (host, ck) GROUP BY host, h),
+above AS (SELECT host, h FROM often JOIN apart USING (host, h) JOIN copies USING (host)
+          WHERE n_apart > 10 AND n_apart > 0.005 * (host_docs - copies)),
 gone AS (SELECT doc_id, count(*) AS removed_lines, CAST(sum(w) AS BIGINT) AS removed_words
-         FROM ls JOIN often USING (source, t) GROUP BY doc_id)
+         FROM lh JOIN texts USING (doc_id) SEMI JOIN above USING (host, h) GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
