@@ -126,15 +126,15 @@ def _same(df: DataFrame, other: DataFrame, on: dict[str, str], how: str) -> Data
 MAP_BITS = 1 << 23
 
 
-def _bit_of(host: str, h: str) -> tuple[Column, Column]:
-    """Word and bit of a line."""
-    bit = F.pmod(F.xxhash64(host, h), F.lit(MAP_BITS)).cast("int")
+def _bit_of(host: str, key: str) -> tuple[Column, Column]:
+    """Word and bit of a line or document of a host."""
+    bit = F.pmod(F.xxhash64(host, key), F.lit(MAP_BITS)).cast("int")
     return F.floor(bit / 64).cast("int"), bit % 64
 
 
-def _thinned(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``lines`` without most of those whose (_host, h) is not in ``wanted``; none that is in it goes."""
-    word, bit = _bit_of("_host", "h")
+def _thinned(lines: DataFrame, wanted: DataFrame, key: str = "h") -> DataFrame:
+    """``lines`` without most of those whose (_host, key) is not in ``wanted``; none that is in it goes."""
+    word, bit = _bit_of("_host", key)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     words = wanted.select(word.alias("_word"), one.alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
     # at most MAP_BITS / 64 rows
@@ -156,7 +156,9 @@ def frequent_lines(lines: DataFrame, min_docs: int, max_share: float) -> DataFra
 
     held = stage(_same(per_doc, often, {"h": "h"}, "left_semi"), "op1-held")
     holders = held.groupBy("_host", "_ck").agg(F.min("h").cast("decimal(38,0)").alias("least"))
-    inside = _same(lines.select("_host", "_ck", "h", "before", "after").distinct(), holders, {"_ck": "_ck"}, "left_semi")
+    inside = _thinned(lines.select("_host", "_ck", "h", "before", "after"), holders.select("_host", "_ck"), "_ck")
+    # inner joins with unique keys, as Catalyst would move a semi join in front of the thinning
+    inside = _same(inside, holders.select("_host", "_ck"), {"_ck": "_ck"}, "inner").distinct()
     for line, flag in (("h", "often"), ("before", "often_before"), ("after", "often_after")):
         inside = _same(inside, often.select("_host", "h", F.lit(True).alias(flag)), {line: "h"}, "left")
     after = F.xxhash64(F.lit("after"), "before", F.col("after").isNull())
@@ -227,7 +229,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, *, min_do
     often = frequent_lines(lines, min_docs, max_share)
     often = stage(often, "op1-above")
     hit = _thinned(lines, often.select(F.col("f_host").alias("_host"), F.col("f_h").alias("h")))
-    hit = hit.join(often, F.col("_host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")), "left_semi")
+    hit = hit.join(often, F.col("_host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h"))).drop("f_host", "f_h")
     # a set, as a repeated row brings its lines again; bounded by the document's own lines
     gone = (hit.groupBy("_id", "_ck", "_host").agg(F.collect_set(F.struct("i", "h", "w")).alias("_gone"))
             .select(F.col("_id").alias("g_id"), F.col("_ck").alias("g_ck"), F.col("_host").alias("g_host"), "_gone"))
