@@ -98,25 +98,27 @@ def windows(ep_rows: DataFrame, lengths, keys=None, spec: PanelSpec = DEFAULT) -
     lengths = [lengths] if isinstance(lengths, int) else list(lengths)
     keys = [c for c in ep_rows.columns if c != "rows"] if keys is None else list(keys)
     n = F.size("rows")
-    per_l = ep_rows.select(*keys, "rows", F.explode(F.array(*[F.lit(int(x)) for x in lengths]))
-                           .alias("seq_length"))
-    per_l = per_l.filter(n >= F.col("seq_length"))
-    starts = per_l.select(*keys, "rows", "seq_length",
-                          F.explode(F.sequence(F.lit(0), n - F.col("seq_length"))).alias("window_start"))
-    return starts.select(*keys, "seq_length", "window_start",
-                         F.slice("rows", F.col("window_start") + 1, F.col("seq_length")).alias("win"))
+    # slices are exploded, not the episode with every start: a window row never carries the whole episode
+    per_l = F.array(*[F.when(n >= x, _slices("rows", n - x + 1, x)).otherwise(F.array()) for x in lengths])
+    return ep_rows.select(*keys, F.explode(F.flatten(per_l)).alias("w")).select(*keys, "w.seq_length", "w.window_start", "w.win")
 
 
-def windows_by_position(df: DataFrame, keys, coarse: str, order: list, L: int, fields: dict) -> DataFrame:
+def _slices(rows: str, count: Column, L: int) -> Column:
+    """The windows of ``L`` elements at the first ``count`` places of an array."""
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
+        F.lit(int(L)).alias("seq_length"), i.alias("window_start"), F.slice(rows, i + 1, L).alias("win")))
+
+
+def windows_by_position(df: DataFrame, keys, coarse: str, order: list, L: int, fields: dict,
+                        block: int | None = None) -> DataFrame:
     """GEN2 for groups of any size: windows of ``L`` consecutive rows per group.
 
     Skew-safe variant of ``episode_rows`` + ``windows`` for irregular groups (one
     group may hold a third of the data): a row's position is its count of earlier
-    rows (two-level running count, ``coarse`` bounds the per-group window);
-    each row is emitted to the at most L windows containing it and windows are
-    grouped on (group, window_start), so every group holds at most L rows.
-    A start is a window only when all L positions arrived, which also skips
-    groups with fewer than L rows.  ``fields`` maps names to columns kept per row.
+    rows (two-level running count, ``coarse`` bounds the per-group window). Rows are
+    gathered in blocks of ``block`` positions with the L - 1 rows behind them, so a row is
+    shuffled 1 + (L - 1) / block times and no task needs more than a block of a group; each block cuts the windows
+    that start in it. Groups with fewer than L rows have none. ``fields`` maps names to columns kept per row.
     """
     from .prefix import exclusive_running
 
@@ -127,11 +129,15 @@ def windows_by_position(df: DataFrame, keys, coarse: str, order: list, L: int, f
     pos = exclusive_running(base, keys, coarse, order, {"__p": "__one"}, counts=False)
     p = F.coalesce(F.col("__p_sum"), F.lit(0)).cast("int")
     row = F.struct(p.alias("p"), *[F.col(f"__f_{n}").alias(n) for n in fields])
-    emitted = pos.select(*keys, row.alias("__r"),
-                         F.explode(F.sequence(F.greatest(F.lit(0), p - F.lit(L - 1)), p)).alias("window_start"))
-    w = emitted.groupBy(*keys, "window_start").agg(F.array_sort(F.collect_list("__r")).alias("win"),
-                                                  F.count(F.lit(1)).alias("__c"))
-    return w.filter(F.col("__c") == L).drop("__c").withColumn("seq_length", F.lit(int(L)))
+    block = block or max(256, 16 * L)
+    own = F.floor(p / F.lit(block)).cast("int")
+    # rows at the head of a block end windows that start in the block before
+    blocks = F.when((p % block < L - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    emitted = pos.select(*keys, row.alias("__r"), F.explode(blocks).alias("__b"))
+    whole = emitted.groupBy(*keys, "__b").agg(F.array_sort(F.collect_list("__r")).alias("__rows"))
+    starts = F.least(F.lit(block), F.size("__rows") - L + 1)
+    cut = whole.filter(starts > 0).select(*keys, "__b", F.explode(_slices("__rows", starts, L)).alias("w"))
+    return cut.select(*keys, (F.col("__b") * block + F.col("w.window_start")).alias("window_start"), "w.win", "w.seq_length")
 
 
 def window_arrays(w: DataFrame) -> DataFrame:

@@ -120,6 +120,24 @@ def q_windows_from_stored_splits(spark, sf):
     return tensor_digest(io.read_windows(spark, out, L))
 
 
+@query("windows_from_buckets", TENSOR_SQL)
+def q_windows_from_buckets(spark, sf):
+    """SNK2 -> GEN2 on a bucketed panel: the day rows of an episode meet without an exchange."""
+    path = _scratch(spark, "buckets")
+    scaled, _ = split_and_scale(episodes(spark, sf))
+    name = f"panel_{path[-32:]}"
+    order = [S.entity, S.start, "day_in_cycle_raw"]
+    try:
+        back = io.write_bucketed(scaled, name, path, 8, order=order)
+        rows = sequences.episode_rows(sequences.require_features(back), order_col="day_in_cycle_raw", keys=[*S.episode_keys, "split"])
+        # written here, as the table's name goes
+        out = _scratch(spark, "bucket-tensors")
+        io.write_windows(sequences.window_arrays(sequences.windows(rows, L)), out)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return tensor_digest(io.read_windows(spark, out, L))
+
+
 @query("window_metadata", P(f"""
 SELECT split, CAST(l AS INT) AS seq_length, CAST(SUM(GREATEST(n - l + 1, 0)) AS BIGINT) AS n_windows,
  CAST({len(S.input_features)} AS INT) AS n_features, '{S.label},{S.countdown}' AS targets

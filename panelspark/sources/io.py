@@ -170,6 +170,29 @@ def write_splits(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     panel.write.mode(mode).partitionBy("split").parquet(path)
 
 
+def write_bucketed(panel: DataFrame, table: str, path: str, buckets: int, spec: PanelSpec = DEFAULT, keys=None,
+                   order=None) -> DataFrame:
+    """SNK1 / SNK2 as a bucketed table: rows of an episode in one bucket, buckets sorted, one file each. Grouping
+    by episode (GEN2, DQ6) then needs no exchange. Choose ``buckets`` for files of a few hundred MB; a large entity is
+    spread by its starts. The table name is known to the session's catalog; :func:`open_bucketed` makes the files known
+    to another."""
+    keys, order = list(keys or spec.episode_keys), list(order or [*spec.episode_keys, spec.day])
+    out = panel.repartition(buckets, *keys)
+    out.write.bucketBy(buckets, *keys).sortBy(*order).option("path", path).saveAsTable(table)
+    return panel.sparkSession.table(table)
+
+
+def open_bucketed(spark: SparkSession, table: str, path: str, buckets: int, spec: PanelSpec = DEFAULT, keys=None,
+                  order=None) -> DataFrame:
+    """A folder that :func:`write_bucketed` wrote, as a table of this session, with the same buckets."""
+    keys, order = list(keys or spec.episode_keys), list(order or [*spec.episode_keys, spec.day])
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    names = lambda cs: ", ".join(f"`{c}`" for c in cs)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({names(keys)}) SORTED BY ({names(order)}) "
+              f"INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def write_membership(membership: DataFrame, path: str, ratios, seed: int, mode: str = "overwrite",
                      spec: PanelSpec = DEFAULT) -> None:
     """SNK3: entity -> split, with the split parameters as columns."""
