@@ -9,10 +9,13 @@ bucket that holds them, so no column meets in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import round_half_even
+from ..session import materialize
 from ..spec import DEFAULT, PanelSpec
 
 
@@ -189,6 +192,63 @@ def pearson_matrix(df: DataFrame, columns, digits: int = 6) -> DataFrame:
                        F.split("pair", r"\|")[1].alias("column_b"), "r")
 
 
+def comoments(df: DataFrame, columns) -> DataFrame:
+    """Mergeable co-moments of every pair of columns over the rows where both are present, nulls and NaN left out: one row
+    per task and pair with n, both means, both sums of squared deviations and the sum of their products.
+
+    One pass whatever the number of columns: a task keeps k x k matrices and merges its batches pairwise, so large
+    means don't cost digits. The table has tasks x k (k + 1) / 2 rows."""
+    columns = list(columns)
+    k = len(columns)
+
+    def merged(one: tuple, two: tuple) -> tuple:
+        n = one[0] + two[0]
+        share = np.divide(two[0], n, out=np.zeros((k, k)), where=n > 0)
+        da, db = two[1] - one[1], two[2] - one[2]
+        weight = one[0] * share
+        return n, one[1] + da * share, one[2] + db * share, one[3] + two[3] + da * da * weight, \
+            one[4] + two[4] + db * db * weight, one[5] + two[5] + da * db * weight
+
+    def of_rows(x: np.ndarray) -> tuple:
+        there = ~np.isnan(x)
+        shift = np.nan_to_num(x[there.argmax(axis=0), np.arange(k)])  # a value of the column, so a constant one stays exact
+        m, z = there.astype(float), np.where(there, x - shift, 0.0)
+        n, sa, qa = m.T @ m, z.T @ m, (z * z).T @ m
+        safe = np.maximum(n, 1)
+        ma, mb = sa / safe, (sa / safe.T).T
+        return n, ma + shift[:, None], mb + shift[None, :], qa - sa * ma, qa.T - (sa * ma).T, z.T @ z - sa * mb
+
+    def run(batches):
+        total = (np.zeros((k, k)),) * 6
+        for batch in batches:
+            if batch.num_rows:
+                total = merged(total, of_rows(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])))
+        a, b = np.tril_indices(k)
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *(pa.array(t[a, b]) for t in total)],
+                                         names=["a", "b", "n", "ma", "mb", "qa", "qb", "c"])
+
+    return df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(
+        run, "a int, b int, n double, ma double, mb double, qa double, qb double, c double")
+
+
+def pearson_from_comoments(df: DataFrame, columns, digits: int = 6) -> DataFrame:
+    """AGG9 for many columns: the same rows as :func:`pearson_matrix`, by merging :func:`comoments`; the plan does not
+    grow with the number of pairs."""
+    columns = list(columns)
+    parts = materialize(comoments(df, columns))
+    mean = parts.groupBy("a", "b").agg(F.sum("n").alias("_n"), F.try_divide(F.sum(F.col("n") * F.col("ma")), F.sum("n")).alias("_ma"),
+                                       F.try_divide(F.sum(F.col("n") * F.col("mb")), F.sum("n")).alias("_mb"))
+    da, db = F.col("ma") - F.col("_ma"), F.col("mb") - F.col("_mb")
+    full = parts.join(mean, ["a", "b"]).groupBy("a", "b").agg(
+        *[F.max(c).alias(c) for c in ("_n", "_ma", "_mb")], F.sum(F.col("qa") + F.col("n") * da * da).alias("qa"), F.sum(F.col("qb") + F.col("n") * db * db).alias("qb"),
+        F.sum(F.col("c") + F.col("n") * da * db).alias("c"))
+    name = lambda i: F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(i) + 1)
+    # what the rounding of a mean leaves of a constant column is no variation
+    varies = lambda q, m: F.when(F.col(q) > F.col("_n") * F.pow(F.col(m) * 1e-13, F.lit(2)), F.col(q))
+    r = F.round(F.try_divide("c", F.sqrt(varies("qa", "_ma")) * F.sqrt(varies("qb", "_mb"))), digits)
+    return full.filter(F.col("a") > F.col("b")).select(name("a").alias("column_a"), name("b").alias("column_b"), r.alias("r"))
+
+
 def histogram(df: DataFrame, columns, bins: int = 20) -> DataFrame:
     """AGG10: equal-width bins between min and max, last bin closed, empty bins kept
     (a constant column gets the range min-0.5 .. max+0.5, like numpy)."""

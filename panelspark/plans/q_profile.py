@@ -154,6 +154,13 @@ def q_pearson_lineitem(spark, sf):
     return profile.pearson_matrix(table(spark, sf, "lineitem"), LINE_NUM)
 
 
+@query("pearson_comoments", _pearson_sql("lineitem", LINE_NUM + ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]))
+def q_pearson_comoments(spark, sf):
+    """AGG9 by merged co-moments: one pass, a plan of the same size for any number of columns."""
+    columns = LINE_NUM + ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return profile.pearson_from_comoments(table(spark, sf, "lineitem"), columns)
+
+
 def _hist_sql(src: str, cols, bins: int = 20, views=()) -> str:
     rng = "\nUNION ALL\n".join(
         f"SELECT '{c}' AS column_name, MIN(CAST({c} AS DOUBLE)) AS mn, MAX(CAST({c} AS DOUBLE)) AS mx FROM {src}"

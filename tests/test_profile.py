@@ -77,3 +77,33 @@ def test_describe_approx_flag_close_to_exact(spark):
     for k in ("p25", "p50", "p75"):
         assert abs(exact[k] - approx[k]) <= 1.0
     assert exact["count"] == approx["count"] == 2001
+
+
+def test_merged_comoments_equal_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 60)) @ rng.normal(size=(60, 60)) + 1e6 * np.arange(60)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7], x[:, 8], x[:, 9] = 0.1, np.nan, 1e9 + rng.normal(size=500)
+    cols = [f"c{i}" for i in range(60)]
+    df = spark.createDataFrame([tuple(None if i % 2 and np.isnan(v) else float(v) for i, v in enumerate(row)) for row in x],
+                               ", ".join(f"{c} double" for c in cols)).repartition(7)
+    got = {(r.column_a, r.column_b): r.r for r in profile.pearson_from_comoments(df, cols).collect()}
+    assert len(got) == 60 * 59 // 2
+    for i in range(60):
+        for j in range(i):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            r = got[cols[i], cols[j]]
+            if {i, j} & {7, 8}:
+                assert r is None
+            else:
+                assert abs(r - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 2e-6
+
+
+def test_comoments_of_few_rows_and_none(spark):
+    df = spark.createDataFrame([(1.0, 2), (2.0, 4), (None, 5), (4.0, None)], "a double, b int")
+    assert [tuple(r) for r in profile.pearson_from_comoments(df, ["a", "b"]).collect()] == [("b", "a", 1.0)]
+    none = profile.pearson_from_comoments(df.limit(0), ["a", "b"]).collect()
+    assert [r.r for r in none] in ([], [None])
+    want = {tuple(r) for r in profile.pearson_matrix(df, ["a", "b"]).collect()}
+    assert want == {("b", "a", 1.0)}
