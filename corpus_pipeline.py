@@ -50,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_rules", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("secret_scan", secrets),
           ("packing", packing)]
 
-#: Packing works on a tokenizer's ids, which SQL can't make; tests hold run() against a brute-force version.
+#: Packing works on a tokenizer's ids, which SQL can't make; tests hold the stages and run() against expected rows.
 ORACLE_SQL = None
 
 

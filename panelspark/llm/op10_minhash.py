@@ -129,6 +129,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
     return df.mapInArrow(run, f"_id {kind}, _ck bigint, n bigint, node bigint, twin bigint, keys array<bigint>")
 
 
+def told_apart(sketch: DataFrame) -> DataFrame:
+    """``sketch`` with nodes that name one set each. Of n sets some n^2 / 2^65 pairs share a 64-bit name (11 at 2 * 10^10);
+    their rows differ in the twin and get a new name from both, until no name is left twice. So sets are one only if
+    128 bits agree."""
+    salt = 0
+    while True:
+        clash = (sketch.filter("node is not null").groupBy(F.col("node").alias("c_node"))
+                 .agg(F.min("twin").alias("p"), F.max("twin").alias("q")).filter("p != q").select("c_node"))
+        if clash.isEmpty():
+            return sketch
+        salt += 1
+        other = F.when(F.col("c_node").isNotNull(), F.xxhash64(F.lit(salt), "node", "twin")).otherwise(F.col("node"))
+        sketch = stage(sketch.join(clash, F.col("node") == F.col("c_node"), "left").withColumn("node", other).drop("c_node"), "op10-sketch")
+
+
 def node_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int, seed: int) -> DataFrame:
     """node, sig (minima), shingles (the set), short (lower halves of its hashes, sorted), for ``chosen`` (node, r_id, r_ck: a row that has the node's set)."""
     df = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text")).withColumn("_ck", F.xxhash64("_text"))
@@ -220,7 +235,7 @@ def components(links: DataFrame, name: str = "op10-cc") -> DataFrame:
 def rest_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, bands: int, rows: int, seed: int,
                block: int) -> DataFrame:
     """Links (a, b) between components that share a key, found block against block. Sets are compared by the lower
-    halves of their hashes, so what is returned, with a slack of two shingles, is to be verified on the full sets."""
+    halves of their hashes, so what is returned, with a slack for chance matches, is to be verified on the full sets."""
     comps = comps.select(F.col("node").alias("c_node"), "comp")
     at = (members.select("key", "node").join(comps, F.col("node") == F.col("c_node"), "left")
           .select("key", "node", F.coalesce("comp", "node").alias("comp")))
@@ -274,9 +289,11 @@ def rest_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: i
                     x, y = y, x
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 all_of = len(x) + len(y) - both
-                if 100 * (both - 2) >= percent * (all_of + 2):  # a link for sure
+                chance = len(x) * len(y) / 2 ** 32  # matches of lower halves alone, on average
+                slack = 2 + int(4 * chance + 6 * chance ** 0.5)
+                if 100 * (both - slack) >= percent * (all_of + slack):  # a link for sure
                     merged[c] = d
-                if 100 * (both + 2) >= percent * (all_of - 2):
+                if 100 * (both + slack) >= percent * (all_of - slack):
                     yield int(nodes[p]), int(nodes[q])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +352,8 @@ def component_rows(docs: DataFrame, id_col: str, text_col: str, *, percent: int
     """_id, _ck (text hash), n (set size), comp (a number of the component, null for empty sets) per row of ``docs``."""
     how = (shingle, bands, rows, seed)
     sketch = stage(sketches(docs, id_col, text_col, *how), "op10-sketch")
+    sketch = told_apart(sketch)
     nodes = sketch.filter("node is not null")
-    if nodes.groupBy("node").agg(F.min("twin").alias("p"), F.max("twin").alias("q")).filter("p != q").limit(1).count():
-        raise RuntimeError("two different sets share a 64-bit hash: choose another seed")
     # outer: see line_dedup; nodes has no empty key lists
     banded = nodes.select("node", F.explode_outer("keys").alias("key"))
     shared = (banded.groupBy(F.col("key").alias("s_key")).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi"))

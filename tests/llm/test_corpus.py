@@ -323,6 +323,21 @@ def test_minhash_against_brute_force(spark, none):
     assert op10.near_duplicates(none).count() == 0
 
 
+def test_sets_that_share_a_name_stay_apart(spark, monkeypatch):
+    texts = [" ".join(f"t{g}w{j}" for j in range(40)) for g in range(9)]
+    rows = [(10 * g + c, t + (" end" if c == 2 else "")) for g, t in enumerate(texts) for c in range(3)]  # two copies and a near one
+    rows += [(200, "long " + " ".join(f"x{j}" for j in range(60_000))), (201, "long " + " ".join(f"x{j}" for j in range(60_000)) + " y"),
+             (202, None), (203, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, op10.near_duplicates(df).collect()), key=str)
+    real = op10.sketches
+    # all sets get one of three names
+    monkeypatch.setattr(op10, "sketches", lambda *a: real(*a).withColumn("node", F.pmod("node", F.lit(3))))
+    clashing = sorted(map(tuple, op10.near_duplicates(df).collect()), key=str)
+    assert clashing == plain
+    assert {r[0]: r[2] for r in plain} == {i: i // 10 * 10 if i < 200 else 200 if i < 202 else i for i, _ in rows}
+
+
 def test_star_components_on_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r.node: r.comp for r in op10.components(links).collect()}
@@ -421,8 +436,17 @@ def test_pipeline_stages(spark, docs, none, library):
     assert empty.count() == 0
 
 
+def test_pipeline_run(spark, docs, library, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # 2, 3 and the nameless copy are near copies of 1, a second 9 repeats the first, 10 loses the passage it shares with 9
+    texts = [(1, BASE), (9, f"own start here\n{PASSAGE}\nown end here"), (10, "another start\nanother end")]
+    check_pieces(got, texts, library)
+    assert {r.doc_id for r in got} == {1, 9, 10}
+
+
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE) <= set(QUERIES)
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
