@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _scratch() -> str:
+    """One new folder for all local sessions of this process; the setting itself can't be changed in a running session."""
+    return "file://" + tempfile.mkdtemp(prefix="panelspark-llm-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local session that names none gets a new scratch folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="panelspark-llm-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _scratch()
     return named.rstrip("/")
 
 

@@ -13,11 +13,14 @@ queries, keeps the best per query over all buckets it sees, and scores them exac
 vectors in double precision. The candidates of all tables are merged and ranked. A query that found fewer than
 ``k`` is compared with all points.
 
-*Fit.* Which rung of ``LADDER`` is used is decided on a sample of ``sample`` vectors (a documented bound): the
-first one with ``recall`` against brute force there. Neighbours are farther apart in a sample than in the whole
-table, so the choice is on the safe side. Every row is indexed.
-
-Scale: a bucket may hold any share of the rows; it is split into blocks of ``block`` points and ``block`` queries,
+*Fit.* Which rung of ``LADDER`` is used is decided on a sample of ``sample`` vectors (a documented bound): each rung's recall
+against brute force and its scored pairs are measured there, and of those with ``recall`` the one with the least work on
+the whole table is taken (:func:`work`: scored pairs, and vectors moved). A rung of one table scores no pair twice, so it
+never scores more than an exact scan would. The last rung's cells are wider than any projection: it visits
+every point, so some rung always has the recall. Neighbours are farther apart in a sample than in the whole table, so
+the choice is on the safe side. Every row is indexed.
+
+Scale: a bucket may hold any share of the rows; it is split into blocks of ``block`` points and of four times as many queries,
 each pair of blocks a group of its own. Nothing is capped.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or have another dimension than
@@ -49,9 +52,11 @@ class Params:
     probes: int
 
 
-#: From few candidates to many.
-LADDER = (Params(10, 1.0, 6, 20), Params(8, 1.5, 6, 40), Params(6, 2.0, 6, 40), Params(4, 1.5, 4, 30), Params(3, 1.5, 4, 40),
-          Params(2, 2.0, 4, 25))
+#: From few candidates to all of them; the last one's cells hold every projection of a vector of length 1.
+LADDER = (Params(10, 1.0, 6, 20), Params(8, 1.5, 6, 40), Params(6, 2.0, 6, 40), Params(4, 1.5, 4, 30), Params(4, 2.0, 1, 80),
+          Params(2, 2.0, 1, 9), Params(1, 2.0, 1, 3), Params(1, 64.0, 1, 3))
+#: Moving a vector to a bucket costs about as much as scoring so many pairs.
+MOVE = 200
 
 
 def shift_sets(hashes: int, count: int) -> list[tuple[int, ...]]:
@@ -163,21 +168,33 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def fit(vectors: DataFrame, dim: int, norm: float, k: int, recall: float, sample: int, ladder: Sequence[Params], seed: int) -> Params:
-    """The first rung with this recall on a sample of at most ``sample`` vectors, a sixteenth of them queries."""
+def work(params: Params, share: float, points: int, queries: int) -> float:
+    """Scored pairs of a search whose queries score ``share`` of the points (over 1: some of them again), and its moved vectors."""
+    return share * points * queries + MOVE * (params.tables * points + params.tables * params.probes * queries)
+
+
+def measured(params: Params, ids: np.ndarray, x: np.ndarray, n: int, want: tuple, norm: float, seed: int) -> tuple[float, float]:
+    """Recall of the first n rows as queries, and the share of the points a query scores."""
+    h = Hasher(params, x.shape[1], norm, seed)
+    points, probes, hits, scored = h.points(x), h.queries(x[:n]), 0, 0
+    for i in range(n):
+        met = np.isin(points, probes[i])
+        scored += int(met.sum())
+        hits += int(np.isin(want[1][want[0] == ids[i]], ids[met.any(axis=1)]).sum())
+    return (hits / len(want[0]) if len(want[0]) else 1.0), scored / (n * len(ids))
+
+
+def fit(vectors: DataFrame, norm: float, k: int, recall: float, sample: int, ladder: Sequence[Params], seed: int,
+        points: int, queries: int) -> int:
+    """The number of the rung of least work with this recall on a sample of at most ``sample`` vectors, a sixteenth of them queries;
+    the one of most recall if none has it."""
     rows = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id")).select("vec_id", "vec").limit(sample).toPandas()
     ids, x = rows["vec_id"].to_numpy(), np.stack(rows["vec"].to_numpy()).astype(np.float64)
     n = max(1, len(ids) // 16)
     want = scan(ids[:n], x[:n], ids, x, k)
-    for params in ladder[:-1]:
-        h = Hasher(params, dim, norm, seed)
-        points, probes, hits = h.points(x), h.queries(x[:n]), 0
-        for i in range(n):
-            seen = np.isin(points, probes[i]).any(axis=1)
-            hits += np.isin(want[1][want[0] == ids[i]], ids[seen]).sum()
-        if hits >= recall * len(want[0]):
-            return params
-    return ladder[-1]
+    seen = [(p, *measured(p, ids, x, n, want, norm, seed)) for p in ladder]
+    least = min(recall, max(r for _, r, _ in seen))
+    return min((work(p, share, points, queries), i) for i, (p, r, share) in enumerate(seen) if r >= least)[1]
 
 
 def search(dealt: DataFrame, k: int, id_type: str) -> DataFrame:
@@ -218,10 +235,11 @@ def search(dealt: DataFrame, k: int, id_type: str) -> DataFrame:
 
 
 def blocked(points: DataFrame, probes: DataFrame, block: int) -> DataFrame:
-    """Points and queries (key, vec_id, vec) of each key in pairs of blocks; keys without one of the two are left out."""
+    """Points and queries (key, vec_id, vec) of each key in pairs of blocks, of ``block`` points and four times as many queries;
+    keys without one of the two are left out."""
     count = lambda df, n: df.groupBy(F.col("key").alias(f"{n}_key")).agg(F.count("*").alias(n))
     sizes = count(points, "np").join(count(probes, "nq"), F.col("np_key") == F.col("nq_key")).select(
-        F.col("np_key").alias("s_key"), F.ceil(F.col("np") / block).alias("bp"), F.ceil(F.col("nq") / block).alias("bq"))
+        F.col("np_key").alias("s_key"), F.ceil(F.col("np") / block).alias("bp"), F.ceil(F.col("nq") / (4 * block)).alias("bq"))
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     cols = ["key", "p", "q", "side", "vec_id", "vec"]
@@ -238,13 +256,14 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
     all_rows = all_rows.filter(F.col("vec_id").isNotNull() & _valid(F.col("vec")))
     id_type = all_rows.schema["vec_id"].dataType.simpleString()
     square = F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x)
-    dims = (all_rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("norm"))
+    dims = (all_rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("norm"),
+                                                           F.count_if("is_query").alias("asked"))
             .orderBy(F.desc("n"), "d").first())
     if dims is None:
         return spark.createDataFrame([], f"query_id {id_type}, rank int, vec_id {id_type}, score double")
     dim, norm = dims["d"], dims["norm"]
     all_rows = all_rows.filter(F.size("vec") == dim)
-    params = fit(all_rows, dim, norm, k, recall, sample, ladder, seed)
+    params = ladder[fit(all_rows, norm, k, recall, sample, ladder, seed, dims["n"], dims["asked"])]
 
     def keyed(df: DataFrame, probes: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,13 +284,19 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
     points = stage(keyed(all_rows.select("vec_id", "vec"), False), "op2-points")
     probes = stage(keyed(asked, True), "op2-probes")
     found = stage(search(blocked(points, probes, block), k, id_type), "op2-found")
+    ranked = stage(_top(found, k), "op2-ranked")
     # a query with too few candidates meets all points: its block numbers stand for the bucket
-    enough = found.groupBy(F.col("query_id").alias("e_id")).agg(F.countDistinct("vec_id").alias("n")).filter(F.col("n") >= k)
-    short = asked.join(enough, F.col("vec_id") == F.col("e_id"), "left_anti")
-    n_blocks = all_rows.count() // block + 1
+    short = asked.join(ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("e_id")), F.col("vec_id") == F.col("e_id"), "left_anti")
+    if short.select("vec_id").isEmpty():
+        return ranked
+    n_blocks = dims["n"] // block + 1
     every = short.select("vec_id", "vec", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("key"))
     plain = all_rows.select("vec_id", "vec", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("key"))
     rest = search(blocked(plain, every, block), k, id_type)
-    merged = found.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return _top(ranked.drop("rank").unionByName(rest), k)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
