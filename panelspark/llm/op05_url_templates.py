@@ -16,8 +16,9 @@ segments, after digit runs and long hexadecimal runs became ``<n>`` and ``<x>``,
 A rule's verdict always wins for the pages it fits.
 
 Scale: a hot host is many (host, prefix, segment) groups, all aggregated before the shuffle; the
-verdicts are joined back by (host, segments), an equi-join whose hot keys adaptive execution splits. The depth
-of the tree is ``max_depth``; what lies deeper stands under its last level as ``**``.
+verdicts are joined back by (host, segments), an equi-join whose hot keys adaptive execution splits. The tree grows
+as deep as two paths of a host still share a template; below that every branch is a single path, which neither
+becomes a wildcard nor has siblings, so a lone path of any length costs no level.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule that needs either, and
 is judged as a template of the empty host; repeated rows count each; an empty table gives an empty result.
@@ -62,17 +63,26 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-def segments_of(path: Column, max_depth: int) -> Column:
+def segments_of(path: Column) -> Column:
     shaped = F.regexp_replace(F.regexp_replace(path, r"[0-9a-fA-F]{16,}", "<x>"), r"[0-9]+", "<n>")
-    parts = F.split(F.regexp_replace(shaped, "^/", ""), "/", -1)
-    return F.when(F.size(parts) <= max_depth, parts).otherwise(F.concat(F.slice(parts, 1, max_depth - 1), F.array(F.lit("**"))))
+    return F.split(F.regexp_replace(shaped, "^/", ""), "/", -1)
 
 
-def template_tree(shapes: DataFrame, max_depth: int, max_children: int, min_share: float) -> DataFrame:
+def _from(segments: str, d: int) -> Column:
+    """The segments from level ``d`` on, as an array that may be empty."""
+    return F.slice(F.col(segments), d + 1, F.greatest(F.size(segments) - d, F.lit(0)))
+
+
+def _branches(tree: DataFrame, prefix: str, segments: str, d: int) -> bool:
+    """Whether two different paths that go on at level ``d`` share their prefix."""
+    deeper = tree.filter(F.size(segments) > d).groupBy("host", prefix)
+    return not deeper.agg((F.min(segments) < F.max(segments)).alias("two")).filter("two").isEmpty()
+
+
+def template_tree(shapes: DataFrame, max_children: int, min_share: float) -> DataFrame:
     """``shapes`` (host, segs, n, n_label, n_block) with ``t`` (array, the segments with wildcards)."""
-    tree = shapes.withColumn("t", F.array().cast("array<string>"))
-    deepest = shapes.agg(F.max(F.size("segs"))).first()[0] or 0
-    for d in range(min(deepest, max_depth)):
+    tree, d = shapes.withColumn("t", F.array().cast("array<string>")), 0
+    while _branches(tree, "t", "segs", d):
         seg = F.get("segs", F.lit(d))
         here = tree.filter(seg.isNotNull())
         child = here.groupBy("host", "t", seg.alias("s")).agg(F.sum("n").alias("c"))
@@ -85,8 +95,8 @@ def template_tree(shapes: DataFrame, max_depth: int, max_children: int, min_shar
         tree = tree.join(rare, (F.col("host") == F.col("r_host")) & (F.col("t") == F.col("r_t")) & (seg == F.col("r_s")), "left")
         tree = tree.withColumn("t", F.when(seg.isNull(), F.col("t")).otherwise(
             F.concat("t", F.array(F.when(F.col("r_s").isNull(), seg).otherwise("*"))))).drop("r_host", "r_t", "r_s")
-        tree = stage(tree, f"op5-level{d}")  # a level reads the one before three times
-    return tree
+        tree, d = stage(tree, f"op5-level{d}"), d + 1  # a level reads the one before three times
+    return tree.withColumn("t", F.concat("t", _from("segs", d)))
 
 
 def merge_siblings(tree: DataFrame, z: float, min_pages: int) -> DataFrame:
@@ -94,9 +104,8 @@ def merge_siblings(tree: DataFrame, z: float, min_pages: int) -> DataFrame:
 
     From the root down, the siblings below one merged parent are compared two by two; there are at most
     ``1 / min_share + max_children`` literal ones. One joins the largest it is similar to, and what that one joins."""
-    deepest = tree.agg(F.max(F.size("t"))).first()[0] or 0
-    tree = tree.withColumn("ms", F.array().cast("array<string>"))
-    for d in range(deepest):
+    tree, d = stage(tree, "op5-templates").withColumn("ms", F.array().cast("array<string>")), 0
+    while _branches(tree, "ms", "t", d):
         s = F.get("t", F.lit(d))
         below = F.array_join(F.slice(F.col("t"), d + 2, F.greatest(F.size("t") - d, F.lit(1))), "/")
         # an array of its own tells a branch that ends here from one with an empty segment below
@@ -144,21 +153,22 @@ def merge_siblings(tree: DataFrame, z: float, min_pages: int) -> DataFrame:
         tree = tree.join(names, (F.col("host") == F.col("m_host")) & (F.col("ms") == F.col("m_ms")) & (s == F.col("m_s")), "left")
         tree = stage(tree.withColumn("ms", F.when(s.isNull(), F.col("ms")).otherwise(
             F.concat("ms", F.array(F.coalesce(F.col("m_name"), s))))).drop("m_host", "m_ms", "m_s", "m_name"), f"op5-merged{d}")
-    return tree.withColumn("m", F.array_join("ms", "/")).drop("ms")
+        d += 1
+    return tree.withColumn("m", F.array_join(F.concat("ms", _from("t", d)), "/")).drop("ms")
 
 
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[Rule] = RULES,
-                 max_depth: int = 6, max_children: int = 20, min_share: float = 0.02, z: float = 1.96,
+                 max_children: int = 20, min_share: float = 0.02, z: float = 1.96,
                  strength: float = 4.0, min_labels: int = 5, min_purity: float = 0.8) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, template, purity (of the template)."""
     url = F.col(f"`{url_col}`").cast("string")
     df = pages.select(F.col(f"`{id_col}`").alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     df = df.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("path", F.coalesce("path", F.lit("")))
-    df = df.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("segs", segments_of(F.col("path"), max_depth))
+    df = df.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("segs", segments_of(F.col("path")))
     label = F.col("_rule.verdict")
     shapes = stage(df.groupBy("host", "segs").agg(
         F.count("*").alias("n"), F.count(label).alias("n_label"), F.count_if(label == "block").alias("n_block")), "op5-shapes")
-    tree = stage(merge_siblings(template_tree(shapes, max_depth, max_children, min_share), z, min_labels), "op5-tree")
+    tree = stage(merge_siblings(template_tree(shapes, max_children, min_share), z, min_labels), "op5-tree")
     prior = tree.agg((F.sum("n_block") / F.greatest(F.sum("n_label"), F.lit(1))).alias("prior"))
     lacking = F.col("n") - F.col("l")
     purity = (tree.groupBy("host", "m").agg(F.sum("n").alias("n"), F.sum("n_label").alias("l"), F.sum("n_block").alias("b"))
