@@ -230,8 +230,11 @@ class Scanner:
                     if len(whole[rule.group]) >= rule.least:
                         found.append((at, k, end))
         if len(data) != len(text):  # bytes to code points
-            place = lambda i: len(data[:i].decode("utf-8", "surrogatepass"))
-            found = [(place(a), k, place(b)) for a, k, b in found]
+            place, done, points = {}, 0, 0
+            for i in sorted({i for a, _, b in found for i in (a, b)}):
+                points += len(data[done:i].decode("utf-8", "surrogatepass"))
+                place[i], done = points, i
+            found = [(place[a], k, place[b]) for a, k, b in found]
         return sorted(found)
 
 
