@@ -24,10 +24,11 @@ def phase_name(label, names) -> Column:
 
 
 def day_sequence(length) -> Column:
-    """0 .. length-1; a non-positive length fails the job (DQ1), never drops rows."""
+    """0 .. length-1 as integers, whatever integer type the length has; a length that isn't
+    positive, or doesn't fit an integer, fails the job (DQ1), never drops rows."""
     n = F.col(length) if isinstance(length, str) else length
-    return F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(
-        F.raise_error(F.concat(F.lit("episode length must be positive, got "),
+    return F.when((n >= 1) & (n <= 2**31 - 1), F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(
+        F.raise_error(F.concat(F.lit("episode length must be positive and fit an integer, got "),
                                F.coalesce(n.cast("string"), F.lit("null")))))
 
 

@@ -11,6 +11,11 @@ on a single core.  Here the work is split in two levels:
 3. ties on the same date are ranked by a window on (entity, date) and the two
    parts are added after an equi-join on (entity, date) that reuses the
    partitioning of step 1 (no second shuffle of the rows).
+
+Where one (entity, date) may itself be large, the date is followed by finer
+levels (an hour, a block of ids): totals are kept per finest level, each level
+gets its running sum inside the level above, and no window holds more rows
+than one finest level.
 """
 
 from __future__ import annotations
@@ -23,60 +28,55 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def exclusive_running(df: DataFrame, key, coarse: str, order: list, values: dict,
+def _plus(a, b):
+    """Sum of two parts; null only when both are (a sum over no non-null value is null, like pandas' expanding sum)."""
+    return F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def _offsets(totals: DataFrame, keys: list, levels: list, names: list) -> DataFrame:
+    """Per (key, levels): the sums ``names`` over all earlier levels of the key, from the totals per finest level."""
+    above, level = keys + levels[:-1], levels[-1]
+    w = Window.partitionBy(*above).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+    own = totals.select(*above, level, *[F.sum(n).over(w).alias(n) for n in names])
+    if len(levels) == 1:
+        return own
+    coarser = _offsets(totals.groupBy(*above).agg(*[F.sum(n).alias(n) for n in names]), keys, levels[:-1], names)
+    coarser = coarser.withColumnsRenamed({n: f"{n}_above" for n in names})
+    return own.join(coarser, above, "left").select(
+        *above, level, *[_plus(F.col(f"{n}_above"), F.col(n)).alias(n) for n in names])
+
+
+def exclusive_running(df: DataFrame, key, coarse: str | list, order: list, values: dict,
                       counts: bool = True) -> DataFrame:
     """Add, for every row, sums (and non-null counts) of ``values`` over the rows
     of the same ``key`` that come strictly before it in (``coarse``, *order*).
 
     ``coarse`` must be a column of ``df`` that is monotone in the first order
-    column (typically the date of a timestamp, or the date itself).
+    column (typically the date of a timestamp, or the date itself), or a list of
+    such columns from coarse to fine, none of them null. The largest window is one
+    finest level of one key.
     ``values`` maps an output prefix to a column name; outputs are
     ``<prefix>_sum`` and, with ``counts``, ``<prefix>_cnt`` (0 when no earlier row).
     Null keys never match the per-date totals (left join), so such rows keep
     only their same-date part; a DQ rule reports null keys as an error.
     """
-    keys = _keys(key)
-    part = keys + [coarse]
-    rows = df.repartition(*[F.col(c) for c in part])
-
-    tot_aggs = []
-    for name, c in values.items():
-        tot_aggs.append(F.sum(c).alias(f"__t_{name}_s"))
-        if counts:
-            tot_aggs.append(F.count(c).alias(f"__t_{name}_n"))
-    # partial aggregation runs before the shuffle: one small row per (key, date) per task
-    totals = df.groupBy(*part).agg(*tot_aggs)
-
-    w_dates = Window.partitionBy(*keys).orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)
-    before_cols = []
-    for name in values:
-        before_cols.append(F.sum(f"__t_{name}_s").over(w_dates).alias(f"__b_{name}_s"))
-        if counts:
-            before_cols.append(F.sum(f"__t_{name}_n").over(w_dates).alias(f"__b_{name}_n"))
-    before = totals.select(*part, *before_cols).repartition(*[F.col(c) for c in part])
+    keys, levels = _keys(key), _keys(coarse)
+    part = keys + levels
+    measures = {f"__{kind}_{name}": agg(c) for name, c in values.items()
+                for kind, agg in [("s", F.sum)] + [("n", F.count)] * counts}
+    # partial aggregation runs before the shuffle: one small row per (key, levels) per task
+    totals = df.groupBy(*part).agg(*[m.alias(f"{n}_before") for n, m in measures.items()])
+    before = _offsets(totals, keys, levels, [f"{n}_before" for n in measures]).repartition(*[F.col(c) for c in part])
 
     w_ties = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    tie_cols = {}
-    for name, c in values.items():
-        tie_cols[f"__w_{name}_s"] = F.sum(c).over(w_ties)
-        if counts:
-            tie_cols[f"__w_{name}_n"] = F.count(c).over(w_ties)
-    rows = rows.withColumns(tie_cols)
-
+    rows = df.repartition(*[F.col(c) for c in part]).withColumns({n: m.over(w_ties) for n, m in measures.items()})
     out = rows.join(before, part, "left")
     result = {}
-    helper = []
     for name in values:
-        # a sum over no non-null value is null, like pandas' expanding sum
-        s_b, s_w = F.col(f"__b_{name}_s"), F.col(f"__w_{name}_s")
-        result[f"{name}_sum"] = F.when(s_b.isNull() & s_w.isNull(), None).otherwise(
-            F.coalesce(s_b, F.lit(0)) + F.coalesce(s_w, F.lit(0)))
-        helper += [f"__b_{name}_s", f"__w_{name}_s"]
+        result[f"{name}_sum"] = _plus(F.col(f"__s_{name}_before"), F.col(f"__s_{name}"))
         if counts:
-            result[f"{name}_cnt"] = (F.coalesce(F.col(f"__b_{name}_n"), F.lit(0))
-                                     + F.coalesce(F.col(f"__w_{name}_n"), F.lit(0)))
-            helper += [f"__b_{name}_n", f"__w_{name}_n"]
-    return out.withColumns(result).drop(*helper)
+            result[f"{name}_cnt"] = F.coalesce(F.col(f"__n_{name}_before"), F.lit(0)) + F.coalesce(F.col(f"__n_{name}"), F.lit(0))
+    return out.withColumns(result).drop(*measures, *[f"{n}_before" for n in measures])
 
 
 def next_on_calendar(df: DataFrame, key, date_col: str, order: list, out: str) -> DataFrame:

@@ -89,28 +89,31 @@ def entity_overview(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     return head.join(median, F.lit(True), "left")  # one row each; no median without entities
 
 
-def describe(df: DataFrame, columns, digits: int = 2, approx: bool = False) -> DataFrame:
-    """AGG3: count, mean, sample std, min, 25/50/75 % (linear), max, rounded half-even. NaN counts as missing.
-
-    ``approx=True`` takes the quartiles from ``percentile_approx``: one pass, but each is a value near the wanted
-    rank (relative rank error 1e-5) and not interpolated."""
+def describe(df: DataFrame, columns, digits: int = 2) -> DataFrame:
+    """AGG3: count, mean, sample std, min, 25/50/75 % (linear), max, rounded half-even. NaN counts as missing."""
     columns = list(columns)
-    qs = (0.25, 0.5, 0.75)
     aggs = []
     for c in columns:
         x = _number(c)
-        fields = [F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                  F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
-        if approx:
-            fields += [F.percentile_approx(x, q, 100000).alias(f"q{i}") for i, q in enumerate(qs)]
-        aggs.append(F.struct(*fields).alias(c))
+        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                             F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).alias(c))
     rows = df.agg(*aggs).select(F.explode(F.array(*[F.col(c) for c in columns])).alias("s")).select("s.*")
-    if not approx:
-        rows = rows.join(quantiles(df, columns, qs), "column_name", "left")
+    rows = rows.join(quantiles(df, columns, (0.25, 0.5, 0.75)), "column_name", "left")
     names = {"mean": "mean", "std": "std", "min": "min", "q0": "p25", "q1": "p50", "q2": "p75", "max": "max"}
     return rows.select("column_name", "count", *[round_half_even(F.col(k), digits).alias(v) for k, v in names.items()])
 
 
+def describe_approx(df: DataFrame, columns, digits: int = 2) -> DataFrame:
+    """:func:`describe` in one pass: the quartiles are values near the wanted rank (relative rank error 1e-5), not interpolated."""
+    columns, names = list(columns), ("p25", "p50", "p75")
+    cells = _long(df, columns).groupBy("column_name").agg(
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
+        F.percentile_approx("x", [0.25, 0.5, 0.75], 100000).alias("q"), F.max("x").alias("max"))
+    near = {n: F.col("q")[i] for i, n in enumerate(names)}
+    values = {"mean": F.col("mean"), "std": F.col("std"), "min": F.col("min"), **near, "max": F.col("max")}
+    return cells.select("column_name", "count", *[round_half_even(v, digits).alias(n) for n, v in values.items()])
+
+
 def missing_values(df: DataFrame, columns=None, digits: int = 2) -> DataFrame:
     """AGG5: missing count and percent per column (NaN counts as missing)."""
     columns = list(columns or df.columns)
@@ -129,10 +132,25 @@ def missing_values(df: DataFrame, columns=None, digits: int = 2) -> DataFrame:
                        .alias("pct_missing"))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """AGG4: repeats beyond the first occurrence of a full row (nulls equal)."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__c"))
-    return g.agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).cast("long").alias("n_duplicate_rows"))
+#: Repeated fingerprints (24 bytes each) up to this number are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_FINGERPRINTS = 1_000_000
+
+
+def duplicate_rows(df: DataFrame, broadcast_up_to: int = BROADCAST_FINGERPRINTS) -> DataFrame:
+    """AGG4: repeats beyond the first occurrence of a full row (nulls equal).
+
+    First 128-bit fingerprints are counted, so 24 bytes a row are shuffled and whole rows stay where they are. Only
+    rows whose fingerprint repeats are then compared in full: equal fingerprints don't make rows equal (a null leaves
+    a hash as it is, and hashes may collide). Equal rows are counted before their shuffle, however many there are."""
+    df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # any names
+    # a null leaves a hash as it is, so the places of the nulls are hashed as well
+    places = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in df.columns])
+    prints = df.withColumns({"a": F.xxhash64(*df.columns, places), "b": F.xxhash64(F.lit(7), places, *df.columns)})
+    again = materialize(prints.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("a", "b"))
+    few = again.limit(broadcast_up_to + 1).count() <= broadcast_up_to
+    same = prints.join(F.broadcast(again) if few else again, ["a", "b"], "left_semi")
+    g = same.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n_duplicate_rows"))
 
 
 def value_counts(df: DataFrame, column: str, source: str | None = None) -> DataFrame:
@@ -152,16 +170,16 @@ def distinct_values(df: DataFrame, columns) -> DataFrame:
     return values.join(F.broadcast(n), "column_name")  # one row per column
 
 
-def entity_stats(df: DataFrame, spec: PanelSpec = DEFAULT, digits: int = 6) -> DataFrame:
-    """AGG8: per entity mean/std of length (std of one row -> 0), means of prefix,
-    stress and sleep, and episode count."""
+def entity_stats(df: DataFrame, spec: PanelSpec = DEFAULT, digits: int = 6, means: dict | None = None) -> DataFrame:
+    """AGG8: per entity mean/std of length (std of one row -> 0), mean of prefix, means of the
+    context columns ``means`` (output name -> column; the default panel's stress and sleep), and episode count."""
+    means = {"mean_stress": "stress_level", "mean_sleep": "sleep_hours"} if means is None else means
     r = lambda e: F.round(e, digits)
     return df.groupBy(spec.entity).agg(
         r(F.avg(spec.length)).alias("mean_cycle_length"),
         r(F.coalesce(F.stddev_samp(spec.length), F.lit(0.0))).alias("std_cycle_length"),
         r(F.avg(spec.prefix)).alias("mean_period_length"),
-        r(F.avg("stress_level")).alias("mean_stress"),
-        r(F.avg("sleep_hours")).alias("mean_sleep"),
+        *[r(F.avg(c)).alias(name) for name, c in means.items()],
         F.count(spec.length).alias("n_cycles"))
 
 

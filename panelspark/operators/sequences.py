@@ -109,13 +109,13 @@ def _slices(rows: str, count: Column, L: int) -> Column:
         F.lit(int(L)).alias("seq_length"), i.alias("window_start"), F.slice(rows, i + 1, L).alias("win")))
 
 
-def windows_by_position(df: DataFrame, keys, coarse: str, order: list, L: int, fields: dict,
+def windows_by_position(df: DataFrame, keys, coarse: str | list, order: list, L: int, fields: dict,
                         block: int | None = None) -> DataFrame:
     """GEN2 for groups of any size: windows of ``L`` consecutive rows per group.
 
     Skew-safe variant of ``episode_rows`` + ``windows`` for irregular groups (one
     group may hold a third of the data): a row's position is its count of earlier
-    rows (two-level running count, ``coarse`` bounds the per-group window). Rows are
+    rows (running count; ``coarse``, a level or several, bounds the per-group window). Rows are
     gathered in blocks of ``block`` positions with the L - 1 rows behind them, so a row is
     shuffled 1 + (L - 1) / block times and no task needs more than a block of a group; each block cuts the windows
     that start in it. Groups with fewer than L rows have none. ``fields`` maps names to columns kept per row.
@@ -123,7 +123,7 @@ def windows_by_position(df: DataFrame, keys, coarse: str, order: list, L: int, f
     from .prefix import exclusive_running
 
     keys = list(keys)
-    cols = list(dict.fromkeys([*keys, coarse, *order]))
+    cols = list(dict.fromkeys([*keys, *([coarse] if isinstance(coarse, str) else coarse), *order]))
     base = df.select(*cols, *[(F.col(c) if isinstance(c, str) else c).alias(f"__f_{n}")
                               for n, c in fields.items()]).withColumn("__one", F.lit(1))
     pos = exclusive_running(base, keys, coarse, order, {"__p": "__one"}, counts=False)

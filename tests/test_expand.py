@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import episode, frame, rows_by
 from panelspark.operators.expand import expand_days
@@ -45,6 +46,18 @@ def test_non_positive_length_fails_instead_of_dropping(spark):
         expand_days(add_history(frame(spark, [episode(1, "2024-01-01", 0, 0)]))).collect()
 
 
+def test_length_of_any_integer_type(spark):
+    ep = add_history(frame(spark, [episode(1, "2024-01-01", 28, 5)]))
+    narrow = expand_days(ep)
+    for kind in ("bigint", "smallint", "decimal(12,0)"):
+        wide = expand_days(ep.withColumn("cycle_length", F.col("cycle_length").cast(kind)))
+        assert dict(wide.dtypes)["day_in_cycle"] == "int"
+        assert [tuple(r) for r in wide.drop("cycle_length").orderBy("day_in_cycle").collect()] == \
+            [tuple(r) for r in narrow.drop("cycle_length").orderBy("day_in_cycle").collect()]
+    with pytest.raises(Exception, match="fit an integer"):
+        expand_days(ep.withColumn("cycle_length", F.lit(2**40))).collect()
+
+
 def test_daily_rows_equal_sum_of_lengths(spark):
     rows = [episode(u, "2024-01-01", 20 + u, 3) for u in range(1, 30)]
     d = daily_panel(frame(spark, rows))

@@ -59,6 +59,29 @@ def test_exclusive_running_matches_plain_window(spark):
     assert got.count() == df.count()  # null keys are kept, never dropped
 
 
+def test_running_sums_over_several_levels(spark):
+    """100,000 rows on one (entity, date): the largest window is one finest level, and the sums are those of one window."""
+    n = 100_000
+    hot = spark.range(n).select(F.lit(1).alias("k"), F.lit(3).alias("day"), ((F.col("id") * 7919) % n).alias("seq"))
+    rest = spark.range(500).select((F.col("id") % 3).cast("int").alias("k"), (F.col("id") % 6).cast("int").alias("day"),
+                                   (F.col("id") + n).alias("seq"))
+    df = hot.unionByName(rest).withColumn("v", F.when(F.col("seq") % 5 == 0, None).otherwise(F.col("seq") % 11))
+    df = df.withColumns({"hour": F.col("seq").bitwiseAND(~0xFFF), "minute": F.shiftright("seq", 9)})
+    largest = df.groupBy("k", "day", "hour", "minute").count().agg(F.max("count")).first()[0]
+    assert largest <= 512
+    got = exclusive_running(df, "k", ["day", "hour", "minute"], ["seq"], {"v": "v"})
+    w = Window.partitionBy("k").orderBy("day", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("k", "day", "seq", "v", F.sum("v").over(w).alias("v_sum"), F.coalesce(F.count("v").over(w), F.lit(0)).alias("v_cnt"))
+    cols = want.columns
+    assert got.count() == df.count()
+    assert got.select(cols).exceptAll(want).isEmpty() and want.exceptAll(got.select(cols)).isEmpty()
+    one = exclusive_running(df, "k", "day", ["seq"], {"v": "v"}, counts=False)
+    assert one.select("k", "day", "seq", "v_sum").exceptAll(want.drop("v", "v_cnt")).isEmpty()
+    # no window groups by less than (k) and the finest level, but those over the totals
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in plan and "minute" in plan
+
+
 def test_next_on_calendar_matches_lead(spark):
     rnd = random.Random(5)
     rows = [(rnd.choice([1, 1, 1, 2, 3]), rnd.randint(0, 30), i) for i in range(400)]

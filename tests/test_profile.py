@@ -64,16 +64,44 @@ def test_duplicate_rows_and_static_check(spark):
     assert r["max_unique_values_per_user"] == 2
 
 
+def test_duplicate_rows_are_compared_in_full(spark):
+    rows = [(1, None, "a", 0.0), (1, "a", None, 0.0), (None, "x", None, -0.0), (None, "x", None, 0.0), (2, "", "", float("nan")),
+            (2, "", "", float("nan")), (2, None, "", float("nan"))] + [(9, "hot", "hot", 1.5)] * 400 + [(i, "s", "t", 0.5) for i in range(100, 300)]
+    df = spark.createDataFrame(rows, "user_id long, s string, __c string, x double").repartition(5)
+    want = 1 + 1 + 399
+    whole = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1)).first()[0]
+    assert whole == want
+    assert profile.duplicate_rows(df).first()[0] == want
+    assert profile.duplicate_rows(df, broadcast_up_to=0).first()[0] == want  # joined by a shuffle
+    assert profile.duplicate_rows(df.limit(0)).first()[0] == 0
+
+
+def test_fingerprints_decide_nothing_alone(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 7, "x") for i in range(50)] + [(i, "y") for i in range(20)], "user_id long, s string")
+    want = profile.duplicate_rows(df).first()[0]
+    assert want == 43
+    monkeypatch.setattr(profile.F, "xxhash64", lambda *c: F.lit(1).cast("bigint"))  # all rows share one fingerprint
+    assert profile.duplicate_rows(df).first()[0] == want
+
+
+def test_entity_stats_of_another_panel(spark):
+    df = spark.createDataFrame([(1, 10, 2, 4.0), (1, 20, 4, 5.0), (2, 7, 1, None)],
+                               "user_id long, cycle_length int, period_length int, dose double")
+    got = {r.user_id: r.asDict() for r in profile.entity_stats(df, means={"mean_dose": "dose"}).collect()}
+    assert got[1]["mean_dose"] == 4.5 and got[2]["mean_dose"] is None and got[2]["std_cycle_length"] == 0.0
+    assert "mean_stress" not in got[1]
+
+
 def test_top_k_ties_by_id(spark):
     df = spark.createDataFrame([(3, 1.0), (1, 2.0), (2, 2.0)], "user_id long, s double")
     assert [r.user_id for r in profile.top_k(df, "s", 2, "user_id").collect()] == [1, 2]
     assert F is not None
 
 
-def test_describe_approx_flag_close_to_exact(spark):
+def test_describe_approx_close_to_exact(spark):
     df = spark.range(2001).select((F.col("id") * 0.5).alias("x"))
     exact = profile.describe(df, ["x"]).first()
-    approx = profile.describe(df, ["x"], approx=True).first()
+    approx = profile.describe_approx(df, ["x"]).first()
     for k in ("p25", "p50", "p75"):
         assert abs(exact[k] - approx[k]) <= 1.0
     assert exact["count"] == approx["count"] == 2001
