@@ -13,7 +13,8 @@ Arrays are compiled once per task (some milliseconds) and hold a few thousand st
 by one and whole: memory is bounded by the longest text. Rows are independent, there is no shuffle.
 
 Edge cases: null text is empty; an empty text has no spans; spans are in code points, also after
-characters of several bytes.
+characters of several bytes; repeated rows are scanned alike; an empty table gives an empty result. A rule that
+fits the empty text is an error.
 """
 
 from __future__ import annotations
@@ -27,13 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from re import _constants as C, _parser as P  # the standard library's own parser of regexes
-
 
 @dataclass(frozen=True)
 class Rule:
     kind: str
-    regex: str  # over ASCII; groups, classes, alternatives and repeats
+    regex: str  # over ASCII; what `parse` knows
     any_case: bool = False
     least: int = 1  # characters of the match, or of `group`
     group: int = 0
@@ -56,63 +55,146 @@ MORE_RULES = (
 )
 
 
+class _Reader:
+    """Recursive descent over a rule's regex; see ``parse``."""
+
+    REPEAT = re.compile(r"[?*+]|\{([0-9]+)(,?)([0-9]*)\}")
+
+    def __init__(self, regex: str, any_case: bool):
+        self.s, self.i, self.any_case = regex, 0, any_case
+
+    def wrong(self, what: str) -> ValueError:
+        return ValueError(f"{what} at {self.i} of the rule {self.s!r}")
+
+    def peek(self) -> str:
+        return self.s[self.i:self.i + 1]
+
+    def take(self) -> str:
+        c = self.peek()
+        if not c or not c.isascii():
+            raise self.wrong("end" if not c else "not ASCII")
+        self.i += 1
+        return c
+
+    def either(self) -> tuple:
+        ways = [self.row()]
+        while self.peek() == "|":
+            self.i += 1
+            ways.append(self.row())
+        return ("any", ways)
+
+    def row(self) -> tuple:
+        parts = []
+        while self.peek() not in ("", "|", ")"):
+            parts.append(self.repeated(self.one()))
+        return ("all", parts)
+
+    def one(self) -> tuple:
+        c = self.take()
+        if c == "(":
+            if self.s.startswith("?:", self.i):
+                self.i += 2
+            inner = self.either()
+            if self.take() != ")":
+                raise self.wrong("open group")
+            return inner
+        if c == "[":
+            return ("set", self.members())
+        if c in ".^$?*+{":
+            raise self.wrong(f"{c} not supported")
+        return ("set", self.cased({self.escaped() if c == "\\" else ord(c)}))
+
+    def escaped(self) -> int:
+        c = self.take()
+        if c == "x":
+            return int(self.take() + self.take(), 16)
+        if c.isalnum():
+            raise self.wrong(f"escape {c} not supported")
+        return ord(c)
+
+    def members(self) -> frozenset:
+        negated = self.peek() == "^"
+        self.i += negated
+        found, first = set(), True
+        while first or self.peek() != "]":
+            low = self.take()
+            low, first = self.escaped() if low == "\\" else ord(low), False
+            high = low
+            if self.peek() == "-" and self.s[self.i + 1:self.i + 2] not in ("", "]"):
+                self.i += 1
+                high = self.take()
+                high = self.escaped() if high == "\\" else ord(high)
+            found.update(range(low, high + 1))
+        self.i += 1
+        found = self.cased(found)
+        return frozenset(range(128)) - found if negated else found
+
+    def cased(self, found: set) -> frozenset:
+        if self.any_case:
+            found = found | {ord(c) for b in found if chr(b).isalpha() for c in (chr(b).lower(), chr(b).upper())}
+        return frozenset(found)
+
+    def repeated(self, part: tuple) -> tuple:
+        m = self.REPEAT.match(self.s, self.i)
+        if not m:
+            return part
+        self.i = m.end()
+        if self.REPEAT.match(self.s, self.i):
+            raise self.wrong("repeat of a repeat, lazy or possessive,")
+        if m[1]:
+            return ("repeat", part, int(m[1]), int(m[3]) if m[3] else None if m[2] else int(m[1]))
+        return ("repeat", part, int(m[0] == "+"), 1 if m[0] == "?" else None)
+
+
+def parse(regex: str, any_case: bool = False) -> tuple:
+    """Tree of a rule's regex: ``("set", bytes)``, ``("all", parts)``, ``("any", ways)``, ``("repeat", part, low, high)``
+    with ``high`` None without bound.
+
+    Known are ASCII characters, ``\\xHH``, escaped marks, classes, groups, ``|`` and greedy repeats. All else is an
+    error. A negated class is of ASCII characters only, so that no match begins or ends inside a character of several bytes."""
+    reader = _Reader(regex, any_case)
+    tree = reader.either()
+    if reader.peek():
+        raise reader.wrong("closed group")
+    return tree
+
+
 class _Nfa:
     """Thompson automaton: ``moves[s]`` is a list of (byte set, state), ``free[s]`` of states without input."""
 
-    def __init__(self, any_case: bool = False):
-        self.moves, self.free, self.any_case = [], [], any_case
+    def __init__(self):
+        self.moves, self.free = [], []
 
     def state(self) -> int:
         self.moves.append([])
         self.free.append([])
         return len(self.moves) - 1
 
-    def _bytes(self, op, arg) -> frozenset:
-        if op is C.LITERAL:
-            found = {arg}
-        elif op is C.RANGE:
-            found = set(range(arg[0], arg[1] + 1))
-        elif op is C.IN:
-            if arg and arg[0][0] is C.NEGATE:
-                return frozenset(range(256)) - self._bytes(C.IN, arg[1:])
-            found = set().union(*(self._bytes(*x) for x in arg))
+    def add(self, tree: tuple, start: int, backwards: bool) -> int:
+        """Append the parsed tree after ``start``; the end state."""
+        kind, inner, at = tree[0], tree[1], start
+        if kind == "set":
+            at = self.state()
+            self.moves[start].append((inner, at))
+        elif kind == "all":
+            for part in reversed(inner) if backwards else inner:
+                at = self.add(part, at, backwards)
+        elif kind == "any":
+            at = self.state()
+            for way in inner:
+                self.free[self.add(way, start, backwards)].append(at)
         else:
-            raise ValueError(f"not supported in a rule: {op}")
-        if self.any_case:
-            found |= {ord(f(chr(b))) for b in found if chr(b).isascii() and chr(b).isalpha() for f in (str.lower, str.upper)}
-        return frozenset(found)
-
-    def add(self, items, start: int, backwards: bool) -> int:
-        """Append the parsed items after ``start``; the end state."""
-        at = start
-        for op, arg in reversed(items) if backwards else items:
-            if op is C.SUBPATTERN:
-                at = self.add(list(arg[-1]), at, backwards)
-            elif op is C.BRANCH:
-                end = self.state()
-                for x in arg[1]:
-                    self.free[self.add(list(x), at, backwards)].append(end)
-                at = end
-            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
-                low, high, inner = arg
-                for _ in range(low):
-                    at = self.add(list(inner), at, backwards)
-                if high is C.MAXREPEAT:
-                    loop = self.state()
-                    self.free[at].append(loop)
-                    self.free[self.add(list(inner), loop, backwards)].append(loop)
-                    at = loop
-                else:
-                    end = self.state()
-                    self.free[at].append(end)
-                    for _ in range(high - low):
-                        at = self.add(list(inner), at, backwards)
-                        self.free[at].append(end)
-                    at = end
-            else:
-                to = self.state()
-                self.moves[at].append((self._bytes(op, arg), to))
-                at = to
+            low, high = tree[2:]
+            for _ in range(low):
+                at = self.add(inner, at, backwards)
+            end = self.state()
+            self.free[at].append(end)
+            if high is None:
+                self.free[self.add(inner, end, backwards)].append(end)
+            for _ in range((high or low) - low):
+                at = self.add(inner, at, backwards)
+                self.free[at].append(end)
+            at = end
         return at
 
     def closure(self, states) -> frozenset:
@@ -160,8 +242,7 @@ def compile_rules(rules: Sequence[Rule], backwards: bool = False, anywhere: bool
     nfa = _Nfa()
     start, ends = nfa.state(), {}
     for k, rule in enumerate(rules):
-        nfa.any_case = rule.any_case
-        ends[nfa.add(list(P.parse(rule.regex)), start, backwards)] = 1 << k
+        ends[nfa.add(parse(rule.regex, rule.any_case), start, backwards)] = 1 << k
     sets = {s for m in nfa.moves for s, _ in m}
     by = defaultdict(list)
     for b in range(256):
@@ -183,6 +264,8 @@ def compile_rules(rules: Sequence[Rule], backwards: bool = False, anywhere: bool
             row.append(states[to])
         table.append(row)
     accepts = [sum(ends.get(s, 0) for s in x) for x in states]
+    if accepts[0]:
+        raise ValueError("a rule fits the empty text")
     table, accepts = _minimise(table, accepts)
     width, flat = len(picks), [t * len(picks) for row in table for t in row]
     dead = next((i for i, row in enumerate(table) if not accepts[i] and all(t == i for t in row)), -1)
