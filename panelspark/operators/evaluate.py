@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import first_argmax
-from ..spec import LOG_CLIP, LOSS_WEIGHTS, PHASE_NAMES
+from ..spec import DEFAULT, LOG_CLIP, LOSS_WEIGHTS, PHASE_NAMES
 
-LABELS = (0, 1, 2, 3)
+LABELS = DEFAULT.labels
 
 
 def argmax_label(probs) -> F.Column:
@@ -141,17 +141,17 @@ def errors_from_cube(cube: DataFrame, groups=(), weights=LOSS_WEIGHTS) -> DataFr
 
 def metrics_report(pred: DataFrame, groups=("split",), weight: str | None = None,
                    y="y_phase", yhat="pred_label", probs="probs", y_reg="y_reg",
-                   pred_reg="pred_reg", digits: int = 9) -> DataFrame:
+                   pred_reg="pred_reg", digits: int = 9, names=PHASE_NAMES) -> DataFrame:
     """EVL8: long (groups, metric, class_name, value) report with every number above,
-    from a single pass over the predictions (the cube)."""
+    from a single pass over the predictions (the cube). ``names`` are the classes in label order."""
     groups = list(groups)
     cube = prediction_cube(pred, y, yhat, groups, weight, y_reg, pred_reg, probs)
     errors = ["sae", "sse", "sce"]
     zeros = [F.struct(F.lit(a).alias("true_label"), F.lit(a).alias("pred_label"),
-                      *[F.lit(0.0).alias(c) for c in ("n", *errors)]) for a in LABELS]  # every class gets its row
+                      *[F.lit(0.0).alias(c) for c in ("n", *errors)]) for a in range(len(names))]  # every class gets its row
     cells = cube.select(*groups, F.explode(F.array(F.struct("true_label", "pred_label", "n", *errors), *zeros))
                         .alias("c")).select(*groups, "c.*")
-    rep = class_report(cells, groups, carry=errors)
+    rep = class_report(cells, groups, names, carry=errors)
     present = (F.col("support") + F.col("predicted")) > 0
     total = F.sum("support")
     mae, ce = F.try_divide(F.sum("sae"), total), F.try_divide(F.sum("sce"), total)
@@ -162,7 +162,7 @@ def metrics_report(pred: DataFrame, groups=("split",), weight: str | None = None
             "composite_loss": F.lit(LOSS_WEIGHTS[0]) * ce + F.lit(LOSS_WEIGHTS[1]) * mae}
     per_class = ("precision", "recall", "f1", "support")
     wide = rep.groupBy(*groups).agg(*[v.alias(k) for k, v in head.items()],
-                                    F.collect_list(F.struct("class_name", *per_class)).alias("classes"))  # 4 classes
+                                    F.collect_list(F.struct("class_name", *per_class)).alias("classes"))  # one entry a class
 
     def line(metric, class_name, value):
         return F.struct(F.lit(metric).alias("metric"), value.alias("value"), class_name.alias("class_name"))

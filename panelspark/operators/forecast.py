@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from ..spec import DEFAULT, PanelSpec
 from .expand import phase_label
 
-N_CLASSES = 4
-
 
 def history_forecast(daily: DataFrame, spec: PanelSpec = DEFAULT, confidence: float = 0.85) -> DataFrame:
     """FCT1: countdown = max(history mean length - day, 0); phase from the phase rule
@@ -28,8 +26,8 @@ def history_forecast(daily: DataFrame, spec: PanelSpec = DEFAULT, confidence: fl
     cyc = F.rint(F.col(spec.hist_length)).cast("int")
     pre = F.rint(F.col(spec.hist_prefix)).cast("int")
     lab = phase_label(day, cyc, pre, spec.ovulation_offset)
-    other = (1.0 - confidence) / (N_CLASSES - 1)
-    probs = F.transform(F.array(*[F.lit(k) for k in range(N_CLASSES)]),
+    other = (1.0 - confidence) / (len(spec.labels) - 1)
+    probs = F.transform(F.array(*[F.lit(k) for k in spec.labels]),
                         lambda k: F.when(k == lab, F.lit(confidence)).otherwise(F.lit(other)))
     return daily.withColumns({
         "pred_label": lab,

@@ -146,7 +146,7 @@ def daily_report(daily: DataFrame, episodes: DataFrame | int, spec: PanelSpec =
     keys = spec.episode_keys
     row_bad = {
         "countdown_negative": not_true_col(F.col(spec.countdown) >= 0),
-        "label_domain": not_true_col(F.col(spec.label).isin(0, 1, 2, 3)),
+        "label_domain": not_true_col(F.col(spec.label).isin(*spec.labels)),
         "label_name_domain": not_true_col(in_vocab(spec.label_name, spec.phase_names)),
         "history_null": (F.col(spec.hist_length).isNull() | F.col(spec.hist_prefix).isNull()).cast("long"),
         "date_off": not_true_col(F.col(spec.sample_date) == F.date_add(F.col(spec.start), F.col(spec.day))),
@@ -204,19 +204,19 @@ def history_flag_checks(spec: PanelSpec = DEFAULT) -> Checks:
     ]
 
 
-def window_report(w: DataFrame, seq_length: int, n_features: int) -> DataFrame:
+def window_report(w: DataFrame, seq_length: int, n_features: int, spec: PanelSpec = DEFAULT) -> DataFrame:
     """DQ16: window arrays (``X``, ``y_phase``, ``y_reg``): inner length L, feature
-    width F, labels in 0..3, only finite values, and at least one window."""
-    return _report(w, window_checks(seq_length, n_features))
+    width F, labels of the spec's phases, only finite values, and at least one window."""
+    return _report(w, window_checks(seq_length, n_features, spec=spec))
 
 
-def window_checks(seq_length: int, n_features: int, among: Column | None = None) -> Checks:
+def window_checks(seq_length: int, n_features: int, among: Column | None = None, spec: PanelSpec = DEFAULT) -> Checks:
     """The rules of :func:`window_report`, for the rows of ``among`` if given."""
     among = F.lit(True) if among is None else among
     L = F.lit(int(seq_length))
     bad_len = (F.size("X") != L) | (F.size("y_phase") != L) | (F.size("y_reg") != L)
     bad_width = F.exists("X", lambda r: F.size(r) != F.lit(int(n_features)))
-    bad_label = F.exists("y_phase", lambda y: ~F.coalesce(y.isin(0, 1, 2, 3), F.lit(False)))
+    bad_label = F.exists("y_phase", lambda y: ~F.coalesce(y.isin(*spec.labels), F.lit(False)))
 
     def non_finite(v):
         return v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))

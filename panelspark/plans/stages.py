@@ -114,7 +114,7 @@ def build_windows(panel: DataFrame, path: str, lengths, spec: PanelSpec = DEFAUL
         episodes = quality.Watched(rows, [], **due)
         w = sequences.window_arrays(sequences.windows(episodes.rows, lengths))
         checks = [(f"{name}_{n}", severity, e) for n in lengths
-                  for name, severity, e in quality.window_checks(n, len(spec.input_features), F.col("seq_length") == n)]
+                  for name, severity, e in quality.window_checks(n, len(spec.input_features), F.col("seq_length") == n, spec)]
         here = {(n, s): (F.col("seq_length") == n) & (F.col("split") == s) for n, s in cells}
         seen = quality.Watched(w, [*checks, ("unknown_split", "error", F.count_if(~F.coalesce(F.col("split").isin(*split.SPLITS), F.lit(False))))],
                                **{f"n_{n}_{s}": F.count_if(c) for (n, s), c in here.items()},

@@ -1,9 +1,11 @@
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import evaluate
+from panelspark.operators import evaluate, forecast, quality
+from panelspark.spec import DEFAULT
 
 H13 = [[1387, 766, 0, 0], [239, 30542, 0, 2772], [0, 1111, 0, 562], [0, 4678, 0, 7146]]
 
@@ -28,6 +30,23 @@ def test_h14_argmax_first_on_ties(spark):
     assert [r[0] for r in df.select(evaluate.argmax_label("p")).collect()] == [0, 2]
 
 
+def test_any_number_of_classes(spark):
+    spec = replace(DEFAULT, phase_names=("off", "idle", "run", "fault", "repair", "test"))
+    p = [1 / 6] * 6
+    rows = [("a", 5, 5, p, 1.0, 2.0), ("a", 4, 5, p, 2.0, 2.0), ("a", 0, 0, p, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "split string, y_phase int, pred_label int, probs array<double>, y_reg double, pred_reg double")
+    got = {(r.metric, r.class_name): r.value for r in evaluate.metrics_report(df, names=spec.phase_names).collect()}
+    assert {c for _, c in got if c} == set(spec.phase_names)
+    assert got["accuracy", None] == pytest.approx(2 / 3, abs=1e-8) and got["cross_entropy", None] == pytest.approx(math.log(6), abs=1e-8)
+    assert got["precision", "test"] == 0.5 and got["recall", "repair"] == 0 and got["support", "idle"] == 0
+    w = spark.createDataFrame([([[0.0]], [5], [1.0]), ([[0.0]], [6], [1.0])], "X array<array<double>>, y_phase array<int>, y_reg array<double>")
+    for own, bad in ((spec, 1), (DEFAULT, 2)):
+        assert {r.check: r.violations for r in quality.window_report(w, 1, 1, own).collect()}["label_domain"] == bad
+    daily = spark.createDataFrame([(2, 10.0, 4.0)], "day_in_cycle int, hist_mean_cycle double, hist_mean_period double")
+    probs = forecast.history_forecast(daily, spec).first().probs
+    assert len(probs) == 6 and sum(probs) == pytest.approx(1)
+
+
 def test_confusion_keeps_empty_cells_and_absent_classes(spark):
     rows = [(0, 0), (0, 1), (1, 1), (1, 1)]
     df = spark.createDataFrame(rows, "y int, yhat int")
