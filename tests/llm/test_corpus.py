@@ -1,6 +1,7 @@
 """Corpus operators on hand-made rows, against brute force: nulls, empty and repeated rows, ties, clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -414,6 +415,71 @@ def test_toxicity_gradients_and_held_out_rows(spark):
     assert none is None and {r.score for r in op9.toxicity(df, none).collect()} == {0.5}
 
 
+def plain_toxicity(model, text):
+    """Score of a text, one window, direction, step and unit at a time."""
+    net, n = model.network, model.network.h
+    words = [w.strip(op9.EDGE) or "_" for w in text.lower().split()]
+
+    def vector(w):
+        raw = b"\x01" + w.encode("utf-8", "replace") + b"\x02"
+        hashed = []
+        for k in op9.GRAMS:
+            for i in range(len(raw) - k + 1):
+                h = k
+                for byte in raw[i:i + k]:
+                    h = (h ^ byte) * 16777619 % 2**32
+                    h ^= h >> 13
+                hashed.append((h * 2654435769 % 2**32) >> 16)
+        odds = [float(model.odds[1][h]) for h in hashed]
+        char = sum((net.p["char"][h].astype(float) for h in hashed), np.zeros(net.p["char"].shape[1])) / max(len(hashed), 1)
+        own = [model.odds[0].get(w, 0.0), max([0.0] + [max(odds[a:b]) for a, b in spans(len(raw)) if b > a]), sum(odds) / max(len(hashed), 1)]
+        return [*own, *net.p["word"][net.vocabulary.get(w, len(net.vocabulary))].astype(float), *char]
+
+    def spans(size):  # n-grams of one length stand together
+        at = 0
+        for k in op9.GRAMS:
+            yield at, at + max(size - k + 1, 0)
+            at += max(size - k + 1, 0)
+
+    def one(x):
+        return 1 / (1 + math.exp(-x))
+
+    def states(xs, d):
+        w, u, b = (net.p[f"{m}{d}"].astype(float) for m in "WUb")
+        h, out = [0.0] * n, []
+        for x in xs:
+            a = [sum(x[i] * w[i, j] for i in range(len(x))) + b[j] for j in range(3 * n)]
+            c = [sum(h[i] * u[i, j] for i in range(n)) for j in range(3 * n)]
+            z, r = ([one(a[k * n + j] + c[k * n + j]) for j in range(n)] for k in (0, 1))
+            h = [z[j] * h[j] + (1 - z[j]) * math.tanh(a[2 * n + j] + r[j] * c[2 * n + j]) for j in range(n)]
+            out.append(h)
+        return out
+
+    best = -math.inf
+    for begin in range(0, max(len(words) - op9.WINDOW, 0) + op9.STRIDE, op9.STRIDE):
+        xs = [vector(w) for w in words[begin:begin + op9.WINDOW]]
+        both = [f + b for f, b in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+        weigh = [math.exp(sum(v * math.tanh(t) for v, t in zip(net.p["v"], np.array(s) @ net.p["A"] + net.p["a"], strict=True))) for s in both]
+        pooled = sum((e / sum(weigh) * np.array(s) for e, s in zip(weigh, both, strict=True)), np.zeros(2 * n))
+        best = max(best, float(pooled @ net.p["u"] + net.p["c"][0]))
+        if begin + op9.WINDOW >= len(words):
+            break
+    return one(model.slope * (best - model.shift) + math.log(0.7 / 0.3))
+
+
+def test_toxicity_scores_equal_a_plain_network():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{rng.integers(0, 30)}" for _ in range(rng.integers(1, 90))) for _ in range(60)]
+    labels = np.arange(60) % 3 == 0
+    texts = [f"{t} vile{i % 5}" if labels[i] else t for i, t in enumerate(texts)]
+    model = op9.train(texts, labels.astype(np.int64), 1 / 3, epochs=2, steps=4)
+    probe = [*texts[:6], "one", "Vile0! \u00e9\u4e2d x", "w1 " * 64, "w2 " * 65, "w3 " * 95 + "vile1", "w4 " * 97]
+    got = model.scores(probe)
+    for t, s in zip(probe, got.tolist(), strict=True):
+        assert abs(s - plain_toxicity(model, t)) < 1e-4, t
+    assert len(set(np.round(got, 6))) > 5
+
+
 def test_pipeline_stages(spark, docs, none, library):
     now = docs
     kept = []
