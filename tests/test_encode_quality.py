@@ -99,3 +99,19 @@ def test_nonchronological_bucketed_equals_plain_lag(spark):
     ref = df.withColumn("d", (F.lag("cycle_start_date").over(w) > F.col("cycle_start_date")).cast("long")) \
         .groupBy("user_id").agg(F.sum("d").alias("n")).filter("n > 0")
     assert got == {r.user_id: r.n for r in ref.collect()}
+
+
+def test_daily_report_over_days_of_several_words(spark):
+    """Long episodes, a day twice and another missing, days below 0, a null day; grouped by 64 days, not by day."""
+    from pyspark.sql import functions as F
+    rows = [episode(u, "2024-01-01", n, 5) for u, n in ((1, 130), (2, 130), (3, 70), (4, 64), (5, 65), (6, 3))]
+    df = frame(spark, rows)
+    daily, day, u = expand_days(add_history(df)), F.col("day_in_cycle"), F.col("user_id")
+    daily = daily.withColumn("day_in_cycle", F.when((u == 2) & (day == 100), 99).when((u == 3) & (day == 0), -1)
+                             .when((u == 6) & (day == 1), F.lit(None).cast("int")).otherwise(day))
+    report = quality.daily_report(daily, df)
+    got = {r["check"]: r["violations"] for r in report.collect()}
+    assert got["episode_day_set"] == 2 and got["sample_date_increasing"] == 3 and got["daily_rows_equal_length_sum"] == 0
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "HashAggregate(keys=[" in line
+                and any(k.strip().startswith("day_in_cycle#") for k in line.split("keys=[")[1].split("]")[0].split(","))]
