@@ -17,7 +17,7 @@ from ..session import materialize
 from ..sources import io
 from ..sources.store import Draft, StageStore, publishing
 from ..spec import DEFAULT, SPLIT_RATIOS, SPLIT_SEED, PanelSpec
-from .pipelines import prepared_episodes
+from .pipelines import day_partitions, prepared_episodes
 
 
 def _audit(draft: Draft, rows: list[tuple[str, str, int]]) -> None:
@@ -41,9 +41,11 @@ def _daily_tables(draft: Draft, raw: DataFrame, spec: PanelSpec) -> None:
     ep.rows.write.parquet(draft.path("episodes"))
     _audit(draft, ep.results())
     stored = spark.read.parquet(draft.path("episodes"))
-    io.write_daily(expand_days(stored.repartitionByRange(spec.entity, spec.start), spec), draft.path("daily"), spec)
+    days = ep.measured("days") or 0
+    ranged = stored.repartitionByRange(day_partitions(days, spark), spec.entity, spec.start)
+    io.write_daily(expand_days(ranged, spec), draft.path("daily"), spec)
     daily = io.read_daily(spark, draft.path("daily"))
-    _audit(draft, quality.results_of(quality.daily_report(daily, ep.measured("days") or 0, spec)))
+    _audit(draft, quality.results_of(quality.daily_report(daily, days, spec)))
 
 
 def build_daily_from_csv(spark: SparkSession, csv: str, path: str, spec: PanelSpec = DEFAULT, max_rejected: float = 0.05) -> DataFrame:

@@ -57,3 +57,16 @@ def test_grouping_a_bucketed_panel_needs_no_exchange(spark, tmpdir_path):
     finally:
         for t in (a, b):
             spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_partitions_follow_the_days_not_the_bytes_of_episodes(spark, monkeypatch):
+    from panelspark.plans import pipelines
+    eps = frame(spark, [episode(u, f"2024-0{m}-01", 22 + (u * m) % 9, 3) for u in range(1, 40) for m in (1, 3)])
+    days = pipelines.days_of(eps)
+    assert days == eps.agg(F.sum("cycle_length")).first()[0]
+    monkeypatch.setattr(pipelines, "DAYS_PER_TASK", 64)
+    want = -(-days // 64)
+    for panel in (pipelines.daily_for_sink(eps), pipelines.split_daily(eps), pipelines.split_and_scale(eps)[0], pipelines.window_source(eps)):
+        parts = panel.groupBy(F.spark_partition_id()).count().count()
+        assert want / 2 < parts <= want  # some may be empty
+    assert pipelines.day_partitions(None, spark) == spark.sparkContext.defaultParallelism
