@@ -1,29 +1,70 @@
 """SRT1 as data: is a Parquet folder in key order, file by file and over its files?
 
-The position of a row comes from the reader (``_metadata.file_path`` and ``_metadata.row_index``). Rows are compared with
-their predecessor inside blocks of a file, only the first and last key of each block meet per file, and only the
-smallest and largest key of each file meet over the folder, so no task holds more than a block of rows, the blocks
-of a file or the files of the folder.
+The position of a row comes from the reader (``_metadata.file_path`` and ``_metadata.row_index``). A task compares rows with
+their predecessor as it reads them and gives one row per stretch of consecutive rows of a file; only the first and last
+key of each stretch meet per file, and only the smallest and largest key of each file meet over the folder. Rows are
+neither shuffled nor sorted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _ranks(column: pa.Array) -> np.ndarray:
+    """Dense ranks as Spark sorts: nulls first, NaN last."""
+    if pa.types.is_boolean(column.type):
+        column = pc.cast(column, pa.int8())
+    nan = None
+    if pa.types.is_floating(column.type):
+        nan = pc.fill_null(pc.is_nan(column), False)
+        column = pc.if_else(nan, pa.scalar(None, column.type), column)
+    # ranks of the values from 1; nulls get 0
+    ranks = pc.rank(column, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+    ranks[~column.is_valid().to_numpy(zero_copy_only=False)] = 0
+    if nan is not None:
+        ranks[nan.to_numpy(zero_copy_only=False)] = len(ranks) + 1
+    return ranks
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Per stretch of at most ``block`` consecutive rows of one file: file, first place, rows, descents, and its first,
+    last, smallest and largest key. The last two columns of a batch are file and place, those before them the key."""
+    for batch in (b.slice(at, block) for b in batches for at in range(0, b.num_rows, block)):
+        keys, file, i = batch.columns[:-2], batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_numpy()
+        code = np.zeros(batch.num_rows, np.int64)
+        for k in keys:  # a number per row in the order of the keys
+            ranks = _ranks(k)
+            code = np.unique(code * (ranks.max() + 1) + ranks, return_inverse=True)[1]
+        moved = pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False) | (np.diff(i) != 1)
+        starts = np.concatenate(([0], np.flatnonzero(moved) + 1))
+        ends = np.concatenate((starts[1:], [batch.num_rows]))
+        down = np.concatenate(([False], code[1:] < code[:-1]))
+        down[starts] = False
+        low = [s + int(code[s:e].argmin()) for s, e in zip(starts, ends, strict=True)]
+        high = [s + int(code[s:e].argmax()) for s, e in zip(starts, ends, strict=True)]
+        names = batch.schema.names[:-2]
+        at = [pa.StructArray.from_arrays([k.take(pa.array(rows)) for k in keys], names=names) for rows in (starts, ends - 1, low, high)]
+        yield pa.RecordBatch.from_arrays(
+            [file.take(pa.array(starts)), pa.array(i[starts]), pa.array(ends - starts), pa.array(np.add.reduceat(down.astype(np.int64), starts)), *at],
+            names=["file", "b", "n", "n_down", "head", "tail", "low", "high"])
+
+
 def file_order(spark: SparkSession, path: str, keys, block: int = 1 << 18) -> DataFrame:
     """One row per file: file, n_rows, n_descents (rows whose key is smaller than that of the row before), first_key and
     last_key (smallest and largest). Equal keys are in order; null keys come first, as Spark sorts them."""
-    rows = spark.read.parquet(path).select(F.struct(*keys).alias("k"), F.col("_metadata.file_path").alias("file"),
-                                           F.col("_metadata.row_index").alias("i"))
-    rows = rows.withColumn("b", F.floor(F.col("i") / F.lit(block)))
-    before = F.lag("k").over(Window.partitionBy("file", "b").orderBy("i"))
-    blocks = rows.withColumn("down", before > F.col("k")).groupBy("file", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("down").alias("n_down"), F.min_by("k", "i").alias("head"),
-        F.max_by("k", "i").alias("tail"), F.min("k").alias("low"), F.max("k").alias("high"))
+    rows = spark.read.parquet(path).select(*keys, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__i"))
+    key = rows.select(F.struct(*keys).alias("k")).schema["k"].dataType.simpleString()
+    stretches = rows.mapInArrow(lambda batches: _stretches(batches, block), "file string, b bigint, n bigint, n_down bigint, "
+                                            f"head {key}, tail {key}, low {key}, high {key}")
     edge = F.lag("tail").over(Window.partitionBy("file").orderBy("b")) > F.col("head")
-    return blocks.withColumn("edge", edge).groupBy("file").agg(
+    return stretches.withColumn("edge", edge).groupBy("file").agg(
         F.sum("n").alias("n_rows"), (F.sum("n_down") + F.count_if("edge")).alias("n_descents"),
         F.min("low").alias("first_key"), F.max("high").alias("last_key"))
 

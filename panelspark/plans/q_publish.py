@@ -9,7 +9,7 @@ from ..sources import io
 from ..sources.store import StageStore
 from ..sources.tables import EPISODES_SQL, EPOCH, episodes, with_views
 from ..spec import DEFAULT as S
-from .pipelines import daily_for_sink
+from .pipelines import daily_for_sink, day_partitions
 from .q_builder import D, DAILY_COLUMNS_SQL
 from .q_io import RAW_HEADERS, _scratch
 from .registry import query
@@ -102,8 +102,8 @@ def q_sink_order_check(spark, sf):
     of a hash does neither."""
     path, keys = _scratch(spark, "sink-order"), [S.entity, S.start, S.day]
     io.write_daily(daily_for_sink(episodes(spark, sf)), f"{path}/sink")
-    order = F.xxhash64(*keys)
-    spark.read.parquet(f"{path}/sink").repartition(4, order).sortWithinPartitions(order).write.parquet(f"{path}/shuffled")
+    order, sink = F.xxhash64(*keys), spark.read.parquet(f"{path}/sink")
+    sink.repartition(max(4, day_partitions(sink.count(), spark)), order).sortWithinPartitions(order).write.parquet(f"{path}/shuffled")
     found = [layout.order_report(spark, f"{path}/{name}", keys).select(
         F.lit(name).alias("layout"), "n_rows", (F.col("n_descents") == 0).alias("rows_ascend"),
         (F.col("n_overlaps") == 0).alias("files_apart")) for name in ("sink", "shuffled")]

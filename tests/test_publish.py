@@ -149,6 +149,22 @@ def test_order_of_files(spark, tmpdir_path, block):
     assert report("none", []) == (0, 0, 0, 0)
 
 
+def test_order_of_files_by_keys_of_other_kinds(spark, tmpdir_path):
+    """Nulls first, NaN last, texts by bytes; rows of a file are not shuffled."""
+    nan = float("nan")
+    rows = [(None, "z", 5.0), ("B", None, 1.0), ("B", "a", None), ("B", "a", -1.0), ("B", "a", 2.0), ("B", "a", nan), ("a", "a", 0.0), ("é", "a", 0.0)]
+    schema = "s string, t string, x double"
+    for name, order in (("up", rows), ("down", rows[::-1])):
+        spark.createDataFrame(order, schema).coalesce(1).write.parquet(f"{tmpdir_path}/{name}")
+    up, down = (layout.file_order(spark, f"{tmpdir_path}/{n}", ["s", "t", "x"]) for n in ("up", "down"))
+    assert (up.first().n_descents, down.first().n_descents) == (0, 7)
+    for found in (up.first(), down.first()):
+        assert (found.n_rows, tuple(found.first_key), tuple(found.last_key)) == (8, (None, "z", 5.0), ("é", "a", 0.0))
+    plan = up._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "Exchange" not in below and "Sort" not in below
+
+
 # --- reject channel ---------------------------------------------------------------------------
 
 HEADER = "User ID,Age,BMI,Stress Level,Exercise Frequency,Sleep Hours,Diet,Cycle Start Date,Cycle Length,Period Length,Next Cycle Start Date,Symptoms,Note"
