@@ -115,3 +115,22 @@ def test_daily_report_over_days_of_several_words(spark):
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "HashAggregate(keys=[" in line
                 and any(k.strip().startswith("day_in_cycle#") for k in line.split("keys=[")[1].split("]")[0].split(","))]
+
+
+def test_window_values_are_searched_whole(spark):
+    from pyspark.sql import functions as F
+    nan, inf = float("nan"), float("inf")
+    ok = [[0.0, 3e38], [-1.0, 2.0]]
+    cases = [(ok, [0.0, 1.0], 0), ([[0.0, nan], [1.0, 2.0]], [0.0, 1.0], 1), ([[0.0, 1.0], [None, 2.0]], [0.0, 1.0], 1),
+             ([[0.0, 1.0], [2.0, inf]], [0.0, 1.0], 1), ([[-inf, 1.0], [2.0, 3.0]], [0.0, 1.0], 1), ([[None, None], [None, None]], [0.0, 1.0], 1),
+             ([[0.0, nan], None], [0.0, 1.0], 1), ([[0.0, 1.0], None], [0.0, 1.0], 0), (ok, [0.0, None], 1), (ok, [nan, 0.0], 1),
+             (ok, [-inf, 0.0], 1), (ok, [None, None], 1), (ok, [], 0), ([], [0.0, 1.0], 0), (ok, None, 0), (None, [0.0, 1.0], 0),
+             (ok, [16777216.0, 16777216.0], 0), (ok, [3e38, 3.4028235e38], 0), ([[3.4028235e38, None], [0.0, 0.0]], [0.0], 1)]
+    for kind in ("float", "double"):
+        w = spark.createDataFrame([(i, x, r) for i, (x, r, _) in enumerate(cases)], f"i int, X array<array<{kind}>>, y_reg array<{kind}>") \
+            .withColumns({"y_phase": F.array(F.lit(0)), "seq_length": F.lit(2)})
+        bad = next(e for name, _, e in quality.window_checks(2, 2) if name == "non_finite_value")
+        got = {r.i: r.v for r in w.groupBy("i").agg(bad.alias("v")).collect()}
+        assert got == {i: n for i, (_, _, n) in enumerate(cases)}
+    plan = quality.window_report(w, 2, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_max(flatten" in plan
