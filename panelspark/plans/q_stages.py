@@ -11,7 +11,7 @@ from ..sources import io
 from ..sources.tables import episodes, table
 from ..spec import DEFAULT as S
 from ..spec import SPLIT_RATIOS, SPLIT_SEED
-from .pipelines import split_and_scale, split_daily, window_source
+from .pipelines import day_partitions, days_of, split_and_scale, split_daily, window_source
 from .q_eval import E as EVAL
 from .q_eval import METRICS_SQL, predictions
 from .q_io import _scratch
@@ -115,6 +115,8 @@ def q_windows_from_stored_splits(spark, sf):
     scaled, _ = split_and_scale(episodes(spark, sf))
     io.write_splits(scaled, panel)
     back = sequences.require_features(io.read_splits(spark, panel))
+    # the days of an episode meet in partitions sized for them, and the windows are cut and sorted there
+    back = back.repartition(day_partitions(back.count(), spark), *S.episode_keys)
     rows = sequences.episode_rows(back, order_col="day_in_cycle_raw")
     io.write_windows(sequences.window_arrays(sequences.windows(rows, L)), out)
     return tensor_digest(io.read_windows(spark, out, L))
@@ -124,11 +126,12 @@ def q_windows_from_stored_splits(spark, sf):
 def q_windows_from_buckets(spark, sf):
     """SNK2 -> GEN2 on a bucketed panel: the day rows of an episode meet without an exchange."""
     path = _scratch(spark, "buckets")
-    scaled, _ = split_and_scale(episodes(spark, sf))
-    name = f"panel_{path[-32:]}"
+    ep = episodes(spark, sf)
+    scaled, _ = split_and_scale(ep)
+    name, buckets = f"panel_{path[-32:]}", max(8, day_partitions(days_of(ep), spark))  # a task sorts and collects a bucket
     order = [S.entity, S.start, "day_in_cycle_raw"]
     try:
-        back = io.write_bucketed(scaled, name, path, 8, order=order)
+        back = io.write_bucketed(scaled, name, path, buckets, order=order)
         rows = sequences.episode_rows(sequences.require_features(back), order_col="day_in_cycle_raw", keys=[*S.episode_keys, "split"])
         # written here, as the table's name goes
         out = _scratch(spark, "bucket-tensors")
