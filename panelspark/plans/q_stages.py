@@ -91,14 +91,17 @@ spos AS (SELECT *,
 def tensor_digest(w):
     """Per episode: each tensor cell times (step + 1) * (window start + 1), summed per feature and target. The
     weights tell steps and windows apart, so a swapped, shifted or missing cell changes the sum."""
-    cells = w.select(*_KEYS, "seq_length", "window_start",
-                     F.posexplode(F.arrays_zip("X", "y_phase", "y_reg")).alias("t", "c"))
-    weight = ((F.col("t") + 1) * (F.col("window_start") + 1)).cast("long")
+    # steps are exploded and cells looked up: no row per cell is built with the features as a struct
+    cells = w.select(*_KEYS, "seq_length", "window_start", "X", "y_phase", "y_reg",
+                     F.explode(F.sequence(F.lit(0), F.size("X") - 1)).alias("t"))
+    t, weight = F.col("t"), ((F.col("t") + 1) * (F.col("window_start") + 1)).cast("long")
+    cells = cells.select(*_KEYS, "seq_length", t, weight.alias("w"), F.col("X")[t].alias("x"),
+                         F.col("y_phase")[t].alias("y"), F.col("y_reg")[t].cast("double").alias("r"))
     return cells.groupBy(*_KEYS, "seq_length").agg(
-        F.sum((F.col("t") == 0).cast("long")).alias("n_windows"),
-        F.sum(weight * F.col("c.y_phase")).alias("y_phase"),
-        F.sum(weight * F.col("c.y_reg").cast("double")).alias("y_reg"),
-        *[F.round(F.sum(weight * F.col("c.X")[i].cast("double")), 4).alias(f"x_{c}")
+        F.sum((t == 0).cast("long")).alias("n_windows"),
+        F.sum(F.col("w") * F.col("y")).alias("y_phase"),
+        F.sum(F.col("w") * F.col("r")).alias("y_reg"),
+        *[F.round(F.sum(F.col("w") * F.col("x")[i].cast("double")), 4).alias(f"x_{c}")
           for i, c in enumerate(S.input_features)])
 
 
