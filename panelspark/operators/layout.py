@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def _ranks(column: pa.Array) -> np.ndarray:
@@ -56,6 +57,52 @@ def _stretches(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Rec
             names=["file", "b", "n", "n_down", "head", "tail", "low", "high"])
 
 
+def by_hash(rows: DataFrame, keys, partitions: int, block: int = 1 << 18) -> DataFrame:
+    """The rows in partitions by a hash of the keys. What is shuffled are packs: the rows of one task and partition, column by
+    column and compressed, up to ``block`` rows of the task at a time. Rows that come in some order stay in it inside a
+    pack, so it is a small part of the rows one by one."""
+    schema = to_arrow_schema(rows.schema)
+    place = F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int")
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= block:
+                yield _packed(held, schema)
+                held, n = [], 0
+        if n:
+            yield _packed(held, schema)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, pack in zip(batch.column("size").to_pylist(), batch.column("pack"), strict=True):
+                yield from pa.ipc.open_stream(pa.decompress(pack.as_buffer(), size, "zstd"))
+
+    packed = rows.select("*", place.alias("__place")).mapInArrow(packs, "place int, size bigint, pack binary")
+    packed = packed.repartitionById(partitions, F.col("place"))
+    return packed.mapInArrow(unpack, rows.schema)
+
+
+def _packed(batches: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
+    """A row per place: place, bytes, compressed stream of its rows."""
+    table = pa.Table.from_batches(batches)
+    place = table.column(table.num_columns - 1).to_numpy()
+    order = np.argsort(place, kind="stable")
+    places, begins = np.unique(place[order], return_index=True)
+    table = table.select(range(table.num_columns - 1)).cast(schema).take(pa.array(order)).combine_chunks()
+    sizes, out = [], []
+    for a, b in zip(begins, [*begins[1:], len(order)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema) as stream:
+            stream.write_table(table.slice(a, b - a))
+        raw = sink.getvalue()
+        sizes.append(raw.size)
+        out.append(pa.compress(raw, "zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["place", "size", "pack"])
+
+
 def file_order(spark: SparkSession, path: str, keys, block: int = 1 << 18) -> DataFrame:
     """One row per file: file, n_rows, n_descents (rows whose key is smaller than that of the row before), first_key and
     last_key (smallest and largest). Equal keys are in order; null keys come first, as Spark sorts them."""

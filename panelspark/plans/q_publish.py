@@ -103,7 +103,9 @@ def q_sink_order_check(spark, sf):
     path, keys = _scratch(spark, "sink-order"), [S.entity, S.start, S.day]
     io.write_daily(daily_for_sink(episodes(spark, sf)), f"{path}/sink")
     order, sink = F.xxhash64(*keys), spark.read.parquet(f"{path}/sink")
-    sink.repartition(max(4, day_partitions(sink.count(), spark)), order).sortWithinPartitions(order).write.parquet(f"{path}/shuffled")
+    # rows in hash order compress badly, so they are shuffled in packs and the copy is written with zstd
+    copy = layout.by_hash(sink, keys, max(4, day_partitions(sink.count(), spark)))
+    copy.sortWithinPartitions(order).write.option("compression", "zstd").parquet(f"{path}/shuffled")
     found = [layout.order_report(spark, f"{path}/{name}", keys).select(
         F.lit(name).alias("layout"), "n_rows", (F.col("n_descents") == 0).alias("rows_ascend"),
         (F.col("n_overlaps") == 0).alias("files_apart")) for name in ("sink", "shuffled")]
